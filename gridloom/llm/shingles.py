@@ -16,7 +16,10 @@ WORDS, SIMILARITY = 5, (80, 100)
 COMMON = 200_000
 COMMON_IN_TASK, COMMON_IN_ALL = 4, 32
 #: Rows of one pivot that a task multiplies at once.
-BLOCK = 2000
+BLOCK = 256
+#: Parity bits of a set: bit i tells whether an odd number of its n-grams fall on i. Two sets differ in as many n-grams
+#: at least as their parities differ in bits.
+PARITY = 1024
 
 _rng = np.random.default_rng(20240)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,7 +102,8 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, words: int, ratio: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (equal for equal sets) and the first n-grams in order, of which linked sets share one."""
+    """doc_id, n (set size), k1 and k2 (equal for equal sets), the first n-grams in order, of which linked sets share one,
+    and the set's parity bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,10 +113,24 @@ def set_rows(docs: DataFrame, words: int, ratio: tuple[int, int], common: np.nda
                 n, wide = len(found), found.astype(np.uint64)
                 k1 = int(_mix(wide * _R).sum(dtype=np.uint64))
                 k2 = int(np.bitwise_xor.reduce(_mix(wide + _R))) if n else 0
-                out.append((key, n, k1 - (1 << 63), k2 - (1 << 63), ordered(found, common)[: n - need(n, ratio) + 1] if n else found))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "first"])
+                odd = np.bincount(found & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1
+                out.append((key, n, k1 - (1 << 63), k2 - (1 << 63), ordered(found, common)[: n - need(n, ratio) + 1] if n else found, np.packbits(odd).view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "first", "parity"])
 
-    return texts(docs).where("doc_id is not null").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, first array<long>")
+    return texts(docs).where("doc_id is not null").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, first array<long>, parity array<long>")
+
+
+def close(x: str, y: str, ratio: tuple[int, int]) -> str:
+    """SQL: whether sizes n and parities of the rows x and y leave a link possible."""
+    size = f"({x}.n + {y}.n)"
+    differ = " + ".join(f"bit_count({x}.parity[{i}] ^ {y}.parity[{i}])" for i in range(PARITY // 64))
+    return f"least({x}.n, {y}.n) * {ratio[1]} >= greatest({x}.n, {y}.n) * {ratio[0]} and {differ} <= {size} - 2 * (({ratio[0]} * {size} + {sum(ratio) - 1}) div {sum(ratio)})"
+
+
+def near_sizes(pairs: DataFrame, rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that close() leaves."""
+    x, y = rows.select(F.col("doc_id").alias("a"), "n", "parity").alias("x"), rows.select(F.col("doc_id").alias("b"), "n", "parity").alias("y")
+    return pairs.join(x, "a").join(y, "b").where(close("x", "y", ratio)).select("a", "b")
 
 
 def possible(pairs: DataFrame, rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
@@ -132,8 +150,7 @@ def possible(pairs: DataFrame, rows: DataFrame, ratio: tuple[int, int]) -> DataF
                 keep.append(low_a + low_b - 2 * same <= na + nb - 2 * overlap)
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    fits = F.least("n_a", "n_b") * ratio[1] >= F.greatest("n_a", "n_b") * ratio[0]
-    return both.where(fits).mapInPandas(run, "a long, b long")
+    return both.mapInPandas(run, "a long, b long")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -190,12 +207,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, ratio: tuple[int, int]
     rows = written(set_rows(docs, words, ratio, common))
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes)
-    reps = written(rows.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "n", "first").dropDuplicates(["doc_id"]))
+    reps = written(rows.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "n", "first", "parity").dropDuplicates(["doc_id"]))
     posts = reps.select(F.explode("first").alias("h"), F.col("doc_id").alias("rep"), "n")
     lists = posts.groupBy("h").agg(F.count("*").alias("many"), F.min("rep").alias("pivot")).where("many > 1").drop("many")
     shared = written(posts.join(lists, "h"))
 
-    star = written(possible(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps, ratio))
+    star = written(near_sizes(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps, ratio))
+    star = written(possible(star, reps, ratio))
     linked = lambda found: found.where(F.col("same") * ratio[1] >= (F.col("n_a") + F.col("n_b") - F.col("same")) * ratio[0]).select("a", "b")
     links = linked(overlaps(docs, star, words))
     labels = written(components(links))
@@ -203,17 +221,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, ratio: tuple[int, int]
     known = sized_join(shared.select("h", "rep", "n"), labels.withColumnRenamed("node", "rep"), "rep", "left", 32).withColumn("component", F.coalesce("component", "rep"))
     known = written(known)
     open_lists = known.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    known = known.join(open_lists, "h", "left_semi")
+    known = known.join(open_lists, "h", "left_semi").join(reps.select(F.col("doc_id").alias("rep"), "parity"), "rep")
     x, y = known.alias("x"), known.alias("y")
-    apart = F.expr(f"x.h = y.h and x.rep < y.rep and x.component <> y.component and least(x.n, y.n) * {ratio[1]} >= greatest(x.n, y.n) * {ratio[0]}")
-    rest = x.join(y, apart).selectExpr("x.rep as a", "y.rep as b").distinct()
+    apart = F.expr(f"x.h = y.h and x.rep < y.rep and x.component <> y.component and {close('x', 'y', ratio)}")
+    rest = written(x.join(y, apart).selectExpr("x.rep as a", "y.rep as b").distinct())
     rest = written(possible(rest.join(star, ["a", "b"], "left_anti"), reps, ratio))
     if not rest.isEmpty():
         labels = written(components(links.unionByName(linked(overlaps(docs, rest, words)))))
     nodes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2"], "left")
     found = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    discard(shared, star, known, rest, reps)
+    discard(shared, star, rest, reps)
     return found
 
 
