@@ -16,7 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two columns, doc_id and text; a null text counts as empty, other columns go."""
+    """Two columns, doc_id and text; a null text counts as empty, other columns go. Python workers get texts in smaller
+    batches than the default, as some are long."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -19,7 +19,7 @@ COMMON_IN_TASK, COMMON_IN_ALL = 4, 32
 BLOCK = 256
 #: Parity bits of a set: bit i tells whether an odd number of its n-grams fall on i. Two sets differ in as many n-grams
 #: at least as their parities differ in bits.
-PARITY = 1024
+PARITY = 4096
 
 _rng = np.random.default_rng(20240)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -88,8 +88,7 @@ def sampled_rows(docs: DataFrame, threshold: int) -> DataFrame:
 def _neighbourhoods(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
     """wanted (rank, doc_id, low, high, lone) with the bytes of these strings' union."""
     by_doc = written(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("rank", "low", "high", "lone")).alias("its")))
-    n = by_doc.agg(F.coalesce(F.sum(F.size("its")), F.lit(0)).alias("n")).first()["n"]
-    there = docs.join(F.broadcast(by_doc) if n * 24 < 16_000_000 else by_doc.hint("shuffle_merge"), "doc_id")
+    there = docs.join(by_doc.hint("shuffle_merge"), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,6 +96,9 @@ def _neighbourhoods(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataF
             for key, t, its in zip(batch["doc_id"], batch["text"], batch["its"]):
                 raw = t.encode("utf-8", "surrogatepass")
                 out += [(r["rank"], key, r["low"], r["lone"], raw[r["low"] : r["high"] + threshold]) for r in its]
+                if len(out) > 5000:
+                    yield pd.DataFrame(out, columns=["rank", "doc_id", "low", "lone", "data"])
+                    out = []
             yield pd.DataFrame(out, columns=["rank", "doc_id", "low", "lone", "data"])
 
     return there.mapInPandas(run, "rank long, doc_id long, low int, lone boolean, data binary")
