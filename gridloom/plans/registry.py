@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import documents, relational
+
+QUERIES: dict = relational.QUERIES | documents.QUERIES
+SQL: dict[str, str] = relational.SQL | documents.SQL
