@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, documents, sized_join, texts, written
 from .components import components
@@ -15,7 +15,7 @@ WORDS, SIMILARITY = 5, (80, 100)
 #: The n-grams known to be in most documents come last in the order of n-grams, so many at most (8 bytes each).
 COMMON = 200_000
 COMMON_IN_TASK, COMMON_IN_ALL = 4, 32
-#: Rows of one pivot that a task multiplies at once.
+#: Rows of one pivot that a task multiplies at once, on average.
 BLOCK = 256
 #: Parity bits of a set: bit i tells whether an odd number of its n-grams fall on i. Two sets differ in as many n-grams
 #: at least as their parities differ in bits.
@@ -154,10 +154,10 @@ def possible(pairs: DataFrame, rows: DataFrame, ratio: tuple[int, int]) -> DataF
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """a, b, n_a, n_b, same for the pairs: rows of the incidence of documents and n-grams, in blocks of one pivot a and up
-    to BLOCK others, multiplied block by block."""
-    by_pivot = Window.partitionBy("a").orderBy("b")
-    salted = written(pairs.withColumn("block", F.floor(F.row_number().over(by_pivot) / BLOCK)))
+    """a, b, n_a, n_b, same for the pairs: rows of the incidence of documents and n-grams, in blocks of one pivot a and some
+    BLOCK others, multiplied block by block."""
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    salted = written(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")))
     roles = salted.select(F.col("b").alias("doc_id"), "a", "block", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("doc_id"), "a", "block", F.lit(0).alias("role")).distinct())
     roles = written(roles.groupBy("doc_id").agg(F.collect_list(F.struct("a", "block", "role")).alias("roles")))
     n = roles.agg(F.coalesce(F.sum(F.size("roles")), F.lit(0)).alias("n")).first()["n"]
@@ -191,7 +191,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "same"])
 
     done = written(dealt.mapInPandas(multiply, "a long, b long, n_a long, n_b long, same long"))
-    discard(salted, roles)
+    discard(many, salted, roles)
     return done
 
 
