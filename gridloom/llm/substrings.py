@@ -135,9 +135,9 @@ def _resolve(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
 def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, low, high: runs of starts of strings of threshold bytes that also start elsewhere. docs: doc_id, text."""
     rows = written(sampled_rows(docs, threshold))
-    ranks = rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    ranks = written(rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"))  # written, so that Spark can split a frequent rank
     live = written(rows.join(ranks, "rank"))  # past this round: equal for ANCHOR bytes
-    discard(rows)
+    discard(rows, ranks)
     whole = live.groupBy("rank", "around").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     whole = written(whole)
     equal = live.join(whole.where("n > 1").select("rank", "around"), ["rank", "around"], "left_semi").select("doc_id", "low", "high")
