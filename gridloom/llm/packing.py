@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,16 +19,25 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: White-space-free parts of texts that a Python worker remembers the ids of.
 CACHE_WORDS = 700_000
+#: Letters up to here are letters to every version of Unicode.
+LAST_LATIN = "\u024f"
+#: The bytes of an id.
+ID = struct.Struct("<I").pack
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, which a white space always splits, so each part between spaces is encoded once."""
+    """Ids by the tokenizers library, which a white space always splits, so each part between spaces is encoded once.
+
+    It also splits letters from marks after them and ignores case, so "Word," is "word" and ","; plain lower-case letters
+    need neither its normaliser nor its splitter and go to its model at once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
@@ -35,10 +47,32 @@ class WordEncoder:
             if len(self.cache) > CACHE_WORDS // 2:
                 self.cache.clear()
         parts = [t.replace("\n", " ").split(" ") for t in batch]
-        missing = list({w for words in parts for w in words if w not in self.cache})
-        for w, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.cache[w] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([self.cache[w] for w in words]) for words in parts]
+        self._learn(set().union(*parts) - self.cache.keys())
+        ids = self.cache.__getitem__
+        return [b"".join(map(ids, words)) for words in parts]
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds words to the cache."""
+        cache, later, others = self.cache, [], set()
+        for w in words:
+            stem = w.rstrip(string.punctuation)
+            if not stem or not stem[-1].isalpha() or stem[-1] > LAST_LATIN or stem[-1] == "İ":  # which ends in a mark in lower case
+                stem = w
+            marks = w[len(stem) :]
+            if stem.isascii():
+                stem = stem.lower()
+                if stem not in cache and stem.isalpha():
+                    cache[stem] = b"".join([ID(t.id) for t in self.model.tokenize(stem)])
+            if stem in cache and marks in cache:
+                cache[w] = cache[stem] + cache[marks]
+            else:
+                later += (w, stem, marks)
+                others |= {stem, marks}
+        others = [x for x in others if x not in cache]
+        for x, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            cache[x] = b"".join(map(ID, found.ids))
+        for w, stem, marks in zip(later[::3], later[1::3], later[2::3]):
+            cache[w] = cache[stem] + cache[marks]
 
 
 _encoders: dict[str, WordEncoder] = {}
