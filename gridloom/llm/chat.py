@@ -58,19 +58,28 @@ def reply_paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
 def formatted(turns: DataFrame) -> DataFrame:
     """One string for each conversation of conv_id, pos, role, text: conv_id, formatted, spans of (start, length), in code
     points, that count for the loss: the assistant's texts. Null texts and roles are empty; line breaks in roles are spaces."""
-    t = turns.select("conv_id", "pos", F.regexp_replace(F.coalesce("role", F.lit("")), "[\n]", " ").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit("\n"))
-    body = escape(F.col("text"))
-    t = t.select("conv_id", "pos", F.concat(head, body, F.lit(CLOSE + "\n")).alias("turn"), F.char_length(head).alias("head"), F.char_length(body).alias("body"), (F.col("role") == "assistant").alias("loss"))
-    rows = F.sort_array(F.collect_list(F.struct("pos", "turn", "head", "body", "loss")))
-    g = t.groupBy("conv_id").agg(rows.alias("rows"))
+    return format_rows(turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("rows")))
+
+
+def format_rows(conversations: DataFrame) -> DataFrame:
+    """What formatted() returns, from conv_id and rows, an array of (pos, role, text) in order."""
+
+    def parts(x: Column) -> Column:
+        role = F.regexp_replace(F.coalesce(x["role"], F.lit("")), "[\n]", " ")
+        head = F.concat(F.lit(OPEN), escape(role), F.lit("\n"))
+        return F.struct(head.alias("head"), escape(F.coalesce(x["text"], F.lit(""))).alias("body"), (role == "assistant").alias("loss"))
+
+    g = conversations.select("conv_id", F.transform("rows", parts).alias("rows"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def add(acc: Column, x: Column) -> Column:
-        span = F.array(F.struct((acc["at"] + x["head"]).alias("start"), x["body"].alias("length")))
-        return F.struct((acc["at"] + F.char_length(x["turn"])).alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        body = acc["at"] + F.char_length(x["head"])
+        span = F.array(F.struct(body.alias("start"), F.char_length(x["body"]).alias("length")))
+        after = body + F.char_length(x["body"]) + len(CLOSE + "\n")
+        return F.struct(after.alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return g.select("conv_id", F.array_join(F.transform("rows", lambda x: x["turn"]), "").alias("formatted"), F.aggregate("rows", start, add, lambda acc: acc["spans"]).alias("spans"))
+    whole = F.array_join(F.transform("rows", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE + "\n"))), "")
+    return g.select("conv_id", whole.alias("formatted"), F.aggregate("rows", start, add, lambda acc: acc["spans"]).alias("spans"))
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -85,19 +94,28 @@ CONTROL_TURNS = ((-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant",
 
 
 def conversation_turns(conversations: DataFrame) -> DataFrame:
-    """Turns of chosen paths, conv_id, pos, role, text: a conversation's rows by (turn, role, text) are a chain of replies."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    c = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
-    c = written(c.withColumn("tree", F.coalesce("conv_id", F.lit(-(1 << 62)))))
-    messages = c.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.char_length("text").alias("score"))
+    """Conversations of chosen paths, conv_id and rows, an array of (pos, role, text): a conversation's rows by (turn, role,
+    text) are a chain of replies, scored by their turns. Texts are shuffled once, to their conversation."""
+    c = conversations.select("conv_id", "turn", "role", "text").withColumn("tree", F.coalesce("conv_id", F.lit(-(1 << 62))))
+    order = Window.partitionBy("tree").orderBy("turn", "role")  # rows of one turn and role are alike but for their texts
+    nodes = written(c.select("tree", "turn", F.row_number().over(order).cast("long").alias("node")))
+    messages = nodes.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.col("turn").alias("score"))
     paths = reply_paths(messages, keep=1)
-    return paths.join(c, ["tree", "node"]).select("conv_id", F.col("depth").alias("pos"), "role", "text")
+    discard(nodes)
+    paths = paths.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
+    own = c.groupBy("tree").agg(F.max("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("own"))
+
+    def chosen(x: Column) -> Column:
+        row = F.element_at(F.col("own"), x["node"].cast("int"))
+        return F.struct(x["depth"].alias("pos"), row["role"].alias("role"), row["text"].alias("text"))
+
+    return own.join(paths, "tree").select("conv_id", F.transform("path", chosen).alias("rows"))
 
 
 def op4_chat(spark, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([*CONTROL_TURNS], "conv_id long, turn long, role string, text string")
-    back = read_back(formatted(conversation_turns(c.unionByName(extra))))
+    back = read_back(format_rows(conversation_turns(c.unionByName(extra))))
     lines = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
     loss = F.array_join("loss_texts", "")
     return back.select(
