@@ -46,11 +46,14 @@ def reply_paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     leaves = leaves.withColumn("rank", F.row_number().over(best))
     if keep is not None:
         leaves = leaves.where(F.col("rank") <= keep)
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "rank", "node")
-    for level in levels:  # a path's last 2^k messages and their ancestors 2^k above are its last 2^(k+1)
+    paths = written(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node"))
+    for level in levels[:-1]:  # a path's last 2^k messages and their ancestors 2^k above are its last 2^(k+1)
         step = level.where("up is not null").select("tree", "node", F.col("up").alias("above"))
-        paths = paths.unionByName(paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("above").alias("node")))
+        longer = written(paths.unionByName(paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("above").alias("node"))))
+        discard(paths)  # written at each level: its plan holds the level before twice
+        paths = longer
     out = written(paths.join(up.select("tree", "node", "depth"), ["tree", "node"]))
+    discard(paths)
     discard(*levels)
     return out
 
