@@ -37,7 +37,8 @@ def reply_paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     most = left.bit_length() + 1
     while left and len(levels) <= most:
         far = up.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("depth").alias("depth2"))
-        up = written(up.join(far, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")))
+        moved = up.where("up is not null").join(far, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        up = written(moved.unionByName(up.where("up is null")))  # only those that have not met their root move
         levels.append(up)
         left = up.where("up is not null").count()
     inner = m.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
