@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, relational
+from . import documents, layers, relational
 
-QUERIES: dict = relational.QUERIES | documents.QUERIES
-SQL: dict[str, str] = relational.SQL | documents.SQL
+QUERIES: dict = relational.QUERIES | documents.QUERIES | layers.QUERIES
+SQL: dict[str, str] = relational.SQL | documents.SQL | layers.SQL
