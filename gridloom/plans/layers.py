@@ -25,10 +25,10 @@ def remote_changes_since(spark, d):
     return log.changes_since(e, ["user_id", "event_type"], "event_id", F.lit(300), 200)
 
 
-@query("select user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from events) where r = 1 and value > 100 and event_id % 7 <> 0")
+@query("select user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from events) where r = 1 and value > 100 and event_type <> 'signup'")
 def human_removals(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    return log.tombstones(e, ["user_id", "event_type"], ["ts", "event_id"], F.col("value") > 100, F.col("event_id") % 7 == 0)
+    return log.tombstones(e, ["user_id", "event_type"], ["ts", "event_id"], F.col("value") > 100, F.col("event_type") == "signup")
 
 
 @query("select e.event_id, count(*) as n_open from events e join events n on n.user_id = e.user_id and n.ts > e.ts - interval 2 day and (n.ts < e.ts or (n.ts = e.ts and n.event_id <= e.event_id)) group by e.event_id")
@@ -78,7 +78,7 @@ def densest_cluster(spark, d):
     return scale.densest_cluster(p, ["p_brand"], "v", lambda c: F.floor(c / 50), 10_000)
 
 
-@query("""with s as (select l_suppkey, l_quantity as px, l_extendedprice as mm, l_extendedprice / l_quantity as r from lineitem where l_partkey % 5 = 0),
+@query("""with s as (select l_suppkey, l_quantity as px, l_extendedprice as mm, l_extendedprice / l_quantity as r from lineitem),
  m as (select l_suppkey, median(r) as med from s group by all), o as (select *, abs(r - med) as off from s join m using (l_suppkey)),
  p as (select l_suppkey, case when median(off) > 0 then median(off) / 0.6745 else avg(off) * 1.2533 end as spread from o group by all),
  k as (select l_suppkey, r from o join p using (l_suppkey) where not (spread > 0 and off > spread * 3)),
@@ -88,7 +88,7 @@ def densest_cluster(spark, d):
  x as (select l_suppkey, pair, coalesce(n, 0) as n, coalesce(floor(greatest(0.0, 1 - spread / suggested / 0.05) * (0.5 + 0.5 * least(1.0, n / 5)) * 1000000 + 0.5) / 1000000, 0) as confidence, suggested from g left join f using (l_suppkey))
  select l_suppkey, n as n_samples, cast(round(confidence * 10000) as bigint) as confidence, cast(round(suggested * 1000) as bigint) as suggested, case when n < 3 then case when not pair then 'tooFewSamples' end when confidence < 0.6 then 'lowConfidence' end as reason from x""")
 def scale_inference(spark, d):
-    li = table(spark, d, "lineitem").where("l_partkey % 5 = 0").select("l_suppkey", "l_quantity", "l_extendedprice")
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice")
     found = scale.inferred(li, ["l_suppkey"], "l_quantity", "l_extendedprice")
     return found.select("l_suppkey", "n_samples", F.round(F.col("confidence") * 10000).cast("long").alias("confidence"), F.round(F.col("suggested") * 1000).cast("long").alias("suggested"), "reason")
 

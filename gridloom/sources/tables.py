@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def kept(df: DataFrame) -> DataFrame:
 
 def split_corrupt(rows: DataFrame, column: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """Rows whose JSON text fits schema, with it in doc, and the others; null text counts as corrupt."""
-    named = StructType([*schema.fields]).add("_corrupt", "string")
+    named = StructType([*schema.fields]).add("_corrupt", StringType())
     read = rows.withColumn("doc", F.from_json(column, named, {"columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
     return read.where(~bad).withColumn("doc", F.col("doc").dropFields("_corrupt")), read.where(bad).drop("doc")
