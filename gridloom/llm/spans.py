@@ -34,29 +34,28 @@ def _keys(text: str, span: int) -> tuple[np.ndarray, list[int]]:
 
 
 def span_rows(docs: DataFrame, span: int) -> DataFrame:
-    """A row for each span: h, doc_id, at (its number in the document)."""
+    """A row for each span: h, doc_id, at (its number in the document), again (the document has it before)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = [_keys(t, span)[0] for t in batch["text"]]
             n = [len(k) for k in keys]
-            yield pd.DataFrame({"h": np.concatenate(keys) if keys else np.zeros(0, np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), n), "at": np.concatenate([np.arange(x) for x in n]).astype(np.int32) if n else np.zeros(0, np.int32)})
+            rows = pd.DataFrame({"h": np.concatenate(keys) if keys else np.zeros(0, np.int64), "row": np.repeat(np.arange(len(n)), n), "doc_id": np.repeat(batch["doc_id"].to_numpy(), n), "at": np.concatenate([np.arange(x) for x in n]).astype(np.int32) if n else np.zeros(0, np.int32)})
+            rows["again"] = rows.duplicated(["row", "h"])
+            yield rows.drop(columns="row")
 
-    return texts(docs).mapInPandas(run, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int")
+    return texts(docs).mapInPandas(run, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, at: every span that occurs before, by (doc_id, at). Counts are summed before they move, so a span of
-    any frequency is one row a task."""
+    """doc_id, at: every span that occurs before, by (doc_id, at). What a document has before is known without a join; of the
+    others, counts are summed before they move, so a span of any frequency is one row a task."""
     rows = written(span_rows(docs, span))
-    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    new = rows.where("not again").select("h", "doc_id", "at")
+    first = new.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
     first = written(first.select("h", "first_doc"))
-    hits = sized_join(rows, first, "h", "inner", 16, 24)
-    inside = hits.where("doc_id = first_doc").groupBy("h").agg(F.min("at").alias("first_at"))
-    inside = inside.select("h", "first_at")
-    # only documents that hold a span twice need the place as well
-    again = hits.where("doc_id = first_doc").select("h", "doc_id", "at").join(inside, "h").where("at > first_at").select("doc_id", "at")
-    out = written(hits.where("doc_id <> first_doc").select("doc_id", "at").unionByName(again))
+    later = sized_join(new, first, "h", "inner", 16, 24).where("doc_id <> first_doc").select("doc_id", "at")
+    out = written(later.unionByName(rows.where("again").select("doc_id", "at")))
     discard(rows, first)
     return out
 
@@ -65,8 +64,8 @@ def drop_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The rows and columns of docs, with the sentences gone from text that a repeated span covers, and n_removed, the
     number of those sentences. The first span of a kind, by (doc_id, place), keeps its sentences.
 
-    A document may end up empty; its row stays. Null texts stay null. Rows that share a doc_id count as one document for
-    the order: their spans at one place are taken as one. Columns named as in our results are passed through."""
+    A document may end up empty; its row stays. Null texts stay null. Rows that share a doc_id are taken for copies of one
+    document: they are not compared with each other and lose the same places. Columns named as in our results are passed through."""
     found = repeated_spans(docs, span)
     cut = written(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gridloom_cut")))  # of one document each
     cut = cut.withColumnRenamed("doc_id", "gridloom_id")
