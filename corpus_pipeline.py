@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines once in the corpus; every document stays, if only as an empty text."""
-    return _as_documents(lines.dedup_lines(docs))
+    return _as_documents(lines.dedup_lines(docs, lines.GRAMS))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,19 +5,33 @@ DataFrame functions only."""
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, documents, sized_join, small, written
 from .components import components
 
-#: Lines are linked when their SimHashes differ in at most DISTANCE bits and their edit similarity is at least SIMILARITY percent.
-DISTANCE, SIMILARITY = 2, 80
-#: SimHash bits, as fields of three counters in each sum, and the blocks of the pigeonhole.
+#: Linked lines have an edit similarity of at least SIMILARITY percent.
+SIMILARITY = 80
+#: SimHash bits, as fields of three counters in each sum.
 BITS, FIELD = 63, 21
-#: Rounds of comparing each block's lines with one of them, before pairs.
-ROUNDS = 2
-BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
+#: Rounds of comparing the lines of each block of more than CROWD with one of them, before pairs.
+ROUNDS, CROWD = 2, 8
+
+
+class Near(NamedTuple):
+    """Which lines are compared: those whose SimHashes of all runs of gram characters (0: of distinct words) differ in at most
+    distance bits, and all of at most short characters that the edit similarity allows."""
+
+    gram: int
+    distance: int
+    short: int
+
+
+#: The queries use GRAMS. WORDS is dedup_lines' default, as callers know it: an edited word moves more than 2 bits of most lines.
+WORDS, GRAMS = Near(0, 2, 0), Near(3, 4, 14)
 _LOW = -(1 << 63)
 
 
@@ -38,10 +52,12 @@ def place() -> Column:
     return F.col("gid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """place, sim: for each bit, whether most distinct words' hashes have it. Three 21-bit counters share a sum, for lines of up
-    to two million words; beyond, counters run over, alike for equal lines."""
-    words = lines.select("place", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("place", F.xxhash64("w").alias("h"))
+def simhashes(lines: DataFrame, gram: int = 0) -> DataFrame:
+    """place, sim: for each bit, whether most features' hashes have it. Features are distinct words, or every run of gram characters.
+    Three 21-bit counters share a sum, for lines of up to two million features; beyond, counters run over, alike for equal lines."""
+    runs = F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
+    features = F.when(F.char_length("norm") < gram, F.array("norm")).otherwise(runs) if gram else F.array_distinct(F.split("norm", " "))
+    words = lines.select("place", F.explode_outer(features).alias("w")).select("place", F.xxhash64("w").alias("h"))
     mask = sum(1 << FIELD * i for i in range(3))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(mask))).alias(f"s{i}") for i in range(FIELD)]
     counted = words.groupBy("place").agg(F.count("*").alias("n"), *sums)
@@ -49,12 +65,29 @@ def simhashes(lines: DataFrame) -> DataFrame:
     return counted.select("place", reduce(lambda a, b: a.bitwiseOR(b), [bit(i, f) for i in range(FIELD) for f in range(3)]).alias("sim"))
 
 
-def blocks(sims: DataFrame) -> DataFrame:
-    """Each line under every two of the four blocks of its SimHash: two differing bits leave two blocks alike."""
-    part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
-    pairs = [(i, j) for i in range(len(BLOCKS)) for j in range(i)]
-    keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(part(BLOCKS[i]), 16)).bitwiseOR(part(BLOCKS[j])) for t, (i, j) in enumerate(pairs)]
-    return sims.select("place", "sim", F.explode(F.array(*keys)).alias("block"))
+def blocks(sims: DataFrame, distance: int) -> DataFrame:
+    """Each line under every two of distance + 2 blocks of its SimHash: distance differing bits leave two blocks alike."""
+    parts = distance + 2  # explode_outer, as the arrays are never empty and explode would make them twice, for a filter
+    ends = [BITS * i // parts for i in range(parts + 1)]
+    part = lambda i: F.shiftrightunsigned("sim", ends[i]).bitwiseAND(F.lit((1 << ends[i + 1] - ends[i]) - 1))
+    keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(part(i), 16)).bitwiseOR(part(j)) for t, (i, j) in enumerate(combinations(range(parts), 2))]
+    return sims.select("place", "sim", "size", F.explode_outer(F.array(*keys)).alias("block"))
+
+
+def short_blocks(lines: DataFrame, short: int) -> DataFrame:
+    """Short lines under each string that deleting up to as many characters leaves as an allowed edit distance has: two lines
+    within that distance have such a string in common. A SimHash of few features says little of them; theirs is 0 here."""
+    most = lambda size: f"int(floor({size} * {100 - SIMILARITY} / 100))"
+    # the longer line of a pair has at most size + deletions characters
+    deep = reduce(lambda was, k: f"if(size + {k} <= {short} and {most(f'(size + {k})')} >= {k}, {most(f'(size + {k})')}, {was})", range(1, short * (100 - SIMILARITY) // 100 + 1), "0")
+    deep = f"greatest({deep}, {most('size')})"
+    without = lambda x: f"transform(sequence(1, char_length({x})), i -> concat(substring({x}, 1, i - 1), substring({x}, i + 1)))"
+    found = lines.where(f"size <= {short}").selectExpr("place", "size", f"{deep} as deep", f"array(left(norm, {short})) as level", f"array(left(norm, {short})) as every")  # left: Spark may work on all lines before it filters
+    for k in range(1, short * (100 - SIMILARITY) // 100 + 1):
+        found = found.withColumn("level", F.expr(f"if(deep >= {k}, array_distinct(flatten(transform(level, s -> {without('s')}))), array())"))
+        found = found.withColumn("every", F.concat("every", "level"))
+    rows = found.where("deep > 0").select("place", F.lit(0).cast("long").alias("sim"), "size", F.explode_outer("every").alias("s"))
+    return rows.select("place", "sim", "size", F.xxhash64("s").bitwiseOR(F.lit(_LOW)).alias("block"))
 
 
 def similar(a: str, b: str) -> Column:
@@ -78,21 +111,24 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return links
 
 
-def line_groups(lines: DataFrame) -> DataFrame:
+def line_groups(lines: DataFrame, near: Near) -> DataFrame:
     """node, component: places of linked lines among distinct lines (norm, place), each with its group's smallest place.
 
-    No pair of a block is left out, but pairs within what is already one group are not made: ROUNDS times each block that holds
-    several groups compares its lines with one of them (another each time), and only then are lines of different groups
+    No pair of a block is left out, but pairs within what is already one group are not made: ROUNDS times each crowded block that
+    holds several groups compares its lines with one of them (another each time), and only then are lines of different groups
     that still share a block compared pair by pair."""
-    sims = written(simhashes(lines))
-    dealt = blocks(sims)
-    crowded = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    sized = lines.select("place", "norm", F.char_length("norm").alias("size"))
+    sims = written(simhashes(lines, near.gram).join(sized.select("place", "size"), "place"))
+    dealt = blocks(sims, near.distance)
+    if near.short:
+        dealt = dealt.unionByName(short_blocks(sized, near.short))
+    crowded = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(dealt.join(crowded, "block"))
     discard(sims)
-    links, known = None, shared.withColumn("component", F.col("place"))
-    close = f"bit_count(x.sim ^ y.sim) <= {DISTANCE}"
+    links, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("place"))
+    close = f"bit_count(x.sim ^ y.sim) <= {near.distance} and abs(x.size - y.size) * 100 <= greatest(x.size, y.size) * {100 - SIMILARITY}"
     for r in range(ROUNDS + 1):
-        pivot = F.min(F.struct(F.xxhash64("place", F.lit(r)).alias("order"), "place", "sim", "component")).alias("y")
+        pivot = F.min(F.struct(F.xxhash64("place", F.lit(r)).alias("order"), "place", "sim", "size", "component")).alias("y")
         open_blocks = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low <> high")
         if r < ROUNDS:
             tried = known.alias("x").join(open_blocks.select("block", "y"), "block").where(f"x.component <> y.component and {close}")
@@ -101,17 +137,20 @@ def line_groups(lines: DataFrame) -> DataFrame:
             left = written(known.join(open_blocks.select("block"), "block", "left_semi"))
             tried = left.alias("x").join(left.alias("y"), F.expr(f"x.block = y.block and x.place < y.place and x.component <> y.component and {close}"))
             pairs = tried.select(F.col("x.place").alias("a"), F.col("y.place").alias("b"))
-        found = verified(written(pairs.distinct()), lines)
+        tried = written(pairs.distinct())
+        found = verified(tried, lines)
+        discard(tried, known)
         links = found if links is None else written(links.unionByName(found))
         labels = written(components(links))
         if r < ROUNDS:
             member = labels.withColumnRenamed("node", "place")
-            known = written(sized_join(shared, member, "place", "left", 40).withColumn("component", F.coalesce("component", "place")))
-    discard(shared, known, left, links)
+            rows = shared.where(f"n > {CROWD}") if r + 1 < ROUNDS else shared
+            known = written(sized_join(rows, member, "place", "left", 40).withColumn("component", F.coalesce("component", "place")))
+    discard(shared, left, links)
     return labels
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, near: Near = WORDS) -> DataFrame:
     """The rows and columns of docs, with only the first line of each group of linked or equal lines left in text, by
     (doc_id, line), and n_removed, the number of lines removed.
 
@@ -120,7 +159,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = line_rows(docs)
     lines = rows.groupBy("k1", "k2", "norm").agg(F.min(place()).alias("place"), F.count("*").alias("n"))
     lines = written(lines)
-    groups = line_groups(lines)
+    groups = line_groups(lines, near)
     known = lines.select("k1", "k2", "place", "n")
     member = groups.select(F.col("node").alias("place"), "component")
     known = sized_join(known, member, "place", "left", 40)
@@ -141,4 +180,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op8_lines(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")
+    return dedup_lines(documents(spark, sf_dir), GRAMS).select("doc_id", "n_removed", "text")
