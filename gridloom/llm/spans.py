@@ -33,43 +33,52 @@ def _keys(text: str, span: int) -> tuple[np.ndarray, list[int]]:
     return np.array([xxhash.xxh3_64_intdigest("\n".join(found[i : i + span]).encode("utf-8", "surrogatepass")) for i in range(len(found) - span + 1)], np.uint64).view(np.int64), at
 
 
+def _row_key(docs: DataFrame) -> list:
+    """A row by its id, null as the highest, and its text: rows that share an id are told apart by their texts."""
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    return [F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", zero).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
+
+
 def span_rows(docs: DataFrame, span: int) -> DataFrame:
-    """A row for each span: h, doc_id, at (its number in the document), again (the document has it before)."""
+    """A row for each span: h, unknown, doc_id and text_hash of its row, at (its number in the row), again (the row has it before)."""
+    key = ["unknown", "doc_id", "text_hash"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = [_keys(t, span)[0] for t in batch["text"]]
             n = [len(k) for k in keys]
-            rows = pd.DataFrame({"h": np.concatenate(keys) if keys else np.zeros(0, np.int64), "row": np.repeat(np.arange(len(n)), n), "doc_id": np.repeat(batch["doc_id"].to_numpy(), n), "at": np.concatenate([np.arange(x) for x in n]).astype(np.int32) if n else np.zeros(0, np.int32)})
+            rows = pd.DataFrame({"h": np.concatenate(keys) if keys else np.zeros(0, np.int64), "row": np.repeat(np.arange(len(n)), n), **{c: np.repeat(batch[c].to_numpy(), n) for c in key}, "at": np.concatenate([np.arange(x) for x in n]).astype(np.int32) if n else np.zeros(0, np.int32)})
             rows["again"] = rows.duplicated(["row", "h"])
             yield rows.drop(columns="row")
 
-    return texts(docs).mapInPandas(run, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, again boolean")
+    rows = texts(docs).select(*_row_key(docs), "text")
+    return rows.mapInPandas(run, f"h long, unknown boolean, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, at int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, at: every span that occurs before, by (doc_id, at). What a document has before is known without a join; of the
+    """key (unknown, doc_id, text_hash), at: every span that occurs before, by (key, at). What a row has before is known without a join; of the
     others, counts are summed before they move, so a span of any frequency is one row a task."""
-    rows = written(span_rows(docs, span))
-    new = rows.where("not again").select("h", "doc_id", "at")
-    first = new.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-    first = written(first.select("h", "first_doc"))
-    later = sized_join(new, first, "h", "inner", 16, 24).where("doc_id <> first_doc").select("doc_id", "at")
-    out = written(later.unionByName(rows.where("again").select("doc_id", "at")))
+    rows = written(span_rows(docs, span).select("h", F.struct("unknown", "doc_id", "text_hash").alias("key"), "at", "again"))
+    new = rows.where("not again").select("h", "key", "at")
+    first = new.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
+    first = written(first.select("h", "first_key"))
+    later = sized_join(new, first, "h", "inner", 32, 24).where("key <> first_key").select("key", "at")
+    out = written(later.unionByName(rows.where("again").select("key", "at")))
     discard(rows, first)
     return out
 
 
 def drop_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The rows and columns of docs, with the sentences gone from text that a repeated span covers, and n_removed, the
-    number of those sentences. The first span of a kind, by (doc_id, place), keeps its sentences.
+    number of those sentences. The first span of a kind, by (doc_id, text hash, place) and null ids last, keeps its sentences.
 
-    A document may end up empty; its row stays. Null texts stay null. Rows that share a doc_id are taken for copies of one
-    document: they are not compared with each other and lose the same places. Columns named as in our results are passed through."""
+    A document may end up empty; its row stays. Null texts stay null. Rows that share a doc_id and the whole text count as one
+    row: they can't be told apart, so they are not compared with each other and lose the same places. Columns named as in our results are passed through."""
     found = repeated_spans(docs, span)
-    cut = written(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gridloom_cut")))  # of one document each
-    cut = cut.withColumnRenamed("doc_id", "gridloom_id")
-    rest = docs.join(cut, docs["doc_id"] == cut["gridloom_id"], "left").drop("gridloom_id")
+    cut = written(found.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("gridloom_cut")))  # of one document each
+    names = ["gridloom_unknown", "gridloom_id", "gridloom_hash"]
+    cut = cut.select(*[F.col(f"key.{c}").alias(n) for c, n in zip(("unknown", "doc_id", "text_hash"), names)], "gridloom_cut")
+    rest = docs.select("*", *[c.alias(n) for c, n in zip(_row_key(docs), names)]).join(cut, names, "left").drop(*names)
     discard(found)
 
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
