@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
 import zlib
@@ -29,14 +30,16 @@ class WordEncoder:
     """Ids by the tokenizers library, which a white space always splits, so each part between spaces is encoded once.
 
     It also splits letters from marks after them and ignores case, so "Word," is "word" and ","; plain lower-case letters
-    need neither its normaliser nor its splitter and go to its model at once."""
+    need neither its normaliser nor its splitter and go to its model at once. A text that may hold the string of an added
+    token, in any case, is encoded by the library as a whole, as such a string is one id wherever it stands."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
 
@@ -46,10 +49,11 @@ class WordEncoder:
             self.cache = {w: x for w, x in self.cache.items() if len(w) < 8}  # short words are the frequent ones
             if len(self.cache) > CACHE_WORDS // 2:
                 self.cache.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in batch]
+        whole = {i for i, t in enumerate(batch) if self.added.search(t)}
+        parts = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(batch)]
         self._learn(set().union(*parts) - self.cache.keys())
         ids = self.cache.__getitem__
-        return [b"".join(map(ids, words)) for words in parts]
+        return [b"".join(map(ID, self.tokenizer.encode(batch[i], add_special_tokens=False).ids)) if i in whole else b"".join(map(ids, words)) for i, words in enumerate(parts)]
 
     def _learn(self, words: set[str]) -> None:
         """Adds words to the cache."""
