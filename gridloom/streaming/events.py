@@ -1,4 +1,4 @@
-"""Operators on event streams. Each takes a streaming or a batch DataFrame of events (event_id, ts, user_id, event_type, value,
+"""Operators on event streams. Each takes a streaming or a batch DataFrame (late_points: batch only) of events (event_id, ts, user_id, event_type, value,
 props); the state of the streaming forms is bounded by the watermark."""
 
 from __future__ import annotations
@@ -43,7 +43,10 @@ def after(events: DataFrame, ts: Column, event_id: int) -> DataFrame:
 
 
 def late_points(events: DataFrame, keys: list[str]) -> DataFrame:
-    """events in order of arrival (event_id) with seen, the latest ts that arrived before of the key, and is_late: not after it."""
+    """events in order of arrival (event_id) with seen, the latest ts that arrived before of the key, and is_late: not after it.
+    Batch only: row-ordered windows, which Structured Streaming has not."""
+    if events.isStreaming:
+        raise ValueError("late_points takes batch DataFrames only")
     out = running(events, keys, F.floor(F.col("event_id") / 1000), [F.asc("event_id")], F.col("ts"), "max", "seen")
     return out.withColumn("is_late", F.coalesce(F.col("ts") <= F.col("seen"), F.lit(False)))
 

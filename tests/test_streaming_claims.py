@@ -1,0 +1,11 @@
+"""What the event operators say of streams."""
+
+import pytest
+
+from gridloom.streaming import events
+
+
+def test_late_points_refuse_a_stream(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("value as event_id", "timestamp as ts", "1 as user_id")
+    with pytest.raises(ValueError, match="batch"):
+        events.late_points(stream, ["user_id"])
