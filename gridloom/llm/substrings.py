@@ -1,10 +1,10 @@
-"""Suffix-array dedup: prefix doubling over positions, sampled first, until ranks are unique or past the threshold.
+"""Suffix-array dedup by anchor hashing, in place of prefix doubling in rounds.
 
-The rank of a position for a length is a 64-bit name of the bytes that follow; names of doubled lengths come from pairs of
-names at growing offsets. Sorting every byte position in Spark would move some 16 bytes a byte and round, so the first
-rounds sort only a sample that no repeat can miss: of each THRESHOLD-byte string, the place with the smallest name of
-length ANCHOR. Positions whose rank is unique leave after each round; those that stay are sorted for their whole
-neighbourhood, and only then byte by byte at the threshold.
+The name of a position for a length is a 64-bit hash of the bytes that follow; names of doubled lengths come from pairs of
+names at growing offsets, within a text. Sorting every byte position in Spark would move some 16 bytes a byte and round, so
+only a sample that no repeat can miss is grouped: of each THRESHOLD-byte string, the place with the smallest name of
+length ANCHOR. Positions whose name is unique leave; those that stay are grouped by their whole neighbourhood, and only
+then compared byte by byte at the threshold.
 """
 
 from __future__ import annotations
