@@ -2,35 +2,126 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, documents, sized_join, texts, written
+from .shingles import _BLANK, _BYTE, _R, _mix
 
-#: Sentences in a span.
-SPAN = 3
-_SENTENCE = re.compile(r"[^.!?…。！？\n]*(?:[.!?…。！？]+[^\S\n]*|\n\s*|$)")
-_SPACES = re.compile(r"\s+")
+#: Non-blank bytes that count as a word, for scripts without spaces.
+WORD_BYTES = 8
 
 
-def sentences(text: str) -> list[str]:
-    """Parts of a text that join to the whole: each ends with its marks and the white space after, or with a line."""
-    return [s for s in _SENTENCE.findall(text) if s]
+class Rule(NamedTuple):
+    """A span is the shortest run from its first sentence that has at least so many sentences and words (or WORD_BYTES bytes for each
+    word). With cut, a sentence also ends after each word whose hash is a multiple of cut or that repeats the word before it: a passage
+    that begins or ends inside a sentence then has whole sentences of its own, the same in every text, whatever stands around it."""
 
+    sentences: int
+    words: int
+    cut: int
 
-def _keys(text: str, span: int) -> tuple[np.ndarray, list[int]]:
-    """A hash for each run of span consecutive sentences that have words, and the places of these sentences."""
-    import xxhash
 
-    parts = sentences(text)
-    normal = [" ".join(p.lower().split()) for p in parts]
-    at = [i for i, p in enumerate(normal) if any(c.isalnum() for c in p)]
-    found = [normal[i] for i in at]
-    return np.array([xxhash.xxh3_64_intdigest("\n".join(found[i : i + span]).encode("utf-8", "surrogatepass")) for i in range(len(found) - span + 1)], np.uint64).view(np.int64), at
+#: drop_spans' default: three whole sentences. The queries use PASSAGES.
+SENTENCES, PASSAGES = Rule(3, 0, 0), Rule(3, 24, 4)
+_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
+_LETTER = np.zeros(256, np.int64)  # letters and digits, and all bytes of other scripts
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_MARK = np.zeros(256, bool)
+_MARK[[*b".!?"]] = True
+_WIDE = (0xE280A6, 0xE38082, 0xEFBC81, 0xEFBC9F)  # … 。 ！ ？
+
+
+class Spans(NamedTuple):
+    """starts: the byte where each sentence begins, and the end. at: those with words. keys: a hash for each span, which begins at sentence
+    at[i] and ends before at[ends[i]]."""
+
+    starts: np.ndarray
+    at: np.ndarray
+    keys: np.ndarray
+    ends: np.ndarray
+
+
+def _wide_marks(raw: np.ndarray) -> np.ndarray:
+    """Where a sentence mark of three bytes ends that no other one follows."""
+    out = np.zeros(len(raw), bool)
+    if len(raw) > 2 and (raw >= 0xE2).any():
+        three = (raw[:-2].astype(np.uint32) << 16) | (raw[1:-1].astype(np.uint32) << 8) | raw[2:]
+        found = np.isin(three, _WIDE)
+        out[2:] = found
+        out[2:-3] &= ~found[3:]
+    return out
+
+
+def spans_of(raw: bytes, rule: Rule) -> Spans:
+    """Sentences join to the whole text: each ends with its marks and the white space after, or with a line. White space and the case
+    of A-Z don't count."""
+    raw = np.frombuffer(raw, np.uint8)
+    inner = ~_BLANK[raw]
+    wide = _wide_marks(raw)
+    first = np.flatnonzero(inner & np.r_[True, (~inner | wide)[:-1]]) if len(raw) else np.zeros(0, np.int64)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return Spans(np.array([0, len(raw)]) if len(raw) else np.zeros(1, np.int64), none, none, none)
+    last = np.flatnonzero(inner & np.r_[(~inner | wide)[1:] & ~wide[:-1] & ~inner[1:] | wide[:-1], True])
+    size = last + 1 - first
+    offset = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(offset, size)
+    power = np.cumprod(np.full(int(size.max()), _R, np.uint64))
+    solid = raw[inner]
+    words = _mix(np.add.reduceat(_BYTE[solid] * power[place], offset) + size.astype(np.uint64))
+    lines = np.cumsum(raw == 10)
+    ends = _MARK[raw[last]] | wide[last]
+    ends[:-1] |= lines[first[1:]] > lines[last[:-1]]
+    if rule.cut:
+        ends |= (words >> np.uint64(33)) % np.uint64(rule.cut) == 0
+        ends[1:] |= words[1:] == words[:-1]
+    ends[-1] = True
+    head = np.r_[0, np.flatnonzero(ends)[:-1] + 1]  # the first word of each sentence
+    spoken = np.add.reduceat(np.add.reduceat(_LETTER[solid], offset), head) > 0
+    at = np.flatnonzero(spoken)
+    count = np.diff(np.r_[head, len(words)])
+    words = words[np.repeat(spoken, count)]
+    n_words, n_bytes = np.r_[0, np.cumsum(count[at])], np.r_[0, np.cumsum(np.add.reduceat(size, head)[at])]
+    enough = np.minimum(np.searchsorted(n_words, n_words[:-1] + rule.words), np.searchsorted(n_bytes, n_bytes[:-1] + WORD_BYTES * rule.words))
+    until = np.maximum(np.arange(len(at)) + rule.sentences, enough)
+    until = until[until <= len(at)]
+    factor = np.cumprod(np.full(len(words) + 1, _R, np.uint64))
+    sums = np.r_[np.uint64(0), np.cumsum(words * factor[:-1], dtype=np.uint64)]
+    low, high = n_words[: len(until)], n_words[until]
+    back = np.cumprod(np.full(len(words) + 1, _INVERSE, np.uint64))
+    keys = _mix((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64))
+    return Spans(np.r_[0, first[head[1:]], len(raw)], at, keys.view(np.int64), until)
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def sentences(text: str, rule: Rule = SENTENCES) -> list[str]:
+    """The sentences of a text."""
+    raw = _bytes(text)
+    edges = spans_of(raw, rule).starts.tolist()
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(edges, edges[1:])]
+
+
+def without(text: str, places: list[int], rule: Rule) -> tuple[str, int]:
+    """The text without the sentences of the spans at these places, and how many they are."""
+    raw = _bytes(text)
+    found = spans_of(raw, rule)
+    gone = np.zeros(len(found.starts), np.int64)
+    low, high = np.asarray(places), found.ends[places]
+    np.add.at(gone, low, 1)
+    np.add.at(gone, high, -1)
+    cut = found.at[np.flatnonzero(np.cumsum(gone)[: len(found.at)] > 0)]
+    keep = np.ones(len(found.starts) - 1, bool)
+    keep[cut] = False
+    edges = found.starts.tolist()
+    return b"".join(raw[edges[i] : edges[i + 1]] for i in np.flatnonzero(keep).tolist()).decode("utf-8", "surrogatepass"), len(cut)
 
 
 def _row_key(docs: DataFrame) -> list:
@@ -39,13 +130,13 @@ def _row_key(docs: DataFrame) -> list:
     return [F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", zero).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
 
 
-def span_rows(docs: DataFrame, span: int) -> DataFrame:
+def span_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     """A row for each span: h, unknown, doc_id and text_hash of its row, at (its number in the row), again (the row has it before)."""
     key = ["unknown", "doc_id", "text_hash"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [_keys(t, span)[0] for t in batch["text"]]
+            keys = [spans_of(_bytes(t), rule).keys for t in batch["text"]]
             n = [len(k) for k in keys]
             rows = pd.DataFrame({"h": np.concatenate(keys) if keys else np.zeros(0, np.int64), "row": np.repeat(np.arange(len(n)), n), **{c: np.repeat(batch[c].to_numpy(), n) for c in key}, "at": np.concatenate([np.arange(x) for x in n]).astype(np.int32) if n else np.zeros(0, np.int32)})
             rows["again"] = rows.duplicated(["row", "h"])
@@ -55,10 +146,10 @@ def span_rows(docs: DataFrame, span: int) -> DataFrame:
     return rows.mapInPandas(run, f"h long, unknown boolean, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, at int, again boolean")
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, rule: Rule = SENTENCES) -> DataFrame:
     """key (unknown, doc_id, text_hash), at: every span that occurs before, by (key, at). What a row has before is known without a join; of the
     others, counts are summed before they move, so a span of any frequency is one row a task."""
-    rows = written(span_rows(docs, span).select("h", F.struct("unknown", "doc_id", "text_hash").alias("key"), "at", "again"))
+    rows = written(span_rows(docs, rule).select("h", F.struct("unknown", "doc_id", "text_hash").alias("key"), "at", "again"))
     new = rows.where("not again").select("h", "key", "at")
     first = new.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
     first = written(first.select("h", "first_key"))
@@ -68,38 +159,28 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return out
 
 
-def drop_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def drop_spans(docs: DataFrame, rule: Rule = SENTENCES) -> DataFrame:
     """The rows and columns of docs, with the sentences gone from text that a repeated span covers, and n_removed, the
     number of those sentences. The first span of a kind, by (doc_id, text hash, place) and null ids last, keeps its sentences.
 
     A document may end up empty; its row stays. Null texts stay null. Rows that share a doc_id and the whole text count as one
-    row: they can't be told apart, so they are not compared with each other and lose the same places. Columns named as in our results are passed through."""
-    found = repeated_spans(docs, span)
-    cut = written(found.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("gridloom_cut")))  # of one document each
-    names = ["gridloom_unknown", "gridloom_id", "gridloom_hash"]
-    cut = cut.select(*[F.col(f"key.{c}").alias(n) for c, n in zip(("unknown", "doc_id", "text_hash"), names)], "gridloom_cut")
-    rest = docs.select("*", *[c.alias(n) for c, n in zip(_row_key(docs), names)]).join(cut, names, "left").drop(*names)
+    row: they can't be told apart, so they are not compared with each other and lose the same places. A column n_removed of docs
+    gives way; all other columns are passed through, whatever their names."""
+    found = repeated_spans(docs, rule)
+    cut = written(found.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("cut")))  # of one document each
     discard(found)
+    names = [c for c in docs.columns if c != "n_removed"]
+    rows = docs.select(F.struct(*_row_key(docs)).alias("key"), F.struct(*names).alias("row"))
+    rest = rows.join(cut, "key", "left").select("row", "cut")
 
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, cuts in batches:
-            kept, removed = [], []
-            for t, c in zip(text, cuts):
-                if c is None or t is None or not len(c):
-                    kept.append(t)
-                    removed.append(0)
-                    continue
-                parts = sentences(t)
-                at = _keys(t, span)[1]
-                gone = {at[i + k] for i in c for k in range(span) if i + k < len(at)}
-                kept.append("".join(p for i, p in enumerate(parts) if i not in gone))
-                removed.append(len(gone))
-            yield pd.DataFrame({"text": kept, "n_removed": removed})
-
-    done = F.pandas_udf(clean, "text string, n_removed int")("text", "gridloom_cut")
-    names = [c for c in docs.columns if c != "n_removed"]
-    return rest.withColumn("gridloom_done", done).select(*[F.col("gridloom_done.text").alias("text") if c == "text" else F.col(c) for c in names], F.col("gridloom_done.n_removed").alias("n_removed"))
+            done = [(t, 0) if c is None or t is None or not len(c) else without(t, list(c), rule) for t, c in zip(text, cuts)]
+            yield pd.DataFrame(done, columns=["text", "n_removed"])
+
+    done = rest.withColumn("done", F.pandas_udf(clean, "text string, n_removed int")("row.text", "cut"))
+    return done.select(*[F.col("done.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], F.col("done.n_removed").alias("n_removed"))
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
-    return drop_spans(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")
+    return drop_spans(documents(spark, sf_dir), PASSAGES).select("doc_id", "n_removed", "text")

@@ -271,21 +271,53 @@ def test_spans(spark):
     assert got[4] == (None, 0) and got[5] == ("", 0) and got[6] == ("", 6)
 
 
-def test_spans_brute(spark, folder):
-    got = result(spark, "op10_substrings", folder).set_index("doc_id")
-    seen, gone = set(), {}
+def brute_sentences(text, rule):
+    """Sentences by a loop over words: white space and wide marks part words."""
+    words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D…。！？]*[…。！？]+|[^\x20\x09-\x0D…。！？]+", text)]
+    if not words:
+        return [text] if text else []
+    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), text[slice(*w)])
+    ends = []
+    for i, (a, b) in enumerate(words):
+        after = text[b : words[i + 1][0]] if i + 1 < len(words) else "\n"
+        end = text[b - 1] in ".!?…。！？" or "\n" in after
+        if rule.cut:
+            end = end or int(shingles.word_hashes(np.frombuffer(low((a, b)).encode(), np.uint8))[0]) // 2**33 % rule.cut == 0 or (i > 0 and low(words[i - 1]) == low((a, b)))
+        if end:
+            ends.append(words[i + 1][0] if i + 1 < len(words) else len(text))
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def brute_spans(text, rule):
+    """Sentences, and for each span its words and the numbers of its sentences."""
+    parts = brute_sentences(text, rule)
+    own = [re.findall(r"[^\x20\x09-\x0D…。！？]*[…。！？]+|[^\x20\x09-\x0D…。！？]+", re.sub("[A-Z]", lambda m: m[0].lower(), p)) for p in parts]
+    at = [i for i, w in enumerate(own) if re.search(r"[0-9a-z\x80-\U0010ffff]", "".join(w))]
+    found = []
+    for j in range(len(at)):
+        for e in range(j + rule.sentences, len(at) + 1):
+            held = [w for i in at[j:e] for w in own[i]]
+            if len(held) >= rule.words or sum(len(w.encode()) for w in held) >= 8 * rule.words:
+                found.append((tuple(held), at[j:e]))
+                break
+    return parts, found
+
+
+@pytest.mark.parametrize("rule", [spans.SENTENCES, spans.PASSAGES])
+def test_spans_brute(spark, folder, rule):
+    df = queries.QUERIES["op10_substrings"](spark, folder[0]) if rule == spans.PASSAGES else spans.drop_spans(common.documents(spark, folder[0]), rule)
+    got = df.toPandas().set_index("doc_id")
+    seen, gone, n_gone = set(), {}, {}
     for k in sorted(folder[1]):
-        parts = spans.sentences(folder[1][k])
-        assert "".join(parts) == folder[1][k]
-        at = [i for i, p in enumerate(parts) if any(c.isalnum() for c in p)]
-        runs = [tuple(" ".join(parts[i].lower().split()) for i in at[j : j + 3]) for j in range(len(at) - 2)]
+        parts, found = brute_spans(folder[1][k], rule)
+        assert "".join(parts) == folder[1][k] and parts == spans.sentences(folder[1][k], rule)
         out = set()
-        for j, run in enumerate(runs):
+        for run, its in found:
             if run in seen:
-                out |= set(at[j : j + 3])
+                out |= set(its)
             seen.add(run)
-        gone[k] = "".join(p for i, p in enumerate(parts) if i not in out)
-    assert {k: v or "" for k, v in got["text"].items()} == gone
+        gone[k], n_gone[k] = "".join(p for i, p in enumerate(parts) if i not in out), len(out)
+    assert {k: v or "" for k, v in got["text"].items()} == gone and got["n_removed"].to_dict() == n_gone
 
 
 def test_media_formats():
