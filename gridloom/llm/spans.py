@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, documents, sized_join, texts, written
+from .common import discard, documents, texts, written
 from .shingles import _BLANK, _BYTE, _R, _mix
 
 #: Non-blank bytes that count as a word, for scripts without spaces.
@@ -131,30 +131,42 @@ def _row_key(docs: DataFrame) -> list:
 
 
 def span_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """A row for each span: h, unknown, doc_id and text_hash of its row, at (its number in the row), again (the row has it before)."""
+    """unknown, doc_id and text_hash of a row with h and at, the hash and number of each span that the row does not have before, or with
+    again, the numbers of those that it has."""
     key = ["unknown", "doc_id", "text_hash"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [spans_of(_bytes(t), rule).keys for t in batch["text"]]
-            n = [len(k) for k in keys]
-            rows = pd.DataFrame({"h": np.concatenate(keys) if keys else np.zeros(0, np.int64), "row": np.repeat(np.arange(len(n)), n), **{c: np.repeat(batch[c].to_numpy(), n) for c in key}, "at": np.concatenate([np.arange(x) for x in n]).astype(np.int32) if n else np.zeros(0, np.int32)})
-            rows["again"] = rows.duplicated(["row", "h"])
-            yield rows.drop(columns="row")
+            new, rows = [], []
+            for i, text in enumerate(batch["text"]):
+                keys = spans_of(_bytes(text), rule).keys
+                by = np.argsort(keys, kind="stable")
+                first = np.ones(len(keys), bool)
+                first[by[1:]] = keys[by[1:]] != keys[by[:-1]]
+                new.append((i, keys[first], np.flatnonzero(first)))
+                if not first.all():
+                    rows.append((i, np.flatnonzero(~first).tolist()))
+            for part in (new, rows):
+                if part:
+                    n = [len(x[1]) for x in part] if part is new else 1
+                    own = batch.iloc[np.repeat([x[0] for x in part], n)][key].reset_index(drop=True)
+                    h, at = (np.concatenate([x[k] for x in part]) for k in (1, 2)) if part is new else (None, None)
+                    yield own.assign(h=pd.array(h, "Int64") if part is new else None, at=pd.array(at, "Int32") if part is new else None, again=None if part is new else [x[1] for x in part])
 
     rows = texts(docs).select(*_row_key(docs), "text")
-    return rows.mapInPandas(run, f"h long, unknown boolean, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, at int, again boolean")
+    return rows.mapInPandas(run, f"unknown boolean, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, h long, at int, again array<int>")
 
 
 def repeated_spans(docs: DataFrame, rule: Rule = SENTENCES) -> DataFrame:
-    """key (unknown, doc_id, text_hash), at: every span that occurs before, by (key, at). What a row has before is known without a join; of the
-    others, counts are summed before they move, so a span of any frequency is one row a task."""
-    rows = written(span_rows(docs, rule).select("h", F.struct("unknown", "doc_id", "text_hash").alias("key"), "at", "again"))
-    new = rows.where("not again").select("h", "key", "at")
+    """key (unknown, doc_id, text_hash), cut: the numbers of a row's spans that occur before, by (key, number). What a row has before is
+    known without a join; of the others, counts are summed before they move, so a span of any frequency is one row a task."""
+    rows = written(span_rows(docs, rule).select(F.struct("unknown", "doc_id", "text_hash").alias("key"), "h", "at", "again"))
+    new = rows.where("h is not null").select("h", "key", "at")
     first = new.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
     first = written(first.select("h", "first_key"))
-    later = sized_join(new, first, "h", "inner", 32, 24).where("key <> first_key").select("key", "at")
-    out = written(later.unionByName(rows.where("again").select("key", "at")))
+    later = new.join(first.hint("shuffle_merge"), "h").where("key <> first_key").select("key", F.array("at").alias("at"))
+    found = later.unionByName(rows.where("h is null").select("key", F.col("again").alias("at")))
+    out = written(found.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("cut")))  # of one document each
     discard(rows, first)
     return out
 
@@ -166,9 +178,7 @@ def drop_spans(docs: DataFrame, rule: Rule = SENTENCES) -> DataFrame:
     A document may end up empty; its row stays. Null texts stay null. Rows that share a doc_id and the whole text count as one
     row: they can't be told apart, so they are not compared with each other and lose the same places. A column n_removed of docs
     gives way; all other columns are passed through, whatever their names."""
-    found = repeated_spans(docs, rule)
-    cut = written(found.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("cut")))  # of one document each
-    discard(found)
+    cut = repeated_spans(docs, rule)
     names = [c for c in docs.columns if c != "n_removed"]
     rows = docs.select(F.struct(*_row_key(docs)).alias("key"), F.struct(*names).alias("row"))
     rest = rows.join(cut, "key", "left").select("row", "cut")
