@@ -135,23 +135,32 @@ def span_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     again, the numbers of those that it has."""
     key = ["unknown", "doc_id", "text_hash"]
 
+    def table(of: pd.DataFrame, found: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        n = [len(x[1]) for x in found]
+        rows = np.repeat([x[0] for x in found], n)
+        return pd.DataFrame({c: of[c].to_numpy()[rows] for c in key} | {"h": np.concatenate([x[1] for x in found]), "at": np.concatenate([x[2] for x in found]), "again": None})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            new, rows = [], []
+            new, held, rows = [], 0, []
             for i, text in enumerate(batch["text"]):
                 keys = spans_of(_bytes(text), rule).keys
                 by = np.argsort(keys, kind="stable")
                 first = np.ones(len(keys), bool)
                 first[by[1:]] = keys[by[1:]] != keys[by[:-1]]
-                new.append((i, keys[first], np.flatnonzero(first)))
+                if len(keys):
+                    new.append((i, keys[first], np.flatnonzero(first).astype(np.int32)))
+                    held += len(keys)
+                if held > 100_000:
+                    yield table(batch, new)
+                    new, held = [], 0
                 if not first.all():
-                    rows.append((i, np.flatnonzero(~first).tolist()))
-            for part in (new, rows):
-                if part:
-                    n = [len(x[1]) for x in part] if part is new else 1
-                    own = batch.iloc[np.repeat([x[0] for x in part], n)][key].reset_index(drop=True)
-                    h, at = (np.concatenate([x[k] for x in part]) for k in (1, 2)) if part is new else (None, None)
-                    yield own.assign(h=pd.array(h, "Int64") if part is new else None, at=pd.array(at, "Int32") if part is new else None, again=None if part is new else [x[1] for x in part])
+                    rows.append((i, np.flatnonzero(~first).astype(np.int32)))
+            if new:
+                yield table(batch, new)
+            if rows:
+                own = batch.loc[[i for i, _ in rows], key].reset_index(drop=True)
+                yield own.assign(h=pd.array([None] * len(rows), "Int64"), at=pd.array([None] * len(rows), "Int32"), again=[x for _, x in rows])
 
     rows = texts(docs).select(*_row_key(docs), "text")
     return rows.mapInPandas(run, f"unknown boolean, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, h long, at int, again array<int>")
