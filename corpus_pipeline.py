@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines once in the corpus; every document stays, if only as an empty text."""
-    return _as_documents(lines.dedup_lines(docs, lines.GRAMS))
+    return _as_documents(lines.dedup_lines(docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def dedup_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of sentences once in the corpus; every document stays."""
-    return _as_documents(spans.drop_spans(docs))
+    return _as_documents(spans.drop_spans(docs, spans.PASSAGES))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL: a trained network, SimHash and a tokenizer take part. tests/llm/test_pipeline.py has a brute-force version.
+#: No SQL: a trained network, SimHash and a tokenizer take part. tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
