@@ -1,12 +1,13 @@
 """Line dedup, fuzzy: SimHash of normalised lines, pigeonhole blocks, edit similarity, one kept of each group.
 
-DataFrame functions only."""
+A line's features are dealt to PARTS parts by their hashes, and each part has its own SimHash, a block of the whole one. A changed
+word is a feature gone and a feature more, so it touches two blocks at most and leaves all others as they were, however long the
+line is: that is the pigeonhole. DataFrame functions only."""
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,23 +16,18 @@ from .components import components
 
 #: Linked lines have an edit similarity of at least SIMILARITY percent.
 SIMILARITY = 80
-#: SimHash bits, as fields of three counters in each sum.
-BITS, FIELD = 63, 21
+#: Features are distinct words; in lines of fewer than FEW of them, runs of GRAM characters.
+FEW, GRAM = 8, 3
+#: Blocks of a SimHash, and the features that a key of blocks has at least: one block, or two or three of those with too few each.
+PARTS, NEED = 7, 4
+#: Each sum counts four of a block's bits in 15-bit fields.
+SUMS, FIELDS = 10, sum(1 << 15 * f for f in range(4))
+#: Lines that share a key are compared where at most so many of their 280 bits differ; of unrelated ones some 120 do.
+DISTANCE = 93
+#: In lines of at most so many characters every pair that the edit similarity allows is found, by deletions.
+SHORT = 14
 #: Rounds of comparing the lines of each block of more than CROWD with one of them, before pairs.
 ROUNDS, CROWD = 2, 8
-
-
-class Near(NamedTuple):
-    """Which lines are compared: those whose SimHashes of all runs of gram characters (0: of distinct words) differ in at most
-    distance bits, and all of at most short characters that the edit similarity allows."""
-
-    gram: int
-    distance: int
-    short: int
-
-
-#: The queries use GRAMS. WORDS is dedup_lines' default, as callers know it: an edited word moves more than 2 bits of most lines.
-WORDS, GRAMS = Near(0, 2, 0), Near(3, 4, 14)
 _LOW = -(1 << 63)
 
 
@@ -52,42 +48,49 @@ def place() -> Column:
     return F.col("gid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
 
 
-def simhashes(lines: DataFrame, gram: int = 0) -> DataFrame:
-    """place, sim: for each bit, whether most features' hashes have it. Features are distinct words, or every run of gram characters.
-    Three 21-bit counters share a sum, for lines of up to two million features; beyond, counters run over, alike for equal lines."""
-    runs = F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
-    features = F.when(F.char_length("norm") < gram, F.array("norm")).otherwise(runs) if gram else F.array_distinct(F.split("norm", " "))
-    words = lines.select("place", F.explode_outer(features).alias("w")).select("place", F.xxhash64("w").alias("h"))
-    mask = sum(1 << FIELD * i for i in range(3))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(mask))).alias(f"s{i}") for i in range(FIELD)]
-    counted = words.groupBy("place").agg(F.count("*").alias("n"), *sums)
-    bit = lambda i, f: F.when(F.shiftrightunsigned(f"s{i}", FIELD * f).bitwiseAND(F.lit((1 << FIELD) - 1)) * 2 > F.col("n"), F.lit(1 << (FIELD * f + i))).otherwise(F.lit(0).cast("long"))
-    return counted.select("place", reduce(lambda a, b: a.bitwiseOR(b), [bit(i, f) for i in range(FIELD) for f in range(3)]).alias("sim"))
-
-
-def blocks(sims: DataFrame, distance: int) -> DataFrame:
-    """Each line under every two of distance + 2 blocks of its SimHash: distance differing bits leave two blocks alike."""
-    parts = distance + 2  # explode_outer, as the arrays are never empty and explode would make them twice, for a filter
-    ends = [BITS * i // parts for i in range(parts + 1)]
-    part = lambda i: F.shiftrightunsigned("sim", ends[i]).bitwiseAND(F.lit((1 << ends[i + 1] - ends[i]) - 1))
-    keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(part(i), 16)).bitwiseOR(part(j)) for t, (i, j) in enumerate(combinations(range(parts), 2))]
-    return sims.select("place", "sim", "size", F.explode_outer(F.array(*keys)).alias("block"))
-
-
-def short_blocks(lines: DataFrame, short: int) -> DataFrame:
+def simhashes(lines: DataFrame) -> DataFrame:
+    """place, sizes and sims of a line's parts: how many features each has, and its bits, set where most features' hashes have them.
+    Counters hold 16,383 features of a part; beyond, they run over, alike for equal parts."""
+    few = f"if(char_length(norm) < {GRAM}, array(norm), array_distinct(regexp_extract_all(norm, '(?s)(?=(.{{{GRAM}}}))', 1)))"
+    found = lines.selectExpr("place", "norm", "array_distinct(split(norm, ' ')) as words")
+    found = found.selectExpr("place", f"transform(if(size(words) >= {FEW}, words, {few}), x -> xxhash64(x)) as h")
+    parts = range(PARTS)
+    found = found.selectExpr("place", *[f"filter(h, x -> pmod(x, {PARTS}) = {p}) as p{p}" for p in parts])
+    sums = [f"aggregate(p{p}, 0L, (n, x) -> n + (shiftrightunsigned(x, {i}) & {FIELDS}L) & {(1 << 60) - 1}L) as s{p}_{i}" for p in parts for i in range(SUMS)]
+    found = found.selectExpr("place", *[f"size(p{p}) as n{p}" for p in parts], *sums)
+    # a field and 16383 less half the features reach its highest bit where the field is more than half
+    most = lambda p, i: f"shiftleft(shiftrightunsigned(s{p}_{i} + greatest(16383 - n{p} div 2, 0) * {FIELDS}L, 14) & {FIELDS}L, {i})"
+    sims = [" | ".join(most(p, i) for i in range(SUMS)) for p in parts]
+    return found.selectExpr("place", f"array({', '.join(f'n{p}' for p in parts)}) as sizes", f"array({', '.join(sims)}) as sims")
+
+
+def blocks(sims: DataFrame) -> DataFrame:
+    """place, block: each line under a key for every part of at least NEED features, and for every two or three parts that have
+    as many only together."""
+    keys = []
+    for k in (1, 2, 3):
+        for t in combinations(range(PARTS), k):
+            count = lambda v: " + ".join(f"sizes[{i}]" for i in v)
+            fewer = "".join(f" and {count(v)} < {NEED}" for v in combinations(t, k - 1) if v)
+            keys.append(f"if({count(t)} >= {NEED}{fewer}, xxhash64({sum(1 << i for i in t)}, {', '.join(f'sims[{i}]' for i in t)}), null)")
+    return sims.select("place", F.explode(F.expr(f"array_compact(array({', '.join(keys)}))")).alias("block"))
+
+
+def short_blocks(lines: DataFrame, short: int = SHORT) -> DataFrame:
     """Short lines under each string that deleting up to as many characters leaves as an allowed edit distance has: two lines
-    within that distance have such a string in common. A SimHash of few features says little of them; theirs is 0 here."""
+    within that distance have such a string in common. A SimHash of few features says little of them."""
     most = lambda size: f"int(floor({size} * {100 - SIMILARITY} / 100))"
     # the longer line of a pair has at most size + deletions characters
     deep = reduce(lambda was, k: f"if(size + {k} <= {short} and {most(f'(size + {k})')} >= {k}, {most(f'(size + {k})')}, {was})", range(1, short * (100 - SIMILARITY) // 100 + 1), "0")
     deep = f"greatest({deep}, {most('size')})"
     without = lambda x: f"transform(sequence(1, char_length({x})), i -> concat(substring({x}, 1, i - 1), substring({x}, i + 1)))"
-    found = lines.where(f"size <= {short}").selectExpr("place", "size", f"{deep} as deep", f"array(left(norm, {short})) as level", f"array(left(norm, {short})) as every")  # left: Spark may work on all lines before it filters
+    sized = lines.select("place", "norm", F.char_length("norm").alias("size"))
+    found = sized.where(f"size <= {short}").selectExpr("place", "size", f"{deep} as deep", f"array(left(norm, {short})) as level", f"array(left(norm, {short})) as every")  # left: Spark may work on all lines before it filters
     for k in range(1, short * (100 - SIMILARITY) // 100 + 1):
         found = found.withColumn("level", F.expr(f"if(deep >= {k}, array_distinct(flatten(transform(level, s -> {without('s')}))), array())"))
         found = found.withColumn("every", F.concat("every", "level"))
-    rows = found.where("deep > 0").select("place", F.lit(0).cast("long").alias("sim"), "size", F.explode_outer("every").alias("s"))
-    return rows.select("place", "sim", "size", F.xxhash64("s").bitwiseOR(F.lit(_LOW)).alias("block"))
+    rows = found.where("deep > 0").select("place", F.explode_outer("every").alias("s"))
+    return rows.select("place", F.xxhash64("s").alias("block"))
 
 
 def similar(a: str, b: str) -> Column:
@@ -102,82 +105,92 @@ def similar(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of places those whose lines are similar."""
+    """Of rows with places a and b those whose lines are similar."""
     ids = written(pairs.select(F.col("a").alias("place")).unionByName(pairs.select(F.col("b").alias("place"))).distinct())
     named = written(sized_join(lines.select("place", "norm"), ids, "place", "left_semi", 40))
     both = pairs.join(named.selectExpr("place as b", "norm as b_norm"), "b").join(named.selectExpr("place as a", "norm as a_norm"), "a")
-    links = written(both.where(similar("a_norm", "b_norm")).select("a", "b"))
+    links = written(both.where(similar("a_norm", "b_norm")).drop("a_norm", "b_norm"))
     discard(ids, named)
     return links
 
 
-def line_groups(lines: DataFrame, near: Near) -> DataFrame:
+def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """labels (node, component) with the components linked by edges (a, b) of components made one."""
+    moved = written(components(edges))
+    if labels is None:
+        return moved
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    mid = labels.select("node", F.col("component").alias("mid"))
+    known = sized_join(mid, moved.select(F.col("node").alias("mid"), "component"), "mid", "left", 40).select("node", F.coalesce("component", "mid").alias("component"))
+    out = written(known.unionByName(new))
+    discard(moved, labels)
+    return out
+
+
+def line_groups(lines: DataFrame) -> DataFrame:
     """node, component: places of linked lines among distinct lines (norm, place), each with its group's smallest place.
 
     No pair of a block is left out, but pairs within what is already one group are not made: ROUNDS times each crowded block that
     holds several groups compares its lines with one of them (another each time), and only then are lines of different groups
     that still share a block compared pair by pair."""
-    sized = lines.select("place", "norm", F.char_length("norm").alias("size"))
-    sims = written(simhashes(lines, near.gram).join(sized.select("place", "size"), "place"))
-    dealt = blocks(sims, near.distance)
-    if near.short:
-        dealt = dealt.unionByName(short_blocks(sized, near.short))
-    crowded = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(dealt.join(crowded, "block"))
-    discard(sims)
-    links, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("place"))
-    close = f"bit_count(x.sim ^ y.sim) <= {near.distance} and abs(x.size - y.size) * 100 <= greatest(x.size, y.size) * {100 - SIMILARITY}"
+    sims = written(simhashes(lines))
+    dealt = blocks(sims).unionByName(short_blocks(lines))
+    crowded = written(dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
+    met = written(sized_join(dealt, crowded, "block", "inner", 24, 24))
+    member = written(met.select("place").distinct())
+    there = sized_join(sims, member, "place", "left_semi", 24, 24).join(lines.select("place", F.char_length("norm").alias("size")), "place")
+    shared = written(met.join(there.select("place", "size", "sims"), "place"))
+    discard(sims, crowded, met, member)
+    labels, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("place"))
+    apart = " + ".join(f"bit_count(x.sims[{p}] ^ y.sims[{p}])" for p in range(PARTS))
+    close = f"abs(x.size - y.size) * 100 <= greatest(x.size, y.size) * {100 - SIMILARITY} and (greatest(x.size, y.size) <= {SHORT} or {apart} <= {DISTANCE})"
     for r in range(ROUNDS + 1):
-        pivot = F.min(F.struct(F.xxhash64("place", F.lit(r)).alias("order"), "place", "sim", "size", "component")).alias("y")
+        pivot = F.min(F.struct(F.xxhash64("place", F.lit(r)).alias("order"), "place", "sims", "size", "component")).alias("y")
         open_blocks = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low <> high")
         if r < ROUNDS:
             tried = known.alias("x").join(open_blocks.select("block", "y"), "block").where(f"x.component <> y.component and {close}")
-            pairs = tried.select(F.col("y.place").alias("a"), F.col("x.place").alias("b"))
         else:
             left = written(known.join(open_blocks.select("block"), "block", "left_semi"))
             tried = left.alias("x").join(left.alias("y"), F.expr(f"x.block = y.block and x.place < y.place and x.component <> y.component and {close}"))
-            pairs = tried.select(F.col("x.place").alias("a"), F.col("y.place").alias("b"))
-        tried = written(pairs.distinct())
+        tried = written(tried.selectExpr("x.place as a", "y.place as b", "x.component as own", "y.component as other").distinct())
         found = verified(tried, lines)
-        discard(tried, known)
-        links = found if links is None else written(links.unionByName(found))
-        labels = written(components(links))
+        edges = found.select(F.col("own").alias("a"), F.col("other").alias("b"))
+        labels = joined(labels, edges)
+        discard(tried, found, known)
         if r < ROUNDS:
-            member = labels.withColumnRenamed("node", "place")
             rows = shared.where(f"n > {CROWD}") if r + 1 < ROUNDS else shared
-            known = written(sized_join(rows, member, "place", "left", 40).withColumn("component", F.coalesce("component", "place")))
-    discard(shared, left, links)
+            known = written(sized_join(rows, labels.withColumnRenamed("node", "place"), "place", "left", 40).withColumn("component", F.coalesce("component", "place")))
+    discard(shared, left)
     return labels
 
 
-def dedup_lines(docs: DataFrame, near: Near = WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, with only the first line of each group of linked or equal lines left in text, by
     (doc_id, line), and n_removed, the number of lines removed.
 
     Lines without a letter or digit stay. Null texts stay null, null ids come first; rows that share a doc_id
-    count as one document. A document may end up empty; its row stays. A column n_removed of docs gives way."""
+    count as one document. A document may end up empty; its row stays. A column n_removed of docs gives way; all others are
+    passed through, whatever their names."""
     rows = line_rows(docs)
     lines = rows.groupBy("k1", "k2", "norm").agg(F.min(place()).alias("place"), F.count("*").alias("n"))
     lines = written(lines)
-    groups = line_groups(lines, near)
+    groups = line_groups(lines.select("place", "norm"))
     known = lines.select("k1", "k2", "place", "n")
     member = groups.select(F.col("node").alias("place"), "component")
     known = sized_join(known, member, "place", "left", 40)
     gone = written(known.where("n > 1 or place <> component").select("k1", "k2", F.coalesce("component", "place").alias("kept")))
     hits = sized_join(rows.select("gid", "line_no", "k1", "k2"), gone, ["k1", "k2"], "inner", 40, 24)
-    cut = hits.where(place() != F.col("kept")).groupBy("gid").agg(F.collect_set("line_no").alias("gridloom_cut"))
-    cut = written(cut.withColumnRenamed("gid", "gridloom_gid"))
+    cut = written(hits.where(place() != F.col("kept")).groupBy("gid").agg(F.collect_set("line_no").alias("cut")))
     discard(lines, groups, gone)
-    left = docs.withColumn("gridloom_gid", F.coalesce(F.col("doc_id"), F.lit(_LOW)))
-    size = cut.agg(F.coalesce(F.sum(F.size("gridloom_cut")), F.lit(0)).alias("n")).first()["n"]
-    fits = size * 4 < 24_000_000 and small(cut, 48, 24)
-    out = left.join(F.broadcast(cut) if fits else cut.hint("shuffle_merge"), "gridloom_gid", "left")
-    out = out.withColumn("gridloom_lines", F.split("text", "\n"))
-    kept = F.expr(r"array_join(transform(array_except(sequence(0, size(gridloom_lines) - 1), gridloom_cut), i -> gridloom_lines[i]), '\n')")
-    text = F.when(F.col("gridloom_cut").isNull(), F.col("text")).otherwise(kept)
     names = [c for c in docs.columns if c != "n_removed"]
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], F.when(F.col("gridloom_cut").isNull(), 0).otherwise(F.size("gridloom_cut")).alias("n_removed"))
+    left = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LOW)).alias("gid"), F.struct(*names).alias("row"))
+    size = cut.agg(F.coalesce(F.sum(F.size("cut")), F.lit(0)).alias("n")).first()["n"]
+    fits = size * 4 < 24_000_000 and small(cut, 48, 24)
+    out = left.join(F.broadcast(cut) if fits else cut.hint("shuffle_merge"), "gid", "left").withColumn("parts", F.split("row.text", "\n"))
+    kept = F.expr(r"array_join(transform(array_except(sequence(0, size(parts) - 1), cut), i -> parts[i]), '\n')")
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(kept)
+    return out.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).alias("n_removed"))
 
 
 def op8_lines(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir), GRAMS).select("doc_id", "n_removed", "text")
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")

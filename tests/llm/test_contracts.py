@@ -1,12 +1,14 @@
 """The numbered queries against brute-force versions, on the smallest tables and on fixtures of odd rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from gridloom.llm import chat, common, components, lines, media, packing, pieces, quality, queries, shingles, sketches, spans, substrings
 
@@ -177,9 +179,22 @@ def test_components(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7), (8, 7), (9, 7)}
 
 
-def simhash_of(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "place long, norm string")
-    return {r["place"]: r["sim"] for r in lines.simhashes(df).collect()}
+def brute_blocks(text):
+    """Counts, bits and keys of a line's seven parts, by loops."""
+    words = list(dict.fromkeys(text.split(" ")))
+    if len(words) < 8:
+        words = list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2))) if len(text) > 2 else [text]
+    parts = [[] for _ in range(7)]
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), 42)
+        parts[(h - (h >> 63 << 64)) % 7].append(h)
+    sims = [[2 * sum(h >> (i + 15 * f) & 1 for h in p) > len(p) for i in range(10) for f in range(4)] for p in parts]
+    sizes, keys = [len(p) for p in parts], set()
+    for k in (1, 2, 3):
+        for t in itertools.combinations(range(7), k):
+            if sum(sizes[i] for i in t) >= 4 and all(sum(sizes[i] for i in v) < 4 for v in itertools.combinations(t, k - 1)):
+                keys.add((t, tuple(tuple(sims[i]) for i in t)))
+    return sims, keys
 
 
 def edit(a, b):
@@ -206,17 +221,20 @@ def test_lines(spark):
             own.append(" ".join(words))
         rows.append((k, "\n".join([*own, "---", ""])))
     rows += [(100, None), (101, ""), (102, "same line"), (103, "Same line "), (103, "same line")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as block", "7 as n_removed")
-    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(docs).where("doc_id < 100").collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as block", "7 as n_removed", "77 as gridloom_gid", "'z' as gridloom_lines", "5 as gid", "6 as cut", "array(8) as parts", "9 as row")
+    all_rows = lines.dedup_lines(docs).collect()
+    assert all((r["block"], r["gridloom_gid"], r["gridloom_lines"], r["gid"], r["cut"], r["parts"], r["row"]) == ("x", 77, "z", 5, 6, [8], 9) for r in all_rows) and len(all_rows) == len(rows)
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in all_rows if r["doc_id"] < 100)
     norm = lambda x: x.strip(" ").lower()
     there = [(k, i, norm(x)) for k, t in rows if t and k < 100 for i, x in enumerate(t.split("\n")) if any(c.isalnum() for c in x)]
     distinct = {}
     for k, i, x in there:
         distinct.setdefault(x, (k, i))
     texts = list(distinct)
-    sims = simhash_of(spark, texts)
+    made = [brute_blocks(x) for x in texts]
     low = {i: i for i in range(len(texts))}
-    links = [(i, j) for i in low for j in range(i) if bin((sims[i] ^ sims[j]) & (2**64 - 1)).count("1") <= 2 and edit(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j])) * 20 // 100]
+    differ = lambda i, j: sum(x != y for p, q in zip(made[i][0], made[j][0]) for x, y in zip(p, q))
+    links = [(i, j) for i in low for j in range(i) if made[i][1] & made[j][1] and differ(i, j) <= 93 and edit(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j])) * 20 // 100]
     assert links
     for _ in range(len(texts)):
         for a, b in links:
