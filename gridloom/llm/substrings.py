@@ -65,43 +65,43 @@ def sample(raw: np.ndarray, threshold: int = THRESHOLD, anchor: int = ANCHOR) ->
 
 
 def sampled_rows(docs: DataFrame, threshold: int) -> DataFrame:
-    """rank, around (the name of the whole neighbourhood), doc_id, low, high (first and last start) of sampled positions."""
+    """rank, around (the name of the whole neighbourhood), doc_id, mark, low, high (first and last start) of sampled positions."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, parts = [], []
-            for key, t in zip(batch["doc_id"], batch["text"]):
+            for key, mark, t in zip(batch["doc_id"], batch["mark"], batch["text"]):
                 raw = t.encode("utf-8", "surrogatepass")
                 rank, place, low, high = sample(np.frombuffer(raw, np.uint8), threshold)
                 if len(rank):
                     around = [xxhash.xxh3_64_intdigest(raw[a : b + threshold], int(p - a)) for p, a, b in zip(place, low.tolist(), high.tolist())]
-                    keys.append((key, len(rank)))
+                    keys.append((key, mark, len(rank)))
                     parts.append((rank.view(np.int64), np.array(around, np.uint64).view(np.int64), low, high))
             if parts:
                 rank, around, low, high = (np.concatenate(x) for x in zip(*parts))
-                yield pd.DataFrame({"rank": rank, "around": around, "doc_id": np.repeat(np.array([k for k, _ in keys]), [n for _, n in keys]), "low": low.astype(np.int32), "high": high.astype(np.int32)})
+                yield pd.DataFrame({"rank": rank, "around": around, "doc_id": np.repeat([k for k, _, _ in keys], [n for _, _, n in keys]), "mark": np.repeat([m for _, m, _ in keys], [n for _, _, n in keys]), "low": low.astype(np.int32), "high": high.astype(np.int32)})
 
-    return docs.mapInPandas(run, "rank long, around long, doc_id long, low int, high int")
+    return docs.mapInPandas(run, "rank long, around long, doc_id long, mark long, low int, high int")
 
 
 def _neighbourhoods(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
-    """wanted (rank, doc_id, low, high, lone) with the bytes of these strings' union."""
-    by_doc = written(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("rank", "low", "high", "lone")).alias("its")))
-    there = docs.join(by_doc.hint("shuffle_merge"), "doc_id")
+    """wanted (rank, doc_id, mark, low, high, lone) with the bytes of these strings' union."""
+    by_doc = written(wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("rank", "low", "high", "lone")).alias("its")))
+    there = docs.join(by_doc.hint("shuffle_merge"), ["doc_id", "mark"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t, its in zip(batch["doc_id"], batch["text"], batch["its"]):
+            for key, mark, t, its in zip(batch["doc_id"], batch["mark"], batch["text"], batch["its"]):
                 raw = t.encode("utf-8", "surrogatepass")
-                out += [(r["rank"], key, r["low"], r["lone"], raw[r["low"] : r["high"] + threshold]) for r in its]
+                out += [(r["rank"], key, mark, r["low"], r["lone"], raw[r["low"] : r["high"] + threshold]) for r in its]
                 if len(out) > 5000:
-                    yield pd.DataFrame(out, columns=["rank", "doc_id", "low", "lone", "data"])
+                    yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "data"])
                     out = []
-            yield pd.DataFrame(out, columns=["rank", "doc_id", "low", "lone", "data"])
+            yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "data"])
 
-    return there.mapInPandas(run, "rank long, doc_id long, low int, lone boolean, data binary")
+    return there.mapInPandas(run, "rank long, doc_id long, mark long, low int, lone boolean, data binary")
 
 
 def _starts(data: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def _starts(data: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _resolve(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """Runs of repeated starts among rows, which hold all rows of their ranks: doc_id, low, high."""
+    """Runs of repeated starts among rows, which hold all rows of their ranks: doc_id, mark, low, high."""
     name, row, start = _starts(rows["data"].tolist(), threshold)
     by = np.argsort(name, kind="stable")
     same = name[by][1:] == name[by][:-1]
@@ -125,27 +125,27 @@ def _resolve(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
     again &= rows["lone"].to_numpy(bool)[row]
     at = np.flatnonzero(again)
     if not len(at):
-        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "low": np.zeros(0, np.int32), "high": np.zeros(0, np.int32)})
+        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "mark": np.zeros(0, np.int64), "low": np.zeros(0, np.int32), "high": np.zeros(0, np.int32)})
     first = np.r_[True, (np.diff(at) != 1) | (row[at][1:] != row[at][:-1])]
     last = np.r_[first[1:], True]
     base = rows["low"].to_numpy()[row[at]]
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[row[at][first]], "low": (base + start[at])[first].astype(np.int32), "high": (base + start[at])[last].astype(np.int32)})
+    return pd.DataFrame({**{c: rows[c].to_numpy()[row[at][first]] for c in ("doc_id", "mark")}, "low": (base + start[at])[first].astype(np.int32), "high": (base + start[at])[last].astype(np.int32)})
 
 
 def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, low, high: runs of starts of strings of threshold bytes that also start elsewhere. docs: doc_id, text."""
+    """doc_id, mark, low, high: runs of starts of strings of threshold bytes that also start elsewhere. docs: doc_id, mark (with it, they name a text), text."""
     rows = written(sampled_rows(docs, threshold))
     ranks = written(rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"))  # written, so that Spark can split a frequent rank
     live = written(rows.join(ranks, "rank"))  # past this round: equal for ANCHOR bytes
     discard(rows, ranks)
-    whole = live.groupBy("rank", "around").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    whole = live.groupBy("rank", "around").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("mark", "doc_id").alias("mark"))
     whole = written(whole)
-    equal = live.join(whole.where("n > 1").select("rank", "around"), ["rank", "around"], "left_semi").select("doc_id", "low", "high")
+    equal = live.join(whole.where("n > 1").select("rank", "around"), ["rank", "around"], "left_semi").select("doc_id", "mark", "low", "high")
     several = written(whole.groupBy("rank").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     # a row for each kind of neighbourhood: for equal ones those of its smallest document, which are settled (not lone)
     one = whole.join(several, "rank")
-    wanted = live.join(one, ["rank", "around", "doc_id"]).groupBy("rank", "around", "doc_id", "n", "kinds").agg(F.min(F.struct("low", "high")).alias("at"))
-    wanted = written(wanted.select("rank", "doc_id", "at.low", "at.high", (F.col("n") == 1).alias("lone"), (F.col("kinds") > WIDE).alias("wide")))
+    wanted = live.join(one, ["rank", "around", "doc_id", "mark"]).groupBy("rank", "around", "doc_id", "mark", "n", "kinds").agg(F.min(F.struct("low", "high")).alias("at"))
+    wanted = written(wanted.select("rank", "doc_id", "mark", "at.low", "at.high", (F.col("n") == 1).alias("lone"), (F.col("kinds") > WIDE).alias("wide")))
 
     found = _neighbourhoods(docs, wanted.where("not wide"), threshold).repartition(2 * partitions(docs.sparkSession), "rank").sortWithinPartitions("rank")
 
@@ -162,7 +162,7 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if held is not None and len(held):
             yield _resolve(held, threshold)
 
-    parts = [equal, found.select("rank", "doc_id", "low", "lone", "data").mapInPandas(resolve, "doc_id long, low int, high int")]
+    parts = [equal, found.select("rank", "doc_id", "mark", "low", "lone", "data").mapInPandas(resolve, "doc_id long, mark long, low int, high int")]
     if not wanted.where("wide").isEmpty():
         parts.append(_wide(_neighbourhoods(docs, wanted.where("wide"), threshold), threshold))
     out = written(parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0].unionByName(parts[1]).unionByName(parts[2]))
@@ -178,21 +178,21 @@ def _wide(found: DataFrame, threshold: int) -> DataFrame:
             for k in range(0, len(batch), 1000):
                 part = batch.iloc[k : k + 1000]
                 name, row, start = _starts(part["data"].tolist(), threshold)
-                yield pd.DataFrame({"name": name.view(np.int64), "doc_id": part["doc_id"].to_numpy()[row], "low": (part["low"].to_numpy()[row] + start).astype(np.int32), "lone": part["lone"].to_numpy()[row]})
+                yield pd.DataFrame({"name": name.view(np.int64), **{c: part[c].to_numpy()[row] for c in ("doc_id", "mark")}, "low": (part["low"].to_numpy()[row] + start).astype(np.int32), "lone": part["lone"].to_numpy()[row]})
 
-    starts = written(found.mapInPandas(run, "name long, doc_id long, low int, lone boolean"))
+    starts = written(found.mapInPandas(run, "name long, doc_id long, mark long, low int, lone boolean"))
     again = starts.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    return starts.where("lone").join(again, "name").select("doc_id", "low", F.col("low").alias("high"))
+    return starts.where("lone").join(again, "name").select("doc_id", "mark", "low", F.col("low").alias("high"))
 
 
 def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_bytes, kept (binary: what stays), n_removed, n_spans. Every byte goes that a string of threshold bytes covers
     which also starts anywhere else, in the same or any other document, first places included.
 
-    Null and empty texts: no bytes. Rows with a null doc_id are left out; rows that share a doc_id each count as a place,
-    and are cut where any of them is."""
-    source = texts(docs).where("doc_id is not null")
-    starts = repeated_starts(source, threshold)
+    Null and empty texts: no bytes. Rows that share a doc_id, or have none, are told apart by their texts: each is judged and cut by
+    its own. Equal rows repeat each other."""
+    source = texts(docs).select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("mark"), "text", F.col("doc_id").isNull().alias("unknown"))
+    starts = repeated_starts(source.drop("unknown"), threshold)
 
     @F.pandas_udf("array<int>")
     def joined(lows: pd.Series, highs: pd.Series) -> pd.Series:
@@ -204,22 +204,22 @@ def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             out.append(np.stack([low[first], end[np.r_[first[1:], True]]], axis=1).reshape(-1).tolist())
         return pd.Series(out)
 
-    spans = written(starts.groupBy("doc_id").agg(F.collect_list("low").alias("l"), F.collect_list("high").alias("h")).select("doc_id", joined("l", "h").alias("spans")))
+    spans = written(starts.groupBy("doc_id", "mark").agg(F.collect_list("low").alias("l"), F.collect_list("high").alias("h")).select("doc_id", "mark", joined("l", "h").alias("spans")))
     discard(starts)
     n = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"]
-    fits = n * 4 < 16_000_000 and small(spans, 40)
-    both = source.join(F.broadcast(spans) if fits else spans.hint("shuffle_merge"), "doc_id", "left")
+    fits = n * 4 < 16_000_000 and small(spans, 48)
+    both = source.join(F.broadcast(spans) if fits else spans.hint("shuffle_merge"), ["doc_id", "mark"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t, cut in zip(batch["doc_id"], batch["text"], batch["spans"]):
+            for key, unknown, t, cut in zip(batch["doc_id"], batch["unknown"], batch["text"], batch["spans"]):
                 raw = t.encode("utf-8", "surrogatepass")
                 cut = [min(int(x), len(raw)) for x in cut] if cut is not None else []
                 edges = [0, *cut, len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((key, len(raw), kept, len(raw) - len(kept), len(cut) // 2))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"])
+                out.append((None if unknown else key, len(raw), kept, len(raw) - len(kept), len(cut) // 2))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"]).astype({"doc_id": "Int64"})
 
     return both.mapInPandas(run, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
 
