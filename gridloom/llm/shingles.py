@@ -1,4 +1,7 @@
-"""Near-duplicate documents: a blocked sparse product of documents by word n-grams."""
+"""Near-duplicate documents: a blocked sparse product of documents by word n-grams.
+
+The incidence is first cut to the n-grams that any linked pair must share one of, which gives the cells of the product that may reach the bound;
+only those are then summed over all n-grams, block by block."""
 
 from __future__ import annotations
 
@@ -101,23 +104,29 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()], np.int64))
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id (null: the highest number), mark and text: equal texts have equal marks."""
+    return texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+
+
 def set_rows(docs: DataFrame, words: int, ratio: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (equal for equal sets), the first n-grams in order, of which linked sets share one,
+    """doc_id, mark, n (set size), node and k2 (equal for equal sets), the first n-grams in order, of which linked sets share one,
     and the set's parity bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t in zip(batch["doc_id"], batch["text"]):
+            for t in batch["text"]:
                 found = shingle_set(t, words)
                 n, wide = len(found), found.astype(np.uint64)
-                k1 = int(_mix(wide * _R).sum(dtype=np.uint64))
+                node = int(_mix(wide * _R).sum(dtype=np.uint64))
                 k2 = int(np.bitwise_xor.reduce(_mix(wide + _R))) if n else 0
                 odd = np.bincount(found & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1
-                out.append((key, n, k1 - (1 << 63), k2 - (1 << 63), ordered(found, common)[: n - need(n, ratio) + 1] if n else found, np.packbits(odd).view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "first", "parity"])
+                out.append((n, node - (1 << 63), k2 - (1 << 63), ordered(found, common)[: n - need(n, ratio) + 1] if n else found, np.packbits(odd).view(np.int64)))
+            rows = pd.DataFrame(out, columns=["n", "node", "k2", "first", "parity"])
+            yield pd.concat([batch[["doc_id", "mark"]].reset_index(drop=True), rows], axis=1)
 
-    return texts(docs).where("doc_id is not null").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, first array<long>, parity array<long>")
+    return marked(docs).mapInPandas(run, "doc_id long, mark long, n long, node long, k2 long, first array<long>, parity array<long>")
 
 
 def close(x: str, y: str, ratio: tuple[int, int]) -> str:
@@ -127,16 +136,16 @@ def close(x: str, y: str, ratio: tuple[int, int]) -> str:
     return f"least({x}.n, {y}.n) * {ratio[1]} >= greatest({x}.n, {y}.n) * {ratio[0]} and {differ} <= {size} - 2 * (({ratio[0]} * {size} + {sum(ratio) - 1}) div {sum(ratio)})"
 
 
-def near_sizes(pairs: DataFrame, rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+def near_sizes(pairs: DataFrame, nodes: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that close() leaves."""
-    x, y = rows.select(F.col("doc_id").alias("a"), "n", "parity").alias("x"), rows.select(F.col("doc_id").alias("b"), "n", "parity").alias("y")
+    x, y = nodes.select(F.col("node").alias("a"), "n", "parity").alias("x"), nodes.select(F.col("node").alias("b"), "n", "parity").alias("y")
     return pairs.join(x, "a").join(y, "b").where(close("x", "y", ratio)).select("a", "b")
 
 
-def possible(pairs: DataFrame, rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+def possible(pairs: DataFrame, nodes: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose first n-grams leave a link possible: all differences up to the earlier of both ends count
     against the number of differences that the sizes allow."""
-    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,86 +162,143 @@ def possible(pairs: DataFrame, rows: DataFrame, ratio: tuple[int, int]) -> DataF
     return both.mapInPandas(run, "a long, b long")
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """a, b, n_a, n_b, same for the pairs: rows of the incidence of documents and n-grams, in blocks of one pivot a and some
-    BLOCK others, multiplied block by block."""
+def product(pivots: list[np.ndarray], rows: list[np.ndarray], of: np.ndarray) -> np.ndarray:
+    """The overlap of each row with its pivot (of: the pivots' numbers): a block of the product of the sparse incidence of rows and
+    n-grams with that of n-grams and pivots, of which only the cells asked for are summed. Both are coordinate lists; entries that meet in
+    an n-gram add one to their cell."""
+    row_size = np.array([len(x) for x in rows])
+    grams, columns = np.unique(np.concatenate([*pivots, *rows]), return_inverse=True)
+    cut = sum(len(x) for x in pivots)
+    wide = np.int64(len(grams))
+    there = np.sort(np.repeat(np.arange(len(pivots)), [len(x) for x in pivots]) * wide + columns[:cut])
+    asked = np.repeat(of, row_size) * wide + columns[cut:]
+    if not len(there):
+        return np.zeros(len(rows), np.int64)
+    met = there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked
+    return np.bincount(np.repeat(np.arange(len(rows)), row_size), weights=met, minlength=len(rows)).astype(np.int64)
+
+
+def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of nodes that link: rows of the incidence of documents and n-grams, in blocks of a pivot a and some BLOCK
+    others, are multiplied blocks by blocks, and counts below the bound that both sizes give are dropped at once."""
     many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     salted = written(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")))
-    roles = salted.select(F.col("b").alias("doc_id"), "a", "block", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("doc_id"), "a", "block", F.lit(0).alias("role")).distinct())
-    roles = written(roles.groupBy("doc_id").agg(F.collect_list(F.struct("a", "block", "role")).alias("roles")))
+    roles = salted.select(F.col("b").alias("node"), "a", "block", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("node"), "a", "block", F.lit(0).alias("role")).distinct())
+    roles = roles.groupBy("node").agg(F.collect_list(F.struct("a", "block", "role")).alias("roles"))
+    roles = written(nodes.select("node", "doc_id", "mark").join(roles, "node"))
     n = roles.agg(F.coalesce(F.sum(F.size("roles")), F.lit(0)).alias("n")).first()["n"]
-    there = texts(docs).where("doc_id is not null").join(F.broadcast(roles) if n * 40 < 24_000_000 else roles.hint("shuffle_merge"), "doc_id")
+    there = marked(docs).join(F.broadcast(roles) if n * 40 < 24_000_000 else roles.hint("shuffle_merge"), ["doc_id", "mark"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t, its in zip(batch["doc_id"], batch["text"], batch["roles"]):
+            for key, t, its in zip(batch["node"], batch["text"], batch["roles"]):
                 raw = shingle_set(t, words).tobytes()
                 out += [(r["a"], r["block"], r["role"], key, raw) for r in its]
                 if len(out) > 500:
-                    yield pd.DataFrame(out, columns=["a", "block", "role", "doc_id", "found"])
+                    yield pd.DataFrame(out, columns=["a", "block", "role", "node", "found"])
                     out = []
-            yield pd.DataFrame(out, columns=["a", "block", "role", "doc_id", "found"])
+            yield pd.DataFrame(out, columns=["a", "block", "role", "node", "found"])
 
-    dealt = there.mapInPandas(sets, "a long, block long, role int, doc_id long, found binary").repartition("a", "block").sortWithinPartitions("a", "block", "role", "doc_id")
+    dealt = there.mapInPandas(sets, "a long, block long, role int, node long, found binary").repartition("a", "block").sortWithinPartitions("a", "block", "role", "node")
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivot, at = None, None
+        pivots, names, at = [], [], None  # the last pivot goes on in the next batch
         for batch in batches:
-            out = []
-            for a, block, role, b, raw in zip(batch["a"], batch["block"], batch["role"], batch["doc_id"], batch["found"]):
-                row = np.frombuffer(raw, np.int64)
+            rows, of, b = [], [], []
+            held = 0
+            for a, block, role, node, raw in zip(batch["a"], batch["block"], batch["role"], batch["node"], batch["found"]):
+                found = np.frombuffer(raw, np.int64)
                 if role == 0:
-                    pivot, at = row, (a, block)
+                    if (a, block) != at:
+                        pivots.append(found)
+                        names.append(a)
+                        at = (a, block)
                     continue
                 assert at == (a, block)
-                same = int((pivot[np.minimum(np.searchsorted(pivot, row), len(pivot) - 1)] == row).sum()) if len(pivot) else 0
-                out.append((a, b, len(pivot), len(row), same))
-            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "same"])
-
-    done = written(dealt.mapInPandas(multiply, "a long, b long, n_a long, n_b long, same long"))
+                rows.append(found)
+                of.append(len(pivots) - 1)
+                b.append(node)
+                held += len(found)
+                if held > 1_000_000:
+                    yield linked(pivots, names, rows, of, b)
+                    rows, of, b, held = [], [], [], 0
+                    pivots, names = pivots[-1:], names[-1:]
+            if rows:
+                yield linked(pivots, names, rows, of, b)
+            pivots, names = pivots[-1:], names[-1:]
+
+    def linked(pivots, names, rows, of, b) -> pd.DataFrame:
+        of = np.array(of)
+        same = product(pivots, rows, of)
+        union = np.array([len(x) for x in pivots])[of] + np.array([len(x) for x in rows]) - same
+        keep = same * ratio[1] >= union * ratio[0]
+        return pd.DataFrame({"a": np.array(names, np.int64)[of][keep], "b": np.array(b, np.int64)[keep]})
+
+    done = written(dealt.mapInPandas(multiply, "a long, b long"))
     discard(many, salted, roles)
     return done
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, ratio: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document: documents link when ratio[1] * |A and B| >= ratio[0] * |A or B| for
-    their sets of word n-grams, and a component takes its smallest doc_id.
-
-    Null, empty and blank texts have an empty set and link with nothing. Rows with a null doc_id are
-    left out. Rows that share a doc_id count as one document. No pair that may link is left out:
+def components_of(docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
+    """doc_id and mark as marked() gives them, n (set size) and component of each row. No pair that may link is left out:
     equal sets are one node; linked sets share one of their first n-grams; each such list first links its members with
     its smallest one; then only members that aren't yet in one component are compared."""
     common = common_shingles(docs, words)
     rows = written(set_rows(docs, words, ratio, common))
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes)
-    reps = written(rows.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "n", "first", "parity").dropDuplicates(["doc_id"]))
-    posts = reps.select(F.explode("first").alias("h"), F.col("doc_id").alias("rep"), "n")
+    one = rows.where("n > 0").groupBy("node", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by("mark", "doc_id").alias("mark"))
+    nodes = written(rows.join(one, ["node", "k2", "doc_id", "mark"], "left_semi").select("node", "doc_id", "mark", "n", "first", "parity").dropDuplicates(["node"]))
+    posts = nodes.select(F.explode("first").alias("h"), F.col("node").alias("rep"), "n")
     lists = posts.groupBy("h").agg(F.count("*").alias("many"), F.min("rep").alias("pivot")).where("many > 1").drop("many")
     shared = written(posts.join(lists, "h"))
 
-    star = written(near_sizes(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps, ratio))
-    star = written(possible(star, reps, ratio))
-    linked = lambda found: found.where(F.col("same") * ratio[1] >= (F.col("n_a") + F.col("n_b") - F.col("same")) * ratio[0]).select("a", "b")
-    links = linked(overlaps(docs, star, words))
+    star = written(near_sizes(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), nodes, ratio))
+    star = written(possible(star, nodes, ratio))
+    links = overlaps(docs, star, nodes, words, ratio)
     labels = written(components(links))
 
     known = sized_join(shared.select("h", "rep", "n"), labels.withColumnRenamed("node", "rep"), "rep", "left", 32).withColumn("component", F.coalesce("component", "rep"))
     known = written(known)
     open_lists = known.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    known = known.join(open_lists, "h", "left_semi").join(reps.select(F.col("doc_id").alias("rep"), "parity"), "rep")
+    known = known.join(open_lists, "h", "left_semi").join(nodes.select(F.col("node").alias("rep"), "parity"), "rep")
     x, y = known.alias("x"), known.alias("y")
     apart = F.expr(f"x.h = y.h and x.rep < y.rep and x.component <> y.component and {close('x', 'y', ratio)}")
     rest = written(x.join(y, apart).selectExpr("x.rep as a", "y.rep as b").distinct())
-    rest = written(possible(rest.join(star, ["a", "b"], "left_anti"), reps, ratio))
+    rest = written(possible(rest.join(star, ["a", "b"], "left_anti"), nodes, ratio))
     if not rest.isEmpty():
-        labels = written(components(links.unionByName(linked(overlaps(docs, rest, words)))))
-    nodes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2"], "left")
-    found = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    discard(shared, star, rest, reps)
-    return found
+        labels = written(components(links.unionByName(overlaps(docs, rest, nodes, words, ratio))))
+    discard(shared, star, rest, nodes)
+    return rows.select("doc_id", "mark", "n", "node").join(labels, "node", "left").select("doc_id", "mark", "n", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, ratio: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: texts link when ratio[1] * |A and B| >= ratio[0] * |A or B| for their sets
+    of word n-grams, and a component takes its smallest doc_id.
+
+    Null, empty and blank texts have an empty set and link with nothing: their component is their doc_id. Every row is judged by its own
+    text, whether its doc_id is null or others have it too; a component of rows without ids has none."""
+    of = components_of(docs, words, ratio)
+    least = of.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    known = lambda c: F.when(c < (1 << 63) - 1, c)
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return of.join(least, "component", "left").select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, words: int = WORDS, ratio: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The rows and columns of docs but those that are near duplicates of another: of each component of near_duplicates() the first row by
+    (doc_id, hash of the text) stays, null ids last, and of rows alike in both any one. Rows without words all stay."""
+    of = written(components_of(docs, words, ratio))
+    spoken = of.where("n > 0")
+    best = spoken.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.*").withColumn("best", F.lit(True))
+    gone = written(spoken.select("doc_id", "mark").distinct().join(best, ["doc_id", "mark"], "left_anti"))
+    again = written(spoken.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark").join(gone, ["doc_id", "mark"], "left_anti"))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id")
+    rows = docs.select(F.struct("*").alias("row"), id_, F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    kept = sized_join(rows, gone, ["doc_id", "mark"], "left_anti", 24)
+    if not again.isEmpty():
+        once = sized_join(kept, again, ["doc_id", "mark"], "left_semi", 24).dropDuplicates(["doc_id", "mark"])
+        kept = sized_join(kept, again, ["doc_id", "mark"], "left_anti", 24).unionByName(once)
+    return kept.select("row.*")
 
 
 def op7_ngrams(spark, sf_dir: str) -> DataFrame:
