@@ -25,10 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id."""
-    found = shingles.near_duplicates(docs)
-    out = common.written(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return common.sized_join(docs, out, "doc_id", "left_anti", 8).select(*COLUMNS)
+    """Of each group of near duplicates (five words, 0.8) one document, the one with the smallest id."""
+    return shingles.first_of_groups(docs).select(*COLUMNS)
 
 
 def dedup_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
