@@ -13,10 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, texts
+from .common import documents, texts, written
 
 WIDTH = 64
 TILE_ROWS = 256
+#: Where red, green and blue are in plain 32-bit pixels; fixed value.
+PLAIN_MASKS = struct.pack("<III", 0xFF0000, 0xFF00, 0xFF)
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -36,6 +38,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         m = _TOKEN.match(data, at)
         if not m:
             raise ValueError("the header is cut short")
+        if not m[1].isdigit() or len(m[1]) > 9:
+            raise ValueError("the header is malformed")
         head.append(int(m[1]))
         at = m.end()
     width, height = head[:2]
@@ -59,11 +63,15 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, dtype, n, at)
     else:
         rest = re.sub(rb"#[^\n]*", b"", data[at:])
-        flat = np.array(list(rest.translate(None, b" \t\r\n")[:n]) if kind == b"P1" else rest.split()[:n], dtype=np.int64)
-        if len(flat) < n:
+        found = rest.translate(None, b" \t\r\n\v\f")[:n] if kind == b"P1" else rest.split()[:n]
+        if len(found) < n:
             raise ValueError("pixels are missing")
         if kind == b"P1":
-            flat = 49 - flat  # "1" is black
+            flat = 49 - np.frombuffer(found, np.uint8).astype(np.int64)  # "1" is black
+        else:
+            flat = np.array([int(x) if x.isdigit() and len(x) < 9 else -1 for x in found], np.int64)
+    if flat.size and (flat.min() < 0 or flat.max() > top):
+        raise ValueError("a sample is out of range")
     flat = flat.astype(np.uint8 if top < 256 else np.uint16)
     return flat.reshape((height, width, 3) if depth == 3 else (height, width))
 
@@ -81,15 +89,17 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as rows x columns (gray palettes) or x 3 (RGB)."""
+    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as rows x columns (gray palettes) or x 3 (RGB); ValueError where malformed, for
+    compressed ones and for bit masks other than those of plain 32-bit pixels."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, size, width, height = struct.unpack_from("<IIii", data, 10)
     bits, packed = struct.unpack_from("<HI", data, 28)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width < 1 or height == 0:
+    plain = packed == 0 or (packed == 3 and bits == 32 and data[54:66] == PLAIN_MASKS)
+    if size < 40 or not plain or bits not in (1, 4, 8, 24, 32) or width < 1 or height == 0:
         raise ValueError("this kind of BMP isn't supported")
     rows, row = abs(height), (width * bits + 31) // 32 * 4
-    if len(data) < start + rows * row:
+    if start < 14 + size or len(data) < start + rows * row:
         raise ValueError("pixels are missing")
     body = np.frombuffer(data, np.uint8, rows * row, start).reshape(rows, row)
     if height > 0:
@@ -100,6 +110,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
         body = np.unpackbits(body, axis=1).reshape(rows, -1, bits)
         body = body @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
     used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    if used > 1 << bits or 14 + size + 4 * used > start or int(body[:, :width].max()) >= used:
+        raise ValueError("the palette has too few colours")
     palette = np.frombuffer(data, np.uint8, used * 4, 14 + size).reshape(used, 4)[:, 2::-1]
     out = palette[body[:, :width]]
     return out[:, :, 0].copy() if (palette == palette[:, :1]).all() else out
@@ -152,10 +164,12 @@ def payload(text: str, width: int = WIDTH) -> tuple[bytes, int]:
     return raw.ljust(max(1, -(-len(raw) // width)) * width, b"\0"), len(raw)
 
 
-def media_tiles(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", rows: int = TILE_ROWS) -> DataFrame:
-    """Decodes a binary column of Netpbm or BMP files: id, height, width, dhash, tiles (NPY bytes), error.
+def media_tiles(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", rows: int = TILE_ROWS, also: list[str] | None = None) -> DataFrame:
+    """Decodes a binary column of Netpbm or BMP files: doc_id, height, width, dhash, tiles (NPY bytes), error, and the columns named
+    in also.
 
-    Null, empty or malformed media give null results and the reason in error; nothing is dropped."""
+    Null, empty or malformed media give null results and the reason in error; nothing is dropped. Rows may share an id or have none."""
+    also = also or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,10 +180,15 @@ def media_tiles(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
                     out.append((key, pixels.shape[0], pixels.shape[1], difference_hash(pixels), npy_tiles(pixels, rows), None))
                 except ValueError as e:
                     out.append((key, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["doc_id", "height", "width", "dhash", "tiles", "error"]).astype({"height": "Int64", "width": "Int64"})
+            made = pd.DataFrame(out, columns=["doc_id", "height", "width", "dhash", "tiles", "error"]).astype({"height": "Int64", "width": "Int64"})
+            made["doc_id"] = batch["doc_id"].to_numpy()
+            yield pd.concat([made, batch[[f"also{i}" for i in range(len(also))]].reset_index(drop=True)], axis=1)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInPandas(run, f"doc_id {kind}, height long, width long, dhash string, tiles array<binary>, error string")
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    kept = "".join(f", also{i} {kind(c)}" for i, c in enumerate(also))
+    rows_in = df.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"), *[F.col(c).alias(f"also{i}") for i, c in enumerate(also)])
+    made = rows_in.mapInPandas(run, f"doc_id {kind(id_col)}, height long, width long, dhash string, tiles array<binary>, error string{kept}")
+    return made.withColumnsRenamed({f"also{i}": c for i, c in enumerate(also)})
 
 
 def store_texts(df: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -186,27 +205,23 @@ def store_texts(df: DataFrame, width: int = WIDTH) -> DataFrame:
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles int, tiles_sha256 string"
 
 
-def media_digests(df: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Stores whole texts as graymaps, reads the stored bytes back through the decoder, and returns digests, the
-    difference hash (feature) and what the NPY tiles hold. Null and empty texts: one row of zeros. One row per input row."""
+def digests(read: DataFrame) -> DataFrame:
+    """What media and the tiles made of it hold, for rows of doc_id, n_bytes, media, dhash and tiles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, text in zip(batch["doc_id"], batch["text"]):
-                raw, n = payload(text, width)
-                media = encode_pgm(np.frombuffer(raw, np.uint8).reshape(-1, width))
-                tiles = npy_tiles(decode(media))
-                pixels = read_tiles(tiles)
-                back = pixels.tobytes()
-                digest = hashlib.sha256()
-                for t in tiles:
-                    digest.update(t)
-                out.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels), len(tiles), digest.hexdigest()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")])
+            for r in batch.itertuples(index=False):
+                tiles = [bytes(t) for t in r.tiles]
+                back = read_tiles(tiles).tobytes()
+                out.append((r.doc_id, r.n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(r.media), hashlib.sha256(r.media).hexdigest(), r.dhash, len(tiles), hashlib.sha256(b"".join(tiles)).hexdigest()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"doc_id": "Int64"})
 
-    return texts(df).mapInPandas(run, DIGESTS)
+    return read.select("doc_id", "n_bytes", "media", "dhash", "tiles").mapInPandas(run, DIGESTS)
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
-    return media_digests(documents(spark, sf_dir))
+    """One row for each row of documents; a null text counts as empty and is stored as zeros. The stored media are a table in the
+    shared folder, and all columns come from what is read back from it."""
+    stored = written(store_texts(documents(spark, sf_dir)))
+    return digests(media_tiles(stored, also=["n_bytes", "media"]))
