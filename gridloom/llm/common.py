@@ -25,9 +25,12 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own where it is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; one of our own where it is unset and driver and executors are one
+    process. On a cluster an unset folder is an error: executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
