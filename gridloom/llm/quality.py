@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import documents, texts
 
 CHUNK, OVERLAP = 512, 64
 STRIDE = 4  # a filter sees two strides
 DIM, FILTERS = 8, 24
-#: Training sees at most so many labelled documents, and of each at most so many chunks, spread over the whole text.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 3000, 8
+#: Training sees the whole texts of at most so many labelled documents, and of at most so many bytes together.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 24_000_000
 #: Passes over the sample, and steps at least, so that a small sample is learned as well.
 EPOCHS, STEPS, BATCH, RATE = 10, 800, 32, 0.004
 
@@ -56,7 +56,7 @@ class ByteConvNet:
     def combine(self, top: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Documents' features from their chunks, which begin at starts."""
         n = np.diff(np.r_[starts, len(top)])[:, None]
-        return np.hstack([np.maximum.reduceat(top, starts), np.add.reduceat(top, starts) / n]).astype(np.float32)
+        return np.hstack([np.maximum.reduceat(top, starts), np.add.reduceat(top, starts) / n]).astype(top.dtype)
 
     def scores(self, batch: list[str]) -> np.ndarray:
         """Probabilities of label 1, chunk rows in blocks of about a megabyte."""
@@ -84,7 +84,8 @@ class ByteConvNet:
         d_feats = d[:, None] * p["out"]
         d_top = d_feats[doc, FILTERS:] / n[doc][:, None]
         is_max = top == feats[doc, :FILTERS]
-        d_top += np.where(is_max, d_feats[doc, :FILTERS], 0)
+        ties = np.add.reduceat(is_max, starts, dtype=top.dtype)[doc]  # chunks overlap, so two may have the same maximum
+        d_top += np.where(is_max, d_feats[doc, :FILTERS] / ties, 0)
         d_top *= top > 0
         window = x[np.arange(len(x))[:, None, None], (at * STRIDE)[:, :, None] + np.arange(2 * STRIDE)]  # rows, filters, bytes
         seen = p["embed"][window].reshape(len(x), FILTERS, -1)
@@ -114,34 +115,32 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteConvNet | float:
-    """Fits on labelled rows that aren't held out: the sample_docs first by a hash of their ids, a bounded sample.
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> ByteConvNet | float:
+    """Fits on whole texts of labelled rows that aren't held out: the sample_docs first by a hash of their ids, and of those the first
+    that have no more than sample_bytes of UTF-8 together, a bounded sample. Of several labels of an id the smaller counts, of several
+    texts the first in order; rows without an id or label take no part.
 
     With labels of one class only, returns that class, and 0.5 without any, as the score for all texts."""
     kept = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     kept = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [chunks(t) for t in batch["text"]]
-            found = [c[np.linspace(0, len(c) - 1, min(len(c), SAMPLE_CHUNKS)).astype(int)] for c in found]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "data": [c.tobytes() for c in found]})
-
-    rows = texts(docs).join(F.broadcast(kept), "doc_id").mapInPandas(some, "doc_id long, y int, data binary").collect()
-    rows = sorted({(r["doc_id"], r["y"], bytes(r["data"])) for r in rows})
+    found = texts(docs).join(F.broadcast(kept), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # sample_docs rows at most
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "y", "text").collect()
+    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in rows)
     y = np.array([r[1] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    return ByteConvNet().fit([np.frombuffer(r[2], np.uint8).reshape(-1, CHUNK) for r in rows], y)
+    return ByteConvNet().fit([chunks(r[2]) for r in rows], y)
 
 
 def quality_scores(docs: DataFrame, model: ByteConvNet | float) -> DataFrame:
-    """doc_id, held_out, score, predicted for every whole text; null and empty texts are scored as one chunk of zeros."""
+    """doc_id, held_out, score, predicted for every whole text; null and empty texts are scored as one chunk of zeros. One row per
+    row of docs, whether its doc_id is null or repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             score = model.scores(batch["text"].tolist()) if isinstance(model, ByteConvNet) else np.full(len(batch), model)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
     return texts(docs).withColumn("held_out", held_out()).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
