@@ -41,8 +41,16 @@ class WordEncoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
+        self._check()
         self.cache: dict[str, bytes] = {}
 
+    def _check(self) -> None:
+        """That this vocabulary splits and normalises as said above; ValueError where it doesn't."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        for a, b in (("Word", ","), ("one", " two"), ("x\n", "y z"), ("Abc", "!?"), ("wörd", ".")):
+            if ids(a + b) != ids(a) + ids(b) or ids(a) != ids(a.lower()):
+                raise ValueError("this vocabulary joins parts that WordEncoder encodes apart")
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHE_WORDS:
@@ -218,7 +226,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Gives a written table of pieces() sequence_id and offset.
 
     The driver holds one count a length and plans with those; pieces are numbered within their task and length, and tasks
-    by the sums of the counts before them, so that a length of any frequency is spread over all tasks."""
+    by the sums of the counts before them, so that a length of any frequency is spread over all tasks. Every row gets a place of its
+    own, whether its doc_id is null or repeated; no rows give no sequences."""
     counts = np.zeros(capacity + 1, np.int64)
     for r in found.groupBy("length").count().collect():  # capacity rows at most
         counts[r["length"]] = r["count"]
@@ -244,6 +253,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Pieces of all rows of docs and their places: a null text counts as empty, repeated rows are packed each, and other columns
+    than doc_id and text, whatever their names, take no part."""
     return packed(written(pieces(docs, path)))
 
 

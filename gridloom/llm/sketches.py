@@ -15,6 +15,8 @@ from .common import documents, partitions, texts
 K = 128
 WIDTH = 9  # code points in a shingle
 SPACE = 1 << 48  # hashes are below
+#: Bytes of text in a range of ids, about, so that a task's share does not grow with the input.
+BUCKET_BYTES = 32_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -146,7 +148,10 @@ def edited_pairs(df: DataFrame, k: int = K, width: int = WIDTH, buckets: int | N
     the next document beside each of its own. Null texts are empty, null ids come first, equal ids go by their texts."""
     spark = df.sparkSession
     rows = texts(df).withColumn("at", F.coalesce(F.col("doc_id"), F.lit(_LOW)))
-    n = buckets or 3 * partitions(spark)
+    if buckets is None:
+        held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        buckets = max(3 * partitions(spark), int(held // BUCKET_BYTES))
+    n = buckets
     cuts = np.unique(np.array(rows.select(F.col("at").cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [], float))
 
     def bucket_of(at: pd.Series) -> np.ndarray:
