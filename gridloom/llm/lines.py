@@ -22,8 +22,9 @@ FEW, GRAM = 8, 3
 PARTS, NEED = 7, 4
 #: Each sum counts four of a block's bits in 15-bit fields.
 SUMS, FIELDS = 10, sum(1 << 15 * f for f in range(4))
-#: Lines that share a key are compared where at most so many of their 280 bits differ; of unrelated ones some 120 do.
-DISTANCE = 93
+#: Lines that share a key are compared where at most so many of their 280 bits differ: some 57 do where a fifth of the words is
+#: other, 93 where half is, 120 of unrelated lines.
+DISTANCE = 75
 #: In lines of at most so many characters every pair that the edit similarity allows is found, by deletions.
 SHORT = 14
 #: Rounds of comparing the lines of each block of more than CROWD with one of them, before pairs.
@@ -49,31 +50,33 @@ def place() -> Column:
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """place, sizes and sims of a line's parts: how many features each has, and its bits, set where most features' hashes have them.
-    Counters hold 16,383 features of a part; beyond, they run over, alike for equal parts."""
+    """id, sizes and sims of a line's parts: how many features each has, and its bits, set where most features' hashes have them.
+    Counters hold 16,383 features of a part; beyond, they run over, alike for equal parts. A line's features stay in its task."""
     few = f"if(char_length(norm) < {GRAM}, array(norm), array_distinct(regexp_extract_all(norm, '(?s)(?=(.{{{GRAM}}}))', 1)))"
-    found = lines.selectExpr("place", "norm", "array_distinct(split(norm, ' ')) as words")
-    found = found.selectExpr("place", f"transform(if(size(words) >= {FEW}, words, {few}), x -> xxhash64(x)) as h")
-    parts = range(PARTS)
-    found = found.selectExpr("place", *[f"filter(h, x -> pmod(x, {PARTS}) = {p}) as p{p}" for p in parts])
-    sums = [f"aggregate(p{p}, 0L, (n, x) -> n + (shiftrightunsigned(x, {i}) & {FIELDS}L) & {(1 << 60) - 1}L) as s{p}_{i}" for p in parts for i in range(SUMS)]
-    found = found.selectExpr("place", *[f"size(p{p}) as n{p}" for p in parts], *sums)
+    rows = lines.select("id", "norm").repartition("id").selectExpr("id", "norm", "array_distinct(split(norm, ' ')) as words")
+    rows = rows.selectExpr("id", f"explode_outer(if(size(words) >= {FEW}, words, {few})) as w").select("id", F.xxhash64("w").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(FIELDS))).alias(f"s{i}") for i in range(SUMS)]
+    parts = rows.groupBy("id", F.expr(f"cast(pmod(h, {PARTS}) as int)").alias("part")).agg(F.count("*").cast("int").alias("n"), *sums)
     # a field and 16383 less half the features reach its highest bit where the field is more than half
-    most = lambda p, i: f"shiftleft(shiftrightunsigned(s{p}_{i} + greatest(16383 - n{p} div 2, 0) * {FIELDS}L, 14) & {FIELDS}L, {i})"
-    sims = [" | ".join(most(p, i) for i in range(SUMS)) for p in parts]
-    return found.selectExpr("place", f"array({', '.join(f'n{p}' for p in parts)}) as sizes", f"array({', '.join(sims)}) as sims")
+    most = lambda i: f"shiftleft(shiftrightunsigned(s{i} + greatest(16383 - n div 2, 0) * {FIELDS}L, 14) & {FIELDS}L, {i})"
+    parts = parts.selectExpr("id", "part", "n", f"{' | '.join(most(i) for i in range(SUMS))} as sim")
+    of = lambda c, p: F.coalesce(F.max(F.when(F.col("part") == p, F.col(c))), F.lit(0).cast("int" if c == "n" else "long"))
+    found = parts.groupBy("id").agg(*[of("n", p).alias(f"n{p}") for p in range(PARTS)], *[of("sim", p).alias(f"s{p}") for p in range(PARTS)])
+    return found.select("id", F.array(*[f"n{p}" for p in range(PARTS)]).alias("sizes"), F.array(*[f"s{p}" for p in range(PARTS)]).alias("sims"))
 
 
 def blocks(sims: DataFrame) -> DataFrame:
-    """place, block: each line under a key for every part of at least NEED features, and for every two or three parts that have
+    """id, block: each line under a key for every part of at least NEED features, and for every two or three parts that have
     as many only together."""
-    keys = []
+    one, more = [], []
     for k in (1, 2, 3):
         for t in combinations(range(PARTS), k):
             count = lambda v: " + ".join(f"sizes[{i}]" for i in v)
             fewer = "".join(f" and {count(v)} < {NEED}" for v in combinations(t, k - 1) if v)
-            keys.append(f"if({count(t)} >= {NEED}{fewer}, xxhash64({sum(1 << i for i in t)}, {', '.join(f'sims[{i}]' for i in t)}), null)")
-    return sims.select("place", F.explode(F.expr(f"array_compact(array({', '.join(keys)}))")).alias("block"))
+            key = f"if({count(t)} >= {NEED}{fewer}, xxhash64({sum(1 << i for i in t)}, {', '.join(f'sims[{i}]' for i in t)}), null)"
+            (one if k == 1 else more).append(key)
+    under = lambda rows, keys: rows.select("id", F.explode_outer(F.expr(f"array({', '.join(keys)})")).alias("block")).where("block is not null")
+    return under(sims, one).unionByName(under(sims.where(" or ".join(f"sizes[{i}] < {NEED}" for i in range(PARTS))), more))
 
 
 def short_blocks(lines: DataFrame, short: int = SHORT) -> DataFrame:
@@ -84,13 +87,13 @@ def short_blocks(lines: DataFrame, short: int = SHORT) -> DataFrame:
     deep = reduce(lambda was, k: f"if(size + {k} <= {short} and {most(f'(size + {k})')} >= {k}, {most(f'(size + {k})')}, {was})", range(1, short * (100 - SIMILARITY) // 100 + 1), "0")
     deep = f"greatest({deep}, {most('size')})"
     without = lambda x: f"transform(sequence(1, char_length({x})), i -> concat(substring({x}, 1, i - 1), substring({x}, i + 1)))"
-    sized = lines.select("place", "norm", F.char_length("norm").alias("size"))
-    found = sized.where(f"size <= {short}").selectExpr("place", "size", f"{deep} as deep", f"array(left(norm, {short})) as level", f"array(left(norm, {short})) as every")  # left: Spark may work on all lines before it filters
+    sized = lines.select("id", "norm", F.char_length("norm").alias("size"))
+    found = sized.where(f"size <= {short}").selectExpr("id", "size", f"{deep} as deep", f"array(left(norm, {short})) as level", f"array(left(norm, {short})) as every")  # left: Spark may work on all lines before it filters
     for k in range(1, short * (100 - SIMILARITY) // 100 + 1):
         found = found.withColumn("level", F.expr(f"if(deep >= {k}, array_distinct(flatten(transform(level, s -> {without('s')}))), array())"))
         found = found.withColumn("every", F.concat("every", "level"))
-    rows = found.where("deep > 0").select("place", F.explode_outer("every").alias("s"))
-    return rows.select("place", F.xxhash64("s").alias("block"))
+    rows = found.where("deep > 0").select("id", F.explode_outer("every").alias("s"))
+    return rows.select("id", F.xxhash64("s").alias("block"))
 
 
 def similar(a: str, b: str) -> Column:
@@ -100,15 +103,15 @@ def similar(a: str, b: str) -> Column:
     most = f"cast(floor(greatest(char_length({a}), char_length({b})) * {100 - SIMILARITY} / 100) as int)"
     apart = f"abs(char_length({a}) - char_length({b})) > {most}"
     words = f"aggregate(zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> if(x <=> y, 0, greatest(char_length(coalesce(x, '')), char_length(coalesce(y, ''))) + if(x is null or y is null, 1, 0))), 0, (n, x) -> n + x)"
-    near = lambda k: f"levenshtein({a}, {b}, {k})"
-    return F.expr(f"case when {apart} then false when {words} <= {most} then true when {near(24)} >= 0 then {near(24)} <= {most} when {most} <= 24 then false when {near(192)} >= 0 then {near(192)} <= {most} when {most} <= 192 then false else {near(most)} >= 0 end")
+    near = lambda k: f"levenshtein({a}, {b}, least({k}, {most})) >= 0"
+    return F.expr(f"case when {apart} then false when {words} <= {most} then true when {near(24)} then true when {most} <= 24 then false when {near(192)} then true when {most} <= 192 then false else {near(most)} end")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of rows with places a and b those whose lines are similar."""
-    ids = written(pairs.select(F.col("a").alias("place")).unionByName(pairs.select(F.col("b").alias("place"))).distinct())
-    named = written(sized_join(lines.select("place", "norm"), ids, "place", "left_semi", 40))
-    both = pairs.join(named.selectExpr("place as b", "norm as b_norm"), "b").join(named.selectExpr("place as a", "norm as a_norm"), "a")
+    """Of rows with ids a and b those whose lines are similar."""
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    named = written(sized_join(lines.select("id", "norm"), ids, "id", "left_semi", 16))
+    both = pairs.join(named.selectExpr("id as b", "norm as b_norm"), "b").join(named.selectExpr("id as a", "norm as a_norm"), "a")
     links = written(both.where(similar("a_norm", "b_norm")).drop("a_norm", "b_norm"))
     discard(ids, named)
     return links
@@ -128,7 +131,7 @@ def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
-    """node, component: places of linked lines among distinct lines (norm, place), each with its group's smallest place.
+    """node, component: ids of linked lines among distinct lines (norm, id), each with its group's smallest id.
 
     No pair of a block is left out, but pairs within what is already one group are not made: ROUNDS times each crowded block that
     holds several groups compares its lines with one of them (another each time), and only then are lines of different groups
@@ -137,29 +140,29 @@ def line_groups(lines: DataFrame) -> DataFrame:
     dealt = blocks(sims).unionByName(short_blocks(lines))
     crowded = written(dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
     met = written(sized_join(dealt, crowded, "block", "inner", 24, 24))
-    member = written(met.select("place").distinct())
-    there = sized_join(sims, member, "place", "left_semi", 24, 24).join(lines.select("place", F.char_length("norm").alias("size")), "place")
-    shared = written(met.join(there.select("place", "size", "sims"), "place"))
+    member = written(met.select("id").distinct())
+    there = sized_join(sims, member, "id", "left_semi", 24, 24).join(lines.select("id", F.char_length("norm").alias("size")), "id")
+    shared = written(met.join(there.select("id", "size", "sims"), "id"))
     discard(sims, crowded, met, member)
-    labels, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("place"))
+    labels, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("id"))
     apart = " + ".join(f"bit_count(x.sims[{p}] ^ y.sims[{p}])" for p in range(PARTS))
     close = f"abs(x.size - y.size) * 100 <= greatest(x.size, y.size) * {100 - SIMILARITY} and (greatest(x.size, y.size) <= {SHORT} or {apart} <= {DISTANCE})"
     for r in range(ROUNDS + 1):
-        pivot = F.min(F.struct(F.xxhash64("place", F.lit(r)).alias("order"), "place", "sims", "size", "component")).alias("y")
+        pivot = F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("order"), "id", "sims", "size", "component")).alias("y")
         open_blocks = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low <> high")
         if r < ROUNDS:
             tried = known.alias("x").join(open_blocks.select("block", "y"), "block").where(f"x.component <> y.component and {close}")
         else:
             left = written(known.join(open_blocks.select("block"), "block", "left_semi"))
-            tried = left.alias("x").join(left.alias("y"), F.expr(f"x.block = y.block and x.place < y.place and x.component <> y.component and {close}"))
-        tried = written(tried.selectExpr("x.place as a", "y.place as b", "x.component as own", "y.component as other").distinct())
+            tried = left.alias("x").join(left.alias("y"), F.expr(f"x.block = y.block and x.id < y.id and x.component <> y.component and {close}"))
+        tried = written(tried.selectExpr("x.id as a", "y.id as b", "x.component as own", "y.component as other").distinct())
         found = verified(tried, lines)
         edges = found.select(F.col("own").alias("a"), F.col("other").alias("b"))
         labels = joined(labels, edges)
         discard(tried, found, known)
         if r < ROUNDS:
             rows = shared.where(f"n > {CROWD}") if r + 1 < ROUNDS else shared
-            known = written(sized_join(rows, labels.withColumnRenamed("node", "place"), "place", "left", 40).withColumn("component", F.coalesce("component", "place")))
+            known = written(sized_join(rows, labels.withColumnRenamed("node", "id"), "id", "left", 40).withColumn("component", F.coalesce("component", "id")))
     discard(shared, left)
     return labels
 
@@ -173,12 +176,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     passed through, whatever their names."""
     rows = line_rows(docs)
     lines = rows.groupBy("k1", "k2", "norm").agg(F.min(place()).alias("place"), F.count("*").alias("n"))
-    lines = written(lines)
-    groups = line_groups(lines.select("place", "norm"))
-    known = lines.select("k1", "k2", "place", "n")
-    member = groups.select(F.col("node").alias("place"), "component")
-    known = sized_join(known, member, "place", "left", 40)
-    gone = written(known.where("n > 1 or place <> component").select("k1", "k2", F.coalesce("component", "place").alias("kept")))
+    lines = written(lines.withColumn("id", F.monotonically_increasing_id()))
+    groups = line_groups(lines.select("id", "norm"))
+    member = written(lines.select("id", "place").join(groups.withColumnRenamed("node", "id"), "id"))
+    member = member.join(member.groupBy("component").agg(F.min("place").alias("kept")), "component").select("id", "kept")
+    known = sized_join(lines.select("id", "k1", "k2", "place", "n"), written(member), "id", "left", 40)
+    gone = written(known.where("n > 1 or place <> kept").select("k1", "k2", F.coalesce("kept", "place").alias("kept")))
     hits = sized_join(rows.select("gid", "line_no", "k1", "k2"), gone, ["k1", "k2"], "inner", 40, 24)
     cut = written(hits.where(place() != F.col("kept")).groupBy("gid").agg(F.collect_set("line_no").alias("cut")))
     discard(lines, groups, gone)

@@ -234,7 +234,7 @@ def test_lines(spark):
     made = [brute_blocks(x) for x in texts]
     low = {i: i for i in range(len(texts))}
     differ = lambda i, j: sum(x != y for p, q in zip(made[i][0], made[j][0]) for x, y in zip(p, q))
-    links = [(i, j) for i in low for j in range(i) if made[i][1] & made[j][1] and differ(i, j) <= 93 and edit(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j])) * 20 // 100]
+    links = [(i, j) for i in low for j in range(i) if made[i][1] & made[j][1] and differ(i, j) <= 75 and edit(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j])) * 20 // 100]
     assert links
     for _ in range(len(texts)):
         for a, b in links:

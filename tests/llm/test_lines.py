@@ -17,7 +17,7 @@ def edit(a, b):
 
 
 def groups(spark, texts):
-    rows = spark.createDataFrame(list(enumerate(texts)), "n long, norm string").selectExpr("cast(n as decimal(32,0)) as place", "norm")
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, norm string").selectExpr("n as id", "norm")
     return {int(r["node"]): int(r["component"]) for r in lines.line_groups(rows).collect()}
 
 
