@@ -96,15 +96,23 @@ def short_blocks(lines: DataFrame, short: int = SHORT) -> DataFrame:
     return rows.select("id", F.xxhash64("s").alias("block"))
 
 
-def similar(a: str, b: str) -> Column:
-    """Edit similarity of at least SIMILARITY percent of the longer line. Lines that differ in words at the same places are
-    settled by the lengths of these words, an upper bound; of the others most linked lines differ little, so narrow bands
-    of the distance table are tried first."""
+def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows whose lines a and b have an edit similarity of at least SIMILARITY percent of the longer one. Words that both begin or end
+    with don't change the distance and are left out; most linked lines differ little, so narrow bands of the distance table are tried first."""
     most = f"cast(floor(greatest(char_length({a}), char_length({b})) * {100 - SIMILARITY} / 100) as int)"
-    apart = f"abs(char_length({a}) - char_length({b})) > {most}"
-    words = f"aggregate(zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> if(x <=> y, 0, greatest(char_length(coalesce(x, '')), char_length(coalesce(y, ''))) + if(x is null or y is null, 1, 0))), 0, (n, x) -> n + x)"
-    near = lambda k: f"levenshtein({a}, {b}, least({k}, {most})) >= 0"
-    return F.expr(f"case when {apart} then false when {words} <= {most} then true when {near(24)} then true when {most} <= 24 then false when {near(192)} then true when {most} <= 192 then false else {near(most)} end")
+    rows = pairs.select("*", F.expr(most).alias("most_edits")).where(f"abs(char_length({a}) - char_length({b})) <= most_edits")
+    rows = rows.selectExpr("*", f"split({a}, ' ') as left_words", f"split({b}, ' ') as right_words")
+    same = lambda x, y: f"array_position(zip_with({x}, {y}, (u, v) -> u <=> v), false) - 1"
+    rest = lambda x, n: f"slice({x}, cast({n} + 1 as int), cast(greatest(size({x}) - {n}, 0) as int))"
+    for _ in range(2):  # from the front, then from the back
+        rows = rows.withColumn("same_words", F.expr(f"if(left_words = right_words, size(left_words), {same('left_words', 'right_words')})"))
+        rows = rows.withColumns({c: F.reverse(F.expr(rest(c, "same_words"))) for c in ("left_words", "right_words")})
+    closed = lambda c: F.concat(F.array_join(c, " "), F.when(F.size(c) > 0, " ").otherwise(""))
+    rows = rows.withColumns({"left_rest": closed("left_words"), "right_rest": closed("right_words")})
+    longer = "greatest(char_length(left_rest), char_length(right_rest))"
+    near = lambda k: f"levenshtein(left_rest, right_rest, least({k}, most_edits)) >= 0"
+    alike = f"case when {longer} <= most_edits then true when {near(24)} then true when most_edits <= 24 then false when {near(192)} then true when most_edits <= 192 then false else {near('most_edits')} end"
+    return rows.where(alike).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -112,7 +120,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     named = written(sized_join(lines.select("id", "norm"), ids, "id", "left_semi", 16))
     both = pairs.join(named.selectExpr("id as b", "norm as b_norm"), "b").join(named.selectExpr("id as a", "norm as a_norm"), "a")
-    links = written(both.where(similar("a_norm", "b_norm")).drop("a_norm", "b_norm"))
+    links = written(similar(both, "a_norm", "b_norm").drop("a_norm", "b_norm"))
     discard(ids, named)
     return links
 
