@@ -74,3 +74,114 @@ def foot_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2:
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / length))).otherwise(0.0)
     return F.hypot(x - x1 - t * dx, y - y1 - t * dy)
+
+
+#: Sums of doubled areas beyond this are not exact in a double; fixed value.
+EXACT = (1 << 53) - 1
+#: Points closer than this many pixels are one, and how far beside a wall its sides are probed, in mm; fixed values.
+MERGE_PX, PROBE_MM = 3.0, 50
+
+
+def exact_area(outline: Column) -> Column:
+    """The doubled signed area, or null where it is too large to be exact in a double."""
+    n = doubled_area(outline)
+    return F.when(F.abs(n) <= EXACT, n)
+
+
+def centroid(outline: Column) -> Column:
+    """The centre of area as struct<x, y>, or the mean of the points where the area is next to nothing."""
+    cross = lambda e: e["p"]["x"].cast("double") * e["q"]["y"] - e["q"]["x"].cast("double") * e["p"]["y"]
+    total = lambda k: F.aggregate(_edges(outline), F.lit(0.0), lambda n, e: n + (e["p"][k] + e["q"][k]) * cross(e))
+    mean = lambda k: F.aggregate(outline, F.lit(0.0), lambda n, p: n + p[k]) / F.size(outline)
+    area = F.aggregate(_edges(outline), F.lit(0.0), lambda n, e: n + cross(e))
+    return F.struct(*[F.when(F.abs(area) > 0.001, total(k) / (3 * area)).otherwise(mean(k)).alias(k) for k in ("x", "y")])
+
+
+def chord(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.hypot(x2 - x1, y2 - y1)
+
+
+def arc_sweep(x1: Column, y1: Column, x2: Column, y2: Column, sagitta: Column) -> Column:
+    """The angle of an arc over a chord, in radians; a sagitta beyond half the chord counts as half."""
+    length = chord(x1, y1, x2, y2)
+    return 4 * F.atan(2 * F.least(F.abs(sagitta), length / 2) / length)
+
+
+def arc_points(x1: Column, y1: Column, x2: Column, y2: Column, sagitta: Column, step_deg: float = 5.0) -> Column:
+    """Points at equal angles on the arc with both ends, an even number of steps; the two ends of a straight wall."""
+    length, sign = chord(x1, y1, x2, y2), F.signum(sagitta)
+    depth = F.least(F.abs(sagitta), length / 2)
+    radius = length * length / (8 * depth) + depth / 2
+    cx, cy = (x1 + x2) / 2 - (y2 - y1) / length * (radius - depth) * sign, (y1 + y2) / 2 + (x2 - x1) / length * (radius - depth) * sign
+    begin, sweep = F.atan2(y1 - cy, x1 - cx), arc_sweep(x1, y1, x2, y2, sagitta)
+    count = 2 * F.greatest(F.lit(1), F.ceil(F.degrees(sweep) / (2 * step_deg))).cast("int")
+    angle = lambda k: begin + sign * sweep * k / count
+    end = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    inner = F.transform(F.sequence(F.lit(1), count - 1), lambda k: F.struct((cx + radius * F.cos(angle(k))).alias("x"), (cy + radius * F.sin(angle(k))).alias("y")))
+    straight = (sagitta == 0) | ((x1 == x2) & (y1 == y2))
+    return F.when(straight, F.array(end(x1, y1), end(x2, y2))).otherwise(F.concat(F.array(end(x1, y1)), inner, F.array(end(x2, y2))))
+
+
+def sagitta_through(x1: Column, y1: Column, ax: Column, ay: Column, x2: Column, y2: Column) -> Column:
+    """The signed sagitta of the chord whose arc has its middle at (ax, ay)."""
+    length = chord(x1, y1, x2, y2)
+    return -((ax - (x1 + x2) / 2) * -(y2 - y1) / length + (ay - (y1 + y2) / 2) * (x2 - x1) / length)
+
+
+def crossing(a: dict[str, Column], b: dict[str, Column], slack: float = MERGE_PX) -> Column:
+    """Where two segments (x1, y1, x2, y2) meet, ends that miss by slack at most included; null for parallel ones."""
+    rx, ry, sx, sy = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
+    across = rx * sy - ry * sx
+    t = ((b["x1"] - a["x1"]) * sy - (b["y1"] - a["y1"]) * sx) / across
+    u = ((b["x1"] - a["x1"]) * ry - (b["y1"] - a["y1"]) * rx) / across
+    within = lambda v, dx, dy: (v >= -slack / F.greatest(F.hypot(dx, dy), F.lit(1e-9))) & (v <= 1 + slack / F.greatest(F.hypot(dx, dy), F.lit(1e-9)))
+    return F.when(F.abs(across) >= 1e-9, F.when(within(t, rx, ry) & within(u, sx, sy), F.struct((a["x1"] + t * rx).alias("x"), (a["y1"] + t * ry).alias("y"))))
+
+
+def world_box(x1: Column, y1: Column, x2: Column, y2: Column, rotation: Column) -> Column:
+    """A box of whole numbers in the world: a quarter turn swaps its sides around the centre."""
+    w, d = x2 - x1, y2 - y1
+    x, y = F.floor((x1 + x2 - d) / 2), F.floor((y1 + y2 - w) / 2)
+    turned = F.struct(x.alias("x1"), y.alias("y1"), (x + d).alias("x2"), (y + w).alias("y2"))
+    plain = F.struct(*[c.cast("long").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))])
+    return F.when(F.pmod(rotation, F.lit(180)) == 90, turned).otherwise(plain)
+
+
+def box_gap(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """The distance between two boxes, 0 where they overlap."""
+    side = lambda k: F.greatest(F.lit(0.0), b[f"{k}1"] - a[f"{k}2"], a[f"{k}1"] - b[f"{k}2"])
+    return F.hypot(side("x"), side("y"))
+
+
+def box_iom(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Overlap over the smaller box; 0 where that is empty."""
+    side = lambda k: F.greatest(F.least(a[f"{k}2"], b[f"{k}2"]) - F.greatest(a[f"{k}1"], b[f"{k}1"]), F.lit(0))
+    size = lambda o: (o["x2"] - o["x1"]) * (o["y2"] - o["y1"])
+    least = F.least(size(a), size(b))
+    return F.when(least > 0, side("x") * side("y") / least).otherwise(0.0)
+
+
+def wall_probes(x1: Column, y1: Column, x2: Column, y2: Column, thickness: Column, bulge: Column) -> Column:
+    """Two points beside the middle of a wall (or of its arc), one on each side, PROBE_MM beyond its faces."""
+    dx, dy, length = x2 - x1, y2 - y1, chord(x1, y1, x2, y2)
+    mx, my = (x1 + x2) / 2 + dy * bulge / length, (y1 + y2) / 2 - dx * bulge / length
+    reach = thickness / 2 + PROBE_MM
+    return F.array(*[F.struct((mx - s * dy / length * reach).alias("x"), (my + s * dx / length * reach).alias("y")) for s in (1, -1)])
+
+
+def wall_side(inside: Column) -> Column:
+    """What the number of probes inside a room tells of a wall."""
+    return F.when(inside == 0, "unknown").when(inside == 1, "exterior").otherwise("interior")
+
+
+def mask_overlap(a: Column, b: Column) -> Column:
+    """Cells set in both and in either of two arrays of booleans, as struct<both, either>."""
+    both = F.size(F.filter(F.zip_with(a, b, lambda x, y: x & y), lambda x: x))
+    either = F.size(F.filter(F.zip_with(a, b, lambda x, y: x | y), lambda x: x))
+    return F.struct(both.cast("long").alias("both"), either.cast("long").alias("either"))
+
+
+def tile_windows(width: Column, height: Column, tile: int, overlap: int) -> Column:
+    """Corners (x, y) of windows that cover a picture: steps of tile less overlap, the last moved back to the edge."""
+    starts = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((n - tile) / (tile - overlap)), F.lit(0)).cast("int")), lambda i: F.greatest(F.least(i * (tile - overlap), n - tile), F.lit(0))))
+    return F.flatten(F.transform(starts(height), lambda y: F.transform(starts(width), lambda x: F.struct(x.alias("x"), y.alias("y")))))

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Shares of the splits in percent; fixed values.
-SPLITS = (("train", 80), ("val", 10), ("test", 10))
+SPLITS = (("train", 80), ("validation", 10), ("test", 10))
 
 
 def hash_split(key: Column) -> Column:
-    """The split of a group key: the first 8 bytes of its SHA-256, as a number, mod 100."""
+    """The split of a group key: the first 8 bytes of its SHA-256, as a number, mod 100; an empty or null key has none."""
     n = F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)") % 100
     out, upto = None, 0
     for name, percent in SPLITS:
         upto += percent
         out = F.when(n < upto, name) if out is None else out.when(n < upto, name)
-    return out
+    return F.when(key != "", out)
 
 
 def text_key(text: Column) -> Column:
@@ -41,3 +41,23 @@ def length_mm(text: Column) -> Column:
         .when(number.rlike(r"^[1-9][0-9]{0,2}(\.[0-9]{3})+,[0-9]+$"), F.regexp_replace(F.regexp_replace(number, r"\.", ""), ",", "."))
     )
     return plain.cast("decimal(24,6)") * F.when(unit == "m", 1000).when(unit == "cm", 10).otherwise(1)
+
+
+def parsed_instant(text: Column) -> Column:
+    """The moment of a wire text, null where it is none."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+def canonical_sha(**fields: Column) -> Column:
+    """SHA-256 of the fields as JSON with sorted names and no white space; nulls stay as null."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
+#: Denominators of a scale note that count; fixed values.
+NOTE_RANGE = (10, 2000)
+
+
+def scale_notes(text: Column) -> Column:
+    """All N of notes 1:N in a text, within the range."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\b1\s*:\s*([0-9]{1,6})\b"), F.lit(1)), lambda x: x.cast("long"))
+    return F.filter(found, lambda n: (n >= NOTE_RANGE[0]) & (n <= NOTE_RANGE[1]))

@@ -61,8 +61,8 @@ def page_after(df: DataFrame, order: list[tuple[str, str]], cursor: dict[str, Co
 
 def complete_last(df: DataFrame, group: str, n: int) -> DataFrame:
     """The first n rows by group, and the rest of the last one's group."""
-    last = df.select(group).orderBy(group).limit(n).agg(F.max(group).alias("_last"))
-    return df.join(F.broadcast(last), F.col(group) <= F.col("_last")).drop("_last")
+    last = df.select(group).orderBy(group).limit(n).agg(F.max(group)).first()[0]  # one value, so that it prunes the scan
+    return df.where(F.col(group) <= F.lit(last)) if last is not None else df.limit(0)
 
 
 def compacted(df: DataFrame, keys: list[str], order: list[str], old: Column) -> DataFrame:

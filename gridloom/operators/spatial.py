@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import kept
@@ -44,16 +43,7 @@ SUPPRESS_IOU = 0.5
 
 def suppressed(boxes: DataFrame, iou: float = SUPPRESS_IOU) -> DataFrame:
     """Greedy suppression within each page and label: boxes page, label, score, x1, y1, x2, y2 by falling score, then x1, y1;
-    what overlaps a kept one as much as iou goes. A page's boxes meet in one task (a page has some thousand at most)."""
-    from ..functions.geometry import iou_of
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "x1", "y1"], ascending=[False, True, True], kind="stable")
-        held: list = []
-        for row in pdf.itertuples(index=False):
-            box = (row.x1, row.y1, row.x2, row.y2)
-            if all(iou_of(box, h[0]) < iou for h in held):
-                held.append((box, row))
-        return pd.DataFrame([h[1] for h in held], columns=pdf.columns)
-
-    return boxes.groupBy("page", "label").applyInPandas(run, boxes.schema)
+    what overlaps a kept one as much as iou goes."""
+    from .detection import suppressed as in_rounds
+
+    return in_rounds(kept(boxes.withColumn("id", F.monotonically_increasing_id())), ["page", "label"], iou).select(*boxes.columns)

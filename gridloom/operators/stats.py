@@ -52,12 +52,6 @@ def precision_recall(df: DataFrame, keys: list[str], score: str, tie: str, posit
     return out.select(*keys, tie, "rank", "tp", "precision", "envelope", "recall", F.col("_hit").alias("hit"), F.col("_all").alias("positives"))
 
 
-def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """The mean over a group's positives of the envelope where each is found; 0 without positives."""
-    total = F.sum(F.when(F.col("hit") == 1, F.col("envelope")).otherwise(0.0))
-    return curve.groupBy(*keys).agg((total / F.greatest(F.max("positives"), F.lit(1))).alias("average_precision"))
-
-
 def share(inside: Column, either: Column) -> Column:
     """Sum over sum, 1 where the lower one is 0."""
     return F.when(F.sum(either) == 0, 1.0).otherwise(F.sum(inside) / F.sum(either))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import js_round as half_up
 from ..functions.text import SPLITS, hash_split as split_of, text_key as key_of
-from ..operators import changes, keyed, spatial, stats
+from ..operators import changes, detection, keyed, spatial, stats
 from ..sources.tables import table
 from ..streaming import events as streams
 from .relational import CUTOFF, NTZ, cents
@@ -77,11 +77,11 @@ def integrity_duplicates(spark, d):
 
 @query("select o_orderkey from (select *, max(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 1 preceding and 1 preceding) as p from orders) where o_totalprice <= p")
 def level_order_lag(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    """What was before is the last row of all before, as a max of structs over ranges of years."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    return o.withColumn("before", F.lag("o_totalprice").over(w)).where("o_totalprice <= before").select("o_orderkey")
+    row = F.struct("o_orderdate", "o_orderkey", "o_totalprice")
+    o = keyed.running(o, ["o_custkey"], F.year("o_orderdate"), [F.asc("o_orderdate"), F.asc("o_orderkey")], row, "max", "before")
+    return o.where("o_totalprice <= before.o_totalprice").select("o_orderkey")
 
 
 @query("""with p as (select p_partkey, p_brand, cast(round(p_retailprice * 200) as bigint) + case when p_partkey = 7 then 900000 else 0 end as v from part),
@@ -111,8 +111,8 @@ def js_round(spark, d):
     return table(spark, d, "lineitem").select("l_quantity").distinct().select("l_quantity", half_up(F.col("l_quantity") * 0.5 - 12).cast("long").alias("rounded"))
 
 
-@query("""with s as (select case when b < 80 then 'train' when b < 90 then 'val' else 'test' end as split, n from (select ('0x' || substr(sha256(source), 1, 16))::ubigint % 100 as b, count(*) as n from documents group by source))
- select t.split, cast(coalesce(sum(n), 0) as bigint) as n from (values ('train'), ('val'), ('test')) t(split) left join s using (split) group by t.split""")
+@query("""with s as (select case when b < 80 then 'train' when b < 90 then 'validation' else 'test' end as split, n from (select ('0x' || substr(sha256(source), 1, 16))::ubigint % 100 as b, count(*) as n from documents group by source))
+ select t.split, cast(coalesce(sum(n), 0) as bigint) as n from (values ('train'), ('validation'), ('test')) t(split) left join s using (split) group by t.split""")
 def hash_split(spark, d):
     n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).groupBy(split_of(F.col("source")).alias("split")).agg(F.sum("n").alias("n"))
     return keyed.zero_filled(spark.createDataFrame([(s,) for s, _ in SPLITS], "split string"), n, "split", ["n"])
@@ -175,9 +175,14 @@ def precision_recall_curve(spark, d):
     return _curve(spark, d).select("lang", "doc_id", "rank", "tp", "precision", "envelope")
 
 
-@query(_CURVE + "select lang, cast(round(sum(case when quality = 1 then envelope else 0 end) / greatest(sum(quality), 1) * 1000000) as bigint) as ap_millionths from c group by lang")
+@query(_CURVE + """, k as (select lang, rank as o, tp / sum(quality) over (partition by lang) as r, precision as p from c),
+ e as (select * from k union all select distinct lang, 0, 0.0, 1.0 from k union all select lang, 1000000000, max(r), 0.0 from k group by lang union all select distinct lang, 1000000001, 1.0, 0.0 from k),
+ v as (select lang, o, r, max(p) over (partition by lang order by o rows between current row and unbounded following) as y from e),
+ g as (select lang, i, i / 100 as x, arg_max(r, o) filter (where r <= i / 100 + 1e-9) as r0, arg_max(y, o) filter (where r <= i / 100 + 1e-9) as y0, arg_min(r, o) filter (where r > i / 100 + 1e-9) as r1, arg_min(y, o) filter (where r > i / 100 + 1e-9) as y1 from v, range(101) t(i) group by lang, i)
+ select lang, cast(round(sum((case when r1 is null or abs(x - r0) < 1e-9 then y0 else y0 + (y1 - y0) * (x - r0) / (r1 - r0) end) * case when i in (0, 100) then 0.5 else 1 end) / 100 * 1000000) as bigint) as ap_millionths from g group by lang""")
 def average_precision(spark, d):
-    return stats.average_precision(_curve(spark, d), ["lang"]).select("lang", F.round(F.col("average_precision") * 1000000).cast("long").alias("ap_millionths"))
+    curve = _curve(spark, d).where("positives > 0").select("lang", "rank", "recall", "precision")
+    return detection.interpolated_ap(curve, ["lang"]).select("lang", F.round(F.col("ap") * 1000000).cast("long").alias("ap_millionths"))
 
 
 _EDGES = (1, 5, 10, 50, 100, 250)

@@ -63,10 +63,9 @@ def readiness_reasons(spark, d):
 
 @query("select l_orderkey, count(*) as n_items, count(*) filter (where l_linestatus = 'F') as n_reviewed, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as total, max(cast(round(l_extendedprice * 100) as bigint)) as largest from lineitem group by l_orderkey")
 def layer_counts(spark, d):
-    item = F.struct((F.col("l_linestatus") == "F").alias("reviewed"), cents("l_extendedprice").alias("size"))
-    layers = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))  # an order's lines are few
-    total = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + x["size"])
-    return layers.select("l_orderkey", F.size("items").cast("long").alias("n_items"), F.size(F.filter("items", lambda x: x["reviewed"])).cast("long").alias("n_reviewed"), total.alias("total"), F.array_max(F.transform("items", lambda x: x["size"])).alias("largest"))
+    size = cents("l_extendedprice")
+    counts = [F.count("*").alias("n_items"), F.count_if(F.col("l_linestatus") == "F").alias("n_reviewed"), F.sum(size).alias("total"), F.max(size).alias("largest")]
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(*counts)
 
 
 @query("""with v as (select p_brand, cast(round(p_retailprice * 100) as bigint) as c from part),

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.keyed import latest, running
+from ..operators.keyed import running
 
 #: Reasons why a telemetry event is dropped, in the order tried; fixed values.
 MALFORMED, OUT_OF_RANGE = "malformed", "out_of_range"
@@ -63,6 +63,3 @@ def silent(jobs: DataFrame, started: str, beat: str, cutoff: Column) -> DataFram
     """Jobs without a beat since the cutoff; those that never beat count from their start."""
     return jobs.where(F.coalesce(beat, started) < cutoff)
 
-
-def latest_by_user(events: DataFrame) -> DataFrame:
-    return latest(events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
