@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, layers, nested, relational, scalars, tables
+from . import documents, flows, layers, nested, relational, scalars, tables
 
-QUERIES: dict = relational.QUERIES | documents.QUERIES | layers.QUERIES | nested.QUERIES | scalars.QUERIES | tables.QUERIES
-SQL: dict[str, str] = relational.SQL | documents.SQL | layers.SQL | nested.SQL | scalars.SQL | tables.SQL
+QUERIES: dict = relational.QUERIES | documents.QUERIES | flows.QUERIES | layers.QUERIES | nested.QUERIES | scalars.QUERIES | tables.QUERIES
+SQL: dict[str, str] = relational.SQL | documents.SQL | flows.SQL | layers.SQL | nested.SQL | scalars.SQL | tables.SQL
