@@ -6,6 +6,7 @@ line is: that is the pigeonhole. DataFrame functions only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -29,6 +30,8 @@ DISTANCE = 75
 SHORT = 14
 #: Rounds of comparing the lines of each block of more than CROWD with one of them, before pairs.
 ROUNDS, CROWD = 2, 8
+#: A line that is more than one of so many lines (and said 1000 times) counts as said very often.
+OFTEN = 10_000
 _LOW = -(1 << 63)
 
 
@@ -38,7 +41,8 @@ def normal(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """gid (doc_id, null as the lowest), line_no, norm and its keys k1, k2, of each line with a letter or digit."""
+    """gid (doc_id, null as the lowest), line_no, norm and its keys k1, k2 (96 bits, by which lines count as equal), of each line with a
+    letter or digit."""
     gid = F.coalesce(F.col("doc_id"), F.lit(_LOW)).alias("gid")
     rows = docs.select(gid, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("gid", "line_no", normal(F.col("line")).alias("norm"))
     return rows.where(F.col("norm").rlike(r"[\p{L}\p{N}]")).withColumns({"k1": F.xxhash64("norm"), "k2": F.hash("norm")})
@@ -49,19 +53,20 @@ def place() -> Column:
     return F.col("gid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
+def simhashes(lines: DataFrame, by: list[str]) -> DataFrame:
     """id, sizes and sims of a line's parts: how many features each has, and its bits, set where most features' hashes have them.
-    Counters hold 16,383 features of a part; beyond, they run over, alike for equal parts. A line's features stay in its task."""
+    Counters hold 16,383 features of a part; beyond, they run over, alike for equal parts. by: the columns that name a line, and by which
+    it may be dealt already, so that its features stay in its task."""
     few = f"if(char_length(norm) < {GRAM}, array(norm), array_distinct(regexp_extract_all(norm, '(?s)(?=(.{{{GRAM}}}))', 1)))"
-    rows = lines.select("id", "norm").repartition("id").selectExpr("id", "norm", "array_distinct(split(norm, ' ')) as words")
-    rows = rows.selectExpr("id", f"explode_outer(if(size(words) >= {FEW}, words, {few})) as w").select("id", F.xxhash64("w").alias("h"))
+    rows = lines.selectExpr(*by, "norm", "array_distinct(split(norm, ' ')) as words")
+    rows = rows.selectExpr(*by, f"explode_outer(if(size(words) >= {FEW}, words, {few})) as w").select(*by, F.xxhash64("w").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(FIELDS))).alias(f"s{i}") for i in range(SUMS)]
-    parts = rows.groupBy("id", F.expr(f"cast(pmod(h, {PARTS}) as int)").alias("part")).agg(F.count("*").cast("int").alias("n"), *sums)
+    parts = rows.groupBy(*by, F.expr(f"cast(pmod(h, {PARTS}) as int)").alias("part")).agg(F.count("*").cast("int").alias("n"), *sums)
     # a field and 16383 less half the features reach its highest bit where the field is more than half
     most = lambda i: f"shiftleft(shiftrightunsigned(s{i} + greatest(16383 - n div 2, 0) * {FIELDS}L, 14) & {FIELDS}L, {i})"
-    parts = parts.selectExpr("id", "part", "n", f"{' | '.join(most(i) for i in range(SUMS))} as sim")
+    parts = parts.selectExpr(*by, "part", "n", f"{' | '.join(most(i) for i in range(SUMS))} as sim")
     of = lambda c, p: F.coalesce(F.max(F.when(F.col("part") == p, F.col(c))), F.lit(0).cast("int" if c == "n" else "long"))
-    found = parts.groupBy("id").agg(*[of("n", p).alias(f"n{p}") for p in range(PARTS)], *[of("sim", p).alias(f"s{p}") for p in range(PARTS)])
+    found = parts.groupBy(*by).agg(*[of("n", p).alias(f"n{p}") for p in range(PARTS)], *[of("sim", p).alias(f"s{p}") for p in range(PARTS)])
     return found.select("id", F.array(*[f"n{p}" for p in range(PARTS)]).alias("sizes"), F.array(*[f"s{p}" for p in range(PARTS)]).alias("sims"))
 
 
@@ -115,14 +120,10 @@ def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return rows.where(alike).select(*pairs.columns)
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of rows with ids a and b those whose lines are similar."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    named = written(sized_join(lines.select("id", "norm"), ids, "id", "left_semi", 16))
+def verified(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of rows with ids a and b of lines (id, norm) those whose lines are similar."""
     both = pairs.join(named.selectExpr("id as b", "norm as b_norm"), "b").join(named.selectExpr("id as a", "norm as a_norm"), "a")
-    links = written(similar(both, "a_norm", "b_norm").drop("a_norm", "b_norm"))
-    discard(ids, named)
-    return links
+    return written(similar(both, "a_norm", "b_norm").drop("a_norm", "b_norm"))
 
 
 def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -138,20 +139,25 @@ def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return out
 
 
-def line_groups(lines: DataFrame) -> DataFrame:
-    """node, component: ids of linked lines among distinct lines (norm, id), each with its group's smallest id.
+def line_groups(lines: DataFrame, by: list[str] | None = None, some: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """node, component: ids of linked lines among distinct lines (norm, id and the columns by), each with its group's smallest id. some gives
+    the lines (id, norm) of a table of ids.
 
     No pair of a block is left out, but pairs within what is already one group are not made: ROUNDS times each crowded block that
     holds several groups compares its lines with one of them (another each time), and only then are lines of different groups
     that still share a block compared pair by pair."""
-    sims = written(simhashes(lines))
-    dealt = blocks(sims).unionByName(short_blocks(lines))
+    some = some or (lambda ids: sized_join(lines.select("id", "norm"), ids, "id", "left_semi", 16))
+    sims = written(simhashes(lines, by or ["id"]))
+    dealt = blocks(sims)
+    if not (short := written(short_blocks(lines))).isEmpty():
+        dealt = dealt.unionByName(short)
     crowded = written(dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
     met = written(sized_join(dealt, crowded, "block", "inner", 24, 24))
     member = written(met.select("id").distinct())
-    there = sized_join(sims, member, "id", "left_semi", 24, 24).join(lines.select("id", F.char_length("norm").alias("size")), "id")
-    shared = written(met.join(there.select("id", "size", "sims"), "id"))
-    discard(sims, crowded, met, member)
+    named = written(some(member).withColumn("size", F.char_length("norm")))
+    there = sized_join(sims.select("id", "sims"), member, "id", "left_semi", 16, 24).join(named.select("id", "size"), "id")
+    shared = written(met.join(there, "id"))
+    discard(sims, short, crowded, met, member)
     labels, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("id"))
     apart = " + ".join(f"bit_count(x.sims[{p}] ^ y.sims[{p}])" for p in range(PARTS))
     close = f"abs(x.size - y.size) * 100 <= greatest(x.size, y.size) * {100 - SIMILARITY} and (greatest(x.size, y.size) <= {SHORT} or {apart} <= {DISTANCE})"
@@ -164,14 +170,14 @@ def line_groups(lines: DataFrame) -> DataFrame:
             left = written(known.join(open_blocks.select("block"), "block", "left_semi"))
             tried = left.alias("x").join(left.alias("y"), F.expr(f"x.block = y.block and x.id < y.id and x.component <> y.component and {close}"))
         tried = written(tried.selectExpr("x.id as a", "y.id as b", "x.component as own", "y.component as other").distinct())
-        found = verified(tried, lines)
+        found = verified(tried, named)
         edges = found.select(F.col("own").alias("a"), F.col("other").alias("b"))
         labels = joined(labels, edges)
         discard(tried, found, known)
         if r < ROUNDS:
             rows = shared.where(f"n > {CROWD}") if r + 1 < ROUNDS else shared
             known = written(sized_join(rows, labels.withColumnRenamed("node", "id"), "id", "left", 40).withColumn("component", F.coalesce("component", "id")))
-    discard(shared, left)
+    discard(shared, left, named)
     return labels
 
 
@@ -183,9 +189,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     count as one document. A document may end up empty; its row stays. A column n_removed of docs gives way; all others are
     passed through, whatever their names."""
     rows = line_rows(docs)
-    lines = rows.groupBy("k1", "k2", "norm").agg(F.min(place()).alias("place"), F.count("*").alias("n"))
-    lines = written(lines.withColumn("id", F.monotonically_increasing_id()))
-    groups = line_groups(lines.select("id", "norm"))
+    keys = rows.select("gid", "line_no", "k1", "k2")
+    lines = written(keys.groupBy("k1", "k2").agg(F.min(place()).alias("place"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    # a line's text moves once, from its first place; of lines said very often, the others are left out before texts move
+    often = max(1000, lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // OFTEN)
+    hot = lines.where(F.col("n") > often).select("k1", "k2", F.col("place").alias("hot"))  # OFTEN rows at most
+    few = rows.join(F.broadcast(hot), ["k1", "k2"], "left").where(F.col("hot").isNull() | (place() == F.col("hot"))).drop("hot")
+    at = lines.select("k1", "k2", "place", "id")
+    first = lambda some: sized_join(few, some, ["k1", "k2"], "inner", 48).where(place() == F.col("place"))
+    groups = line_groups(few.join(at.hint("shuffle_merge"), ["k1", "k2"]).where(place() == F.col("place")).select("k1", "k2", "id", "norm"), ["k1", "k2", "id"], lambda ids: first(written(at.join(ids, "id"))).select("id", "norm"))
     member = written(lines.select("id", "place").join(groups.withColumnRenamed("node", "id"), "id"))
     member = member.join(member.groupBy("component").agg(F.min("place").alias("kept")), "component").select("id", "kept")
     known = sized_join(lines.select("id", "k1", "k2", "place", "n"), written(member), "id", "left", 40)
