@@ -19,7 +19,7 @@ from .common import discard, documents, partitions, small, texts, written
 
 THRESHOLD, ANCHOR = 200, 32
 #: Ranks with more different neighbourhoods than this are resolved position by position in Spark, not within one task.
-WIDE = 20_000
+WIDE = 5_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64((1 << 31) - 1)
@@ -88,17 +88,19 @@ def sampled_rows(docs: DataFrame, threshold: int) -> DataFrame:
 def _neighbourhoods(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
     """wanted (rank, doc_id, mark, low, high, lone) with the bytes of these strings' union."""
     by_doc = written(wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("rank", "low", "high", "lone")).alias("its")))
-    there = docs.join(by_doc.hint("shuffle_merge"), ["doc_id", "mark"])
+    names_ = ("rank", "low", "high", "lone")
+    there = docs.join(by_doc.hint("shuffle_merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", *[F.col(f"its.{c}").alias(c) for c in names_])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, mark, t, its in zip(batch["doc_id"], batch["mark"], batch["text"], batch["its"]):
+            for key, mark, t, *its in zip(batch["doc_id"], batch["mark"], batch["text"], *[batch[c] for c in names_]):
                 raw = t.encode("utf-8", "surrogatepass")
-                out += [(r["rank"], key, mark, r["low"], r["lone"], raw[r["low"] : r["high"] + threshold]) for r in its]
-                if len(out) > 5000:
-                    yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "data"])
-                    out = []
+                for rank, low, high, lone in zip(*its):
+                    out.append((rank, key, mark, low, lone, raw[low : high + threshold]))
+                    if len(out) == 2000:
+                        yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "data"])
+                        out = []
             yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "data"])
 
     return there.mapInPandas(run, "rank long, doc_id long, mark long, low int, lone boolean, data binary")
