@@ -243,14 +243,15 @@ def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, ra
 def components_of(docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
     """doc_id and mark as marked() gives them, n (set size) and component of each row. No pair that may link is left out:
     equal sets are one node; linked sets share one of their first n-grams; each such list first links its members with
-    its smallest one; then only members that aren't yet in one component are compared."""
+    the one of the smallest id; then only members that aren't yet in one component are compared."""
     common = common_shingles(docs, words)
     rows = written(set_rows(docs, words, ratio, common))
     one = rows.where("n > 0").groupBy("node", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by("mark", "doc_id").alias("mark"))
     nodes = written(rows.join(one, ["node", "k2", "doc_id", "mark"], "left_semi").select("node", "doc_id", "mark", "n", "first", "parity").dropDuplicates(["node"]))
-    posts = nodes.select(F.explode("first").alias("h"), F.col("node").alias("rep"), "n")
-    lists = posts.groupBy("h").agg(F.count("*").alias("many"), F.min("rep").alias("pivot")).where("many > 1").drop("many")
-    shared = written(posts.join(lists, "h"))
+    # the pivot is the row of the smallest id, as copies that differ from each other are often both near the one that they were made from
+    posts = nodes.select(F.explode("first").alias("h"), F.col("node").alias("rep"), "n", "doc_id")
+    lists = posts.groupBy("h").agg(F.count("*").alias("many"), F.min_by("rep", "doc_id").alias("pivot")).where("many > 1").drop("many")
+    shared = written(posts.drop("doc_id").join(lists, "h"))
 
     star = written(near_sizes(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), nodes, ratio))
     star = written(possible(star, nodes, ratio))
