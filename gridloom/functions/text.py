@@ -61,3 +61,10 @@ def scale_notes(text: Column) -> Column:
     """All N of notes 1:N in a text, within the range."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"\b1\s*:\s*([0-9]{1,6})\b"), F.lit(1)), lambda x: x.cast("long"))
     return F.filter(found, lambda n: (n >= NOTE_RANGE[0]) & (n <= NOTE_RANGE[1]))
+
+
+def without_one(text: Column) -> Column:
+    """The text itself and what each letter's absence leaves, each once."""
+    cut = lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.char_length(text)))
+    fewer = F.when(F.char_length(text) > 0, F.transform(F.sequence(F.lit(1), F.char_length(text)), cut)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(text), fewer))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import box_iou
 from ..sources.tables import kept
+from .graph import beaten
 from .keyed import running
 from .spatial import SUPPRESS_IOU
 
@@ -85,21 +86,12 @@ def interpolated_ap(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 def suppressed(boxes: DataFrame, keys: list[str], iou: float = SUPPRESS_IOU) -> DataFrame:
     """Greedy suppression within keys: boxes (id, score, x1, y1, x2, y2) by falling score, then x1, y1 and id; what overlaps a kept one
-    as much as iou goes. Returns the kept rows.
-
-    In each round every undecided box without a better undecided neighbour is kept and its neighbours go."""
+    as much as iou goes. Returns the kept rows."""
     boxes = kept(boxes)
     pairs = overlaps(boxes, boxes, keys, iou).where("l.id <> r.id")
     place = lambda c: F.struct(F.col(f"{c}.score"), -F.col(f"{c}.x1"), -F.col(f"{c}.y1"), -F.col(f"{c}.id"))
-    worse = kept(pairs.where(place("l") > place("r")).select(F.col("l.id").alias("better"), F.col("r.id").alias("worse")))
-    gone, open_ = None, worse
-    while not open_.isEmpty():
-        tops = open_.select(F.col("better").alias("id")).distinct().join(open_.select(F.col("worse").alias("id")), "id", "left_anti")
-        out = kept(open_.join(tops, F.col("better") == F.col("id")).select(F.col("worse").alias("id")).distinct())
-        gone = out if gone is None else kept(gone.unionByName(out))
-        rest = open_.join(out.withColumnRenamed("id", "worse"), "worse", "left_anti").join(out.withColumnRenamed("id", "better"), "better", "left_anti")
-        open_ = kept(rest.join(tops.withColumnRenamed("id", "better"), "better", "left_anti"))
-    return boxes if gone is None else boxes.join(gone, "id", "left_anti")
+    worse = pairs.where(place("l") > place("r")).select(F.col("l.id").alias("better"), F.col("r.id").alias("worse"))
+    return boxes.join(beaten(worse), "id", "left_anti")
 
 
 def decoded(scores: Column, characters: str) -> Column:

@@ -48,7 +48,7 @@ def inferred(samples: DataFrame, keys: list[str], pixels: str, millimetres: str)
     all_of = samples.select(*keys, mm.alias("_mm"), ratio.alias("_ratio"))
     two = (F.count("_ratio") == 2) & (F.min("_of") != F.max("_of")) & (F.min("_of") >= PAIR_MM) & (F.max("_ratio") - F.min("_ratio") <= PAIR_OFF * F.min("_ratio"))
     groups = all_of.withColumn("_of", F.when(F.col("_ratio").isNotNull(), F.col("_mm"))).groupBy(*keys).agg(F.coalesce(two, F.lit(False)).alias("_pair"))
-    held = outliers(all_of.where("_ratio is not null"), keys, "_ratio").where("not is_outlier").select(*keys, "_ratio")
+    held = outliers(all_of.where("_ratio is not null"), keys, "_ratio", lambda r: F.coalesce(F.floor(F.log2(r) * 16), F.lit(-(1 << 20)))).where("not is_outlier").select(*keys, "_ratio")  # 0 has no logarithm
     middle = held.groupBy(*keys).agg(F.median("_ratio").alias("suggested"), F.count("*").alias("n_samples"))
     spread = held.join(middle, keys).groupBy(*keys, "suggested", "n_samples").agg(F.median(F.abs(F.col("_ratio") - F.col("suggested"))).alias("_spread"))
     fit = F.greatest(F.lit(0.0), 1 - F.col("_spread") / F.col("suggested") / NO_CONFIDENCE)

@@ -1,4 +1,4 @@
-"""Points and boxes on a plane: pairs within a distance, components, greedy suppression."""
+"""Points and boxes on a plane: pairs within a distance, greedy suppression."""
 
 from __future__ import annotations
 
@@ -22,21 +22,6 @@ def pairs_within(points: DataFrame, distance: float) -> DataFrame:
     return met.select(F.least("id", "gid").alias("a"), F.greatest("id", "gid").alias("b"), d2.alias("d2"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (the least id reachable over edges a, b) for every node (id). Labels spread along edges and then jump to
-    their label's label; each round is written, so that a lost executor costs no earlier one."""
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = kept(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        least = both.join(labels.withColumnsRenamed({"id": "b", "component": "seen"}), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        spread = labels.join(least.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("component", F.coalesce("seen", "component")).alias("component"), F.col("component").alias("was"))
-        jump = spread.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = kept(spread.join(jump, "component", "left").select("id", F.least("component", "further").alias("component"), "was"))
-        labels = moved.select("id", "component")
-        if moved.where("component <> was").isEmpty():
-            return labels
-
-
 #: Boxes of one label that overlap as much are one.
 SUPPRESS_IOU = 0.5
 

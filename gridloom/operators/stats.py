@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .keyed import numbered, running
@@ -10,12 +12,22 @@ from .keyed import numbered, running
 MAD_TO_SPREAD, MEAN_TO_SPREAD, FAR = 0.6745, 1.2533, 3
 
 
-def outliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def middle(df: DataFrame, keys: list[str], value: str, bucket: Callable[[Column], Column] | None, name: str) -> DataFrame:
+    """keys and the exact median of value, nulls left out. bucket(value) must not fall along value; rows of a key are dealt by it, so that no task
+    holds or sorts a whole key. Without bucket, a key's different values meet in one task."""
+    if bucket is None:
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = numbered(rows, keys, bucket(F.col("_v")), [F.asc("_v")], "_before").join(n, keys)
+    return ranked.where("_before in ((_n - 1) div 2, _n div 2)").groupBy(*keys).agg(F.avg("_v").alias(name))
+
+
+def outliers(df: DataFrame, keys: list[str], value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """df with median, spread and is_outlier: more than FAR spreads from its group's median. The spread is the MAD / 0.6745, or
-    where that is 0 the mean deviation x 1.2533; where that is 0 too, nothing is an outlier."""
-    mid = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    off = df.join(mid, keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    spread = off.groupBy(*keys).agg(F.median("_off").alias("mad"), F.avg("_off").alias("mean"))
+    where that is 0 the mean deviation x 1.2533; where that is 0 too, nothing is an outlier. bucket: see middle()."""
+    off = df.join(middle(df, keys, value, bucket, "median"), keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
+    spread = middle(off, keys, "_off", bucket, "mad").join(off.groupBy(*keys).agg(F.avg("_off").alias("mean")), keys)
     spread = spread.select(*keys, F.when(F.col("mad") > 0, F.col("mad") / MAD_TO_SPREAD).otherwise(F.col("mean") * MEAN_TO_SPREAD).alias("spread"))
     return off.join(spread, keys).withColumn("is_outlier", (F.col("spread") > 0) & (F.col("_off") > F.col("spread") * FAR)).drop("_off")
 

@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written once in the folder that spark.checkpoint.dir names, and read back; a folder of our own where it is unset."""
+    """df written once in the folder that spark.checkpoint.dir names, and read back. Where that is unset, a folder of our own if driver and
+    executors are one process; on a cluster that is an error, as executors would write to their own disks."""
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridloom_table = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of kept() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_gridloom_table", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _cleanup() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before us
+            return
 
 
 def split_corrupt(rows: DataFrame, column: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
