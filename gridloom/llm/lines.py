@@ -30,8 +30,6 @@ DISTANCE = 75
 SHORT = 14
 #: Rounds of comparing the lines of each block of more than CROWD with one of them, before pairs.
 ROUNDS, CROWD = 2, 8
-#: A line that is more than one of so many lines (and said 1000 times) counts as said very often.
-OFTEN = 10_000
 _LOW = -(1 << 63)
 
 
@@ -189,15 +187,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     count as one document. A document may end up empty; its row stays. A column n_removed of docs gives way; all others are
     passed through, whatever their names."""
     rows = line_rows(docs)
-    keys = rows.select("gid", "line_no", "k1", "k2")
-    lines = written(keys.groupBy("k1", "k2").agg(F.min(place()).alias("place"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    # a line's text moves once, from its first place; of lines said very often, the others are left out before texts move
-    often = max(1000, lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // OFTEN)
-    hot = lines.where(F.col("n") > often).select("k1", "k2", F.col("place").alias("hot"))  # OFTEN rows at most
-    few = rows.join(F.broadcast(hot), ["k1", "k2"], "left").where(F.col("hot").isNull() | (place() == F.col("hot"))).drop("hot")
-    at = lines.select("k1", "k2", "place", "id")
-    first = lambda some: sized_join(few, some, ["k1", "k2"], "inner", 48).where(place() == F.col("place"))
-    groups = line_groups(few.join(at.hint("shuffle_merge"), ["k1", "k2"]).where(place() == F.col("place")).select("k1", "k2", "id", "norm"), ["k1", "k2", "id"], lambda ids: first(written(at.join(ids, "id"))).select("id", "norm"))
+    placed = rows.select("k1", "k2", place().alias("place"), "norm")
+    lines = written(placed.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    # texts meet their line's number at its first place; all others of a line said often meet nothing, each in some other task
+    key = ["k1", "k2", "place"]
+    first = lambda some: sized_join(placed, some, key, "inner", 56).select("id", "norm")
+    numbers = lines.select(*key, "id")
+    groups = line_groups(placed.join(numbers.hint("shuffle_merge"), key), [*key, "id"], lambda ids: first(written(numbers.join(ids, "id"))))
     member = written(lines.select("id", "place").join(groups.withColumnRenamed("node", "id"), "id"))
     member = member.join(member.groupBy("component").agg(F.min("place").alias("kept")), "component").select("id", "kept")
     known = sized_join(lines.select("id", "k1", "k2", "place", "n"), written(member), "id", "left", 40)
