@@ -117,7 +117,7 @@ def ip_buckets(spark, d):
     return e.select("user_id", unicode.ip_bucket(host).alias("bucket"), "n")
 
 
-@query("select p_brand, case when count(*) filter (where r = 1) = 1 then max(note) filter (where r = 1) end as note from (select p_brand, note, rank() over (partition by p_brand order by count(*) desc) as r from (select p_brand, (p_size % 6) * 50 as note from part) where note between 10 and 2000 group by p_brand, note) group by p_brand")
+@query("select p_brand, case when count(*) filter (where r = 1) = 1 then max(note) filter (where r = 1) end as note from (select p_brand, note, rank() over (partition by p_brand order by count(*) desc) as r from (select p_brand, cast((p_size % 6) * 50 as bigint) as note from part) where note between 10 and 2000 group by p_brand, note) group by p_brand")
 def scale_note_vote(spark, d):
     p = table(spark, d, "part").select("p_brand", F.format_string("TL 1 : %d drawn", F.col("p_size") % 6 * 50).alias("said"))
     n = p.select("p_brand", F.explode(text.scale_notes(F.col("said"))).alias("note")).groupBy("p_brand", "note").agg(F.count("*").alias("n"))
