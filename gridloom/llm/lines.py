@@ -52,7 +52,7 @@ def place() -> Column:
 
 
 def simhashes(lines: DataFrame, by: list[str]) -> DataFrame:
-    """id, sizes and sims of a line's parts: how many features each has, and its bits, set where most features' hashes have them.
+    """id, and n0, s0 and so on of a line's parts: how many features each has, and its bits, set where most features' hashes have them.
     Counters hold 16,383 features of a part; beyond, they run over, alike for equal parts. by: the columns that name a line, and by which
     it may be dealt already, so that its features stay in its task."""
     few = f"if(char_length(norm) < {GRAM}, array(norm), array_distinct(regexp_extract_all(norm, '(?s)(?=(.{{{GRAM}}}))', 1)))"
@@ -65,7 +65,7 @@ def simhashes(lines: DataFrame, by: list[str]) -> DataFrame:
     parts = parts.selectExpr(*by, "part", "n", f"{' | '.join(most(i) for i in range(SUMS))} as sim")
     of = lambda c, p: F.coalesce(F.max(F.when(F.col("part") == p, F.col(c))), F.lit(0).cast("int" if c == "n" else "long"))
     found = parts.groupBy(*by).agg(*[of("n", p).alias(f"n{p}") for p in range(PARTS)], *[of("sim", p).alias(f"s{p}") for p in range(PARTS)])
-    return found.select("id", F.array(*[f"n{p}" for p in range(PARTS)]).alias("sizes"), F.array(*[f"s{p}" for p in range(PARTS)]).alias("sims"))
+    return found.select("id", *[f"{c}{p}" for c in "ns" for p in range(PARTS)])
 
 
 def blocks(sims: DataFrame) -> DataFrame:
@@ -74,12 +74,13 @@ def blocks(sims: DataFrame) -> DataFrame:
     one, more = [], []
     for k in (1, 2, 3):
         for t in combinations(range(PARTS), k):
-            count = lambda v: " + ".join(f"sizes[{i}]" for i in v)
+            count = lambda v: " + ".join(f"n{i}" for i in v)
             fewer = "".join(f" and {count(v)} < {NEED}" for v in combinations(t, k - 1) if v)
-            key = f"if({count(t)} >= {NEED}{fewer}, xxhash64({sum(1 << i for i in t)}, {', '.join(f'sims[{i}]' for i in t)}), null)"
+            key = f"if({count(t)} >= {NEED}{fewer}, xxhash64({sum(1 << i for i in t)}, {', '.join(f's{i}' for i in t)}), null)"
             (one if k == 1 else more).append(key)
     under = lambda rows, keys: rows.select("id", F.explode_outer(F.expr(f"array({', '.join(keys)})")).alias("block")).where("block is not null")
-    return under(sims, one).unionByName(under(sims.where(" or ".join(f"sizes[{i}] < {NEED}" for i in range(PARTS))), more))
+    small = sims.where(" or ".join(f"n{i} < {NEED}" for i in range(PARTS)))
+    return reduce(DataFrame.unionByName, [under(sims, one), *[under(small, more[i : i + 14]) for i in range(0, len(more), 14)]])  # in parts that compile
 
 
 def short_blocks(lines: DataFrame, short: int = SHORT) -> DataFrame:
@@ -153,7 +154,7 @@ def line_groups(lines: DataFrame, by: list[str] | None = None, some: Callable[[D
     met = written(sized_join(dealt, crowded, "block", "inner", 24, 24))
     member = written(met.select("id").distinct())
     named = written(some(member).withColumn("size", F.char_length("norm")))
-    there = sized_join(sims.select("id", "sims"), member, "id", "left_semi", 16, 24).join(named.select("id", "size"), "id")
+    there = sized_join(sims.select("id", F.array(*[f"s{p}" for p in range(PARTS)]).alias("sims")), member, "id", "left_semi", 16, 24).join(named.select("id", "size"), "id")
     shared = written(met.join(there, "id"))
     discard(sims, short, crowded, met, member)
     labels, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("id"))
