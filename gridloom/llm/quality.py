@@ -15,6 +15,8 @@ STRIDE = 4  # a filter sees two strides
 DIM, FILTERS = 8, 24
 #: Training sees the whole texts of at most so many labelled documents, and of at most so many bytes together.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 24_000_000
+#: Chunks that are worked on at once.
+ROWS = 512
 #: Passes over the sample, and steps at least, so that a small sample is learned as well.
 EPOCHS, STEPS, BATCH, RATE = 10, 800, 32, 0.004
 
@@ -75,7 +77,8 @@ class ByteConvNet:
 
     def _gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        top, at = self.pooled(x, places=True)
+        blocks = range(0, len(x), ROWS)  # long texts have many chunks
+        top, at = (np.concatenate(p) for p in zip(*[self.pooled(x[k : k + ROWS], places=True) for k in blocks]))
         feats = self.combine(top, starts)
         prob = 1 / (1 + np.exp(-np.clip(feats @ p["out"] + p["out_bias"], -30, 30)))
         d = ((prob - y) / len(y)).astype(np.float32)
@@ -87,12 +90,15 @@ class ByteConvNet:
         ties = np.add.reduceat(is_max, starts, dtype=top.dtype)[doc]  # chunks overlap, so two may have the same maximum
         d_top += np.where(is_max, d_feats[doc, :FILTERS] / ties, 0)
         d_top *= top > 0
-        window = x[np.arange(len(x))[:, None, None], (at * STRIDE)[:, :, None] + np.arange(2 * STRIDE)]  # rows, filters, bytes
-        seen = p["embed"][window].reshape(len(x), FILTERS, -1)
-        d_seen = (d_top[:, :, None] * p["filters"].T).reshape(-1, DIM)
-        bytes_at = window.reshape(-1)
-        d_embed = np.stack([np.bincount(bytes_at, d_seen[:, j], 256) for j in range(DIM)], axis=1)
-        return {"embed": d_embed, "filters": np.einsum("nf,nfk->kf", d_top, seen), "bias": d_top.sum(0), "out": feats.T @ d, "out_bias": d.sum(keepdims=True)}
+        out = {"embed": 0, "filters": 0, "bias": d_top.sum(0), "out": feats.T @ d, "out_bias": d.sum(keepdims=True)}
+        for k in blocks:
+            part, its = x[k : k + ROWS], d_top[k : k + ROWS]
+            window = part[np.arange(len(part))[:, None, None], (at[k : k + ROWS] * STRIDE)[:, :, None] + np.arange(2 * STRIDE)]  # rows, filters, bytes
+            d_seen = (its[:, :, None] * p["filters"].T).reshape(-1, DIM)
+            bytes_at = window.reshape(-1)
+            out["embed"] = out["embed"] + np.stack([np.bincount(bytes_at, d_seen[:, j], 256) for j in range(DIM)], axis=1)
+            out["filters"] = out["filters"] + np.einsum("nf,nfk->kf", its, p["embed"][window].reshape(len(part), FILTERS, -1))
+        return out
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> "ByteConvNet":
         draw = np.random.default_rng(seed)
