@@ -86,9 +86,9 @@ def sampled_rows(docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def _neighbourhoods(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
-    """wanted (rank, doc_id, mark, low, high, lone) with the bytes of these strings' union."""
-    by_doc = written(wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("rank", "low", "high", "lone")).alias("its")))
-    names_ = ("rank", "low", "high", "lone")
+    """wanted (rank, doc_id, mark, low, high, lone, wide) with the bytes of these strings' union."""
+    by_doc = written(wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("rank", "low", "high", "lone", "wide")).alias("its")))
+    names_ = ("rank", "low", "high", "lone", "wide")
     there = docs.join(by_doc.hint("shuffle_merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", *[F.col(f"its.{c}").alias(c) for c in names_])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,14 +96,14 @@ def _neighbourhoods(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataF
             out = []
             for key, mark, t, *its in zip(batch["doc_id"], batch["mark"], batch["text"], *[batch[c] for c in names_]):
                 raw = t.encode("utf-8", "surrogatepass")
-                for rank, low, high, lone in zip(*its):
-                    out.append((rank, key, mark, low, lone, raw[low : high + threshold]))
+                for rank, low, high, lone, wide in zip(*its):
+                    out.append((rank, key, mark, low, lone, wide, raw[low : high + threshold]))
                     if len(out) == 2000:
-                        yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "data"])
+                        yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "wide", "data"])
                         out = []
-            yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "data"])
+            yield pd.DataFrame(out, columns=["rank", "doc_id", "mark", "low", "lone", "wide", "data"])
 
-    return there.mapInPandas(run, "rank long, doc_id long, mark long, low int, lone boolean, data binary")
+    return there.mapInPandas(run, "rank long, doc_id long, mark long, low int, lone boolean, wide boolean, data binary")
 
 
 def _starts(data: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +149,8 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = live.join(one, ["rank", "around", "doc_id", "mark"]).groupBy("rank", "around", "doc_id", "mark", "n", "kinds").agg(F.min(F.struct("low", "high")).alias("at"))
     wanted = written(wanted.select("rank", "doc_id", "mark", "at.low", "at.high", (F.col("n") == 1).alias("lone"), (F.col("kinds") > WIDE).alias("wide")))
 
-    found = _neighbourhoods(docs, wanted.where("not wide"), threshold).repartition(2 * partitions(docs.sparkSession), "rank").sortWithinPartitions("rank")
+    there = written(_neighbourhoods(docs, wanted, threshold))  # once, for both ways to resolve them
+    found = there.where("not wide").repartition(2 * partitions(docs.sparkSession), "rank").sortWithinPartitions("rank")
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -166,9 +167,9 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     parts = [equal, found.select("rank", "doc_id", "mark", "low", "lone", "data").mapInPandas(resolve, "doc_id long, mark long, low int, high int")]
     if not wanted.where("wide").isEmpty():
-        parts.append(_wide(_neighbourhoods(docs, wanted.where("wide"), threshold), threshold))
+        parts.append(_wide(there.where("wide"), threshold))
     out = written(parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    discard(live, whole, several, wanted)
+    discard(live, whole, several, wanted, there)
     return out
 
 
