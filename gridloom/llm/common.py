@@ -16,14 +16,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two columns, doc_id and text; a null text counts as empty, other columns go. Python workers get texts in smaller
-    batches than the default, as some are long."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Two columns, doc_id and text; a null text counts as empty, other columns go."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def mapped(df: DataFrame, run, schema: str, whole: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """df.mapInPandas(run, schema), with the columns named in whole as strings while they are in pandas, which makes floats of whole numbers
+    beside nulls and rounds those beyond 2^53. schema has the other columns; those in whole come before them as they were in df."""
+    sent = df.withColumns({c: F.col(c).cast("string") for c in whole})
+    made = sent.mapInPandas(run, ", ".join([*[f"`{c}` string" for c in whole], *([schema] if schema else [])]))
+    return made.withColumns({c: F.col(c).cast(df.schema[c].dataType) for c in whole})
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; one of our own where it is unset and driver and executors are one
     process. On a cluster an unset folder is an error: executors would write to their own disks."""
@@ -36,12 +40,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, schema=None) -> DataFrame:
+def written(df: DataFrame, schema=None, codec: str = "snappy") -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: the lineage is cut and lost
     executors cost nothing but a reread."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _written.append((spark, path))
     out = spark.read.schema(schema or df.schema).parquet(path)
     out._gridloom_path = path
@@ -71,6 +75,18 @@ def _cleanup() -> None:
             return
 
 
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "left", hot: int = 1000) -> DataFrame:
+    """many joined with one, which has a row for each value of on at most. Values with more than one in hot of many's rows are fewer than
+    hot, so their rows of one are broadcast, and the others of many are shuffled without a large group. many should be a written table."""
+    counts = written(many.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 64"))
+    n = many.count()
+    crowded = counts.where(F.col("_n") > max(64, n // hot)).select(*on).limit(hot)  # no more can be
+    named = written(one.join(F.broadcast(crowded), on, "left_semi"))
+    rest = many.join(F.broadcast(crowded), on, "left_anti").join(one.hint("shuffle_merge"), on, how)
+    found = many.join(F.broadcast(crowded), on, "left_semi").join(F.broadcast(named), on, how)
+    return rest.unionByName(found)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, texts, written
+from .common import discard, documents, mapped, texts, written
 
 WIDTH = 64
 TILE_ROWS = 256
@@ -181,14 +181,14 @@ def media_tiles(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
                 except ValueError as e:
                     out.append((key, None, None, None, None, str(e)))
             made = pd.DataFrame(out, columns=["doc_id", "height", "width", "dhash", "tiles", "error"]).astype({"height": "Int64", "width": "Int64"})
-            made["doc_id"] = batch["doc_id"].to_numpy()
             yield pd.concat([made, batch[[f"also{i}" for i in range(len(also))]].reset_index(drop=True)], axis=1)
 
     kind = lambda c: df.schema[c].dataType.simpleString()
-    kept = "".join(f", also{i} {kind(c)}" for i, c in enumerate(also))
+    numbers = [i for i, c in enumerate(also) if kind(c) in ("bigint", "int", "smallint", "tinyint")]
+    kept = "".join(f", also{i} {kind(c)}" for i, c in enumerate(also) if i not in numbers)
     rows_in = df.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"), *[F.col(c).alias(f"also{i}") for i, c in enumerate(also)])
-    made = rows_in.mapInPandas(run, f"doc_id {kind(id_col)}, height long, width long, dhash string, tiles array<binary>, error string{kept}")
-    return made.withColumnsRenamed({f"also{i}": c for i, c in enumerate(also)})
+    made = mapped(rows_in, run, f"height long, width long, dhash string, tiles array<binary>, error string{kept}", ("doc_id", *[f"also{i}" for i in numbers]))
+    return made.select("doc_id", "height", "width", "dhash", "tiles", "error", *[F.col(f"also{i}").alias(c) for i, c in enumerate(also)])
 
 
 def store_texts(df: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -199,29 +199,42 @@ def store_texts(df: DataFrame, width: int = WIDTH) -> DataFrame:
             found = [payload(t, width) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for _, n in found], "media": [encode_pgm(np.frombuffer(p, np.uint8).reshape(-1, width)) for p, _ in found]})
 
-    return texts(df).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return mapped(texts(df), run, "n_bytes long, media binary")
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles int, tiles_sha256 string"
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles int, tiles_sha256 string"
+
+
+def store_tiles(stored: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
+    """The table of NPY tiles and difference hashes of a table of doc_id, n_bytes and media: doc_id, n_bytes, media_bytes,
+    media_sha256, dhash, tiles, error. Malformed media keep their row, without tiles."""
+    named = stored.select("*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    made = media_tiles(named, rows=rows, also=["n_bytes", "media_bytes", "media_sha256"])
+    return written(made.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "dhash", "tiles", "error"), codec="zstd")
 
 
 def digests(read: DataFrame) -> DataFrame:
-    """What media and the tiles made of it hold, for rows of doc_id, n_bytes, media, dhash and tiles."""
+    """What the rows of store_tiles() hold, from their tiles; without tiles, nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
+                if r.tiles is None:
+                    out.append((r.doc_id, r.n_bytes, None, None, None, r.media_bytes, r.media_sha256, None, None, None))
+                    continue
                 tiles = [bytes(t) for t in r.tiles]
                 back = read_tiles(tiles).tobytes()
-                out.append((r.doc_id, r.n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(r.media), hashlib.sha256(r.media).hexdigest(), r.dhash, len(tiles), hashlib.sha256(b"".join(tiles)).hexdigest()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"doc_id": "Int64"})
+                out.append((r.doc_id, r.n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), r.media_bytes, r.media_sha256, r.dhash, len(tiles), hashlib.sha256(b"".join(tiles)).hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", *[c.split()[0] for c in DIGESTS.split(", ")]], dtype=object)
 
-    return read.select("doc_id", "n_bytes", "media", "dhash", "tiles").mapInPandas(run, DIGESTS)
+    return mapped(read.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "dhash", "tiles"), run, DIGESTS)
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
     """One row for each row of documents; a null text counts as empty and is stored as zeros. The stored media are a table in the
-    shared folder, and all columns come from what is read back from it."""
-    stored = written(store_texts(documents(spark, sf_dir)))
-    return digests(media_tiles(stored, also=["n_bytes", "media"]))
+    shared folder, their NPY tiles and difference hashes another; all columns come from what is read back from it."""
+    stored = written(store_texts(documents(spark, sf_dir)), codec="zstd")
+    tiles = store_tiles(stored)
+    discard(stored)
+    return digests(tiles)

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import documents, texts, written
+from .common import documents, mapped, texts, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         out.append((key, i, at // 4, len(own) // 4, zlib.crc32(own)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    made = texts(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    made = mapped(texts(docs), run, "piece int, start long, length long, ids_crc32 long")
     return made.withColumn("task", F.spark_partition_id())
 
 
@@ -248,8 +248,7 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             batch["sequence_id"], batch["offset"] = sequence[at] + number - first[at], offset[at]
             yield batch
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number"), run, "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import documents, texts
+from .common import documents, mapped, texts
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -207,7 +207,7 @@ def encode_pieces(df: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": codec(model_file).encode(batch["text"].tolist(), end=True)})
 
-    return texts(df).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return mapped(texts(df), run, "ids array<int>")
 
 
 def decode_pieces(df: DataFrame, model_file: str) -> DataFrame:
@@ -217,7 +217,7 @@ def decode_pieces(df: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [None if x is None else codec(model_file).decode(list(x)) for x in batch["ids"]]})
 
-    return df.select("doc_id", "ids").mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text string")
+    return mapped(df.select("doc_id", "ids"), run, "text string")
 
 
 def piece_digests(df: DataFrame, model_file: str) -> DataFrame:
@@ -236,7 +236,7 @@ def piece_digests(df: DataFrame, model_file: str) -> DataFrame:
                     text_sha.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
-    return texts(df).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(texts(df), run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import documents, texts
+from .common import documents, mapped, texts
 
 CHUNK, OVERLAP = 512, 64
 STRIDE = 4  # a filter sees two strides
@@ -146,9 +146,9 @@ def quality_scores(docs: DataFrame, model: ByteConvNet | float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             score = model.scores(batch["text"].tolist()) if isinstance(model, ByteConvNet) else np.full(len(batch), model)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
-    return texts(docs).withColumn("held_out", held_out()).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(texts(docs).withColumn("held_out", held_out()), run, "held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: ByteConvNet | float) -> DataFrame:

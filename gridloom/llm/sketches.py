@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, partitions, texts
+from .common import documents, mapped, partitions, texts
 
 K = 128
 WIDTH = 9  # code points in a shingle
@@ -106,18 +106,16 @@ def fingerprints(df: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
             made = [sketch(t, k, width) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": [pack(x) for x in made], "shingles": [distinct(x, k) for x in made]})
 
-    return texts(df).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fingerprint string, shingles double")
+    return mapped(texts(df), run, "fingerprint string, shingles double")
 
 
 def merged_fingerprints(df: DataFrame, by: str, k: int = K) -> DataFrame:
     """One fingerprint for each value of by (nulls are a group): every task merges what it reads, so that a group
     of any size reaches the last merge as one sketch a task."""
-    kind = df.schema[by].dataType.simpleString()
-
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for batch in batches:
-            for key, text in zip(batch["key"].astype(object).where(batch["key"].notna(), None), batch["fingerprint"]):
+            for key, text in zip(batch["key"], batch["fingerprint"]):
                 new = unpack(text)
                 held[key] = merge(held[key], new, k) if key in held else new
             if len(held) > 20_000:
@@ -125,7 +123,7 @@ def merged_fingerprints(df: DataFrame, by: str, k: int = K) -> DataFrame:
                 held = {}
         yield pd.DataFrame({"key": list(held), "fingerprint": [pack(x) for x in held.values()]}, dtype=object)
 
-    parts = df.select(F.col(by).alias("key"), "fingerprint").where("fingerprint is not null").mapInPandas(partial, f"key {kind}, fingerprint string")
+    parts = mapped(df.select(F.col(by).alias("key"), "fingerprint").where("fingerprint is not null"), partial, "fingerprint string", ("key",)).withColumn("key", F.col("key").cast("string"))
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(0, np.uint64)
@@ -133,10 +131,11 @@ def merged_fingerprints(df: DataFrame, by: str, k: int = K) -> DataFrame:
             out = merge(out, unpack(text), k)
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "fingerprint": [pack(out)], "shingles": [distinct(out, k)]})
 
-    return parts.groupBy("key").applyInPandas(last, f"key {kind}, fingerprint string, shingles double").withColumnRenamed("key", by)
+    done = parts.groupBy("key").applyInPandas(last, "key string, fingerprint string, shingles double")
+    return done.select(F.col("key").cast(df.schema[by].dataType).alias(by), "fingerprint", "shingles")
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _LOW = -(1 << 63)
 
 
@@ -172,7 +171,7 @@ def edited_pairs(df: DataFrame, k: int = K, width: int = WIDTH, buckets: int | N
         held = None
         for batch in batches:
             out = []
-            for key, text, after, b in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], batch["after"], batch["bucket"]):
+            for key, text, after, b in zip(batch["doc_id"], batch["text"], batch["after"], batch["bucket"]):
                 here = sketch(text, k, width)
                 if held is not None and held[3] == b and not held[4]:
                     m = len(held[1]) // 4
@@ -180,9 +179,9 @@ def edited_pairs(df: DataFrame, k: int = K, width: int = WIDTH, buckets: int | N
                     changed = sketch(edited, k, width)
                     out.append((held[0], len(held[1]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), pack(held[2]), pack(changed), resemblance(held[2], changed, k), resemblance(held[2], here, k)))
                 held = (key, text, here, b, after)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", *[c.split()[0] for c in EDITED.split(", ")]])
 
-    return dealt.select("doc_id", "text", "after", "bucket").mapInPandas(run, EDITED)
+    return mapped(dealt.select("doc_id", "text", "after", "bucket"), run, EDITED)
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:

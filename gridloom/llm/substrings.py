@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, documents, partitions, small, texts, written
+from .common import discard, documents, mapped, partitions, small, texts, written
 
 THRESHOLD, ANCHOR = 200, 32
 #: Ranks with more different neighbourhoods than this are resolved position by position in Spark, not within one task.
@@ -216,15 +216,16 @@ def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, unknown, t, cut in zip(batch["doc_id"], batch["unknown"], batch["text"], batch["spans"]):
+            for key, t, cut in zip(batch["doc_id"], batch["text"], batch["spans"]):
                 raw = t.encode("utf-8", "surrogatepass")
                 cut = [min(int(x), len(raw)) for x in cut] if cut is not None else []
                 edges = [0, *cut, len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((None if unknown else key, len(raw), kept, len(raw) - len(kept), len(cut) // 2))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"]).astype({"doc_id": "Int64"})
+                out.append((key, len(raw), kept, len(raw) - len(kept), len(cut) // 2))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"])
 
-    return both.mapInPandas(run, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
+    named = both.select(F.when(~F.col("unknown"), F.col("doc_id")).alias("doc_id"), "text", "spans")
+    return mapped(named, run, "n_bytes long, kept binary, n_removed long, n_spans long")
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:
