@@ -1,8 +1,8 @@
 """Line dedup, fuzzy: SimHash of normalised lines, pigeonhole blocks, edit similarity, one kept of each group.
 
-A line's features are dealt to PARTS parts by their hashes, and each part has its own SimHash, a block of the whole one. A changed
-word is a feature gone and a feature more, so it touches two blocks at most and leaves all others as they were, however long the
-line is: that is the pigeonhole. DataFrame functions only."""
+A line's features are dealt to PARTS parts by a hash of their first two letters, and each part has its own SimHash, a block of the whole
+one. A changed word is a feature gone and a feature more, so it touches two blocks at most, or one where the change comes after its first
+letters, and leaves all others as they were, however long the line is: that is the pigeonhole. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -30,25 +30,34 @@ DISTANCE = 75
 SHORT = 14
 #: Rounds of comparing the lines of each block of more than CROWD with one of them, before pairs.
 ROUNDS, CROWD = 2, 8
+#: Of longer lines, so many words at a time are compared to see whether the edit similarity can be told from sums.
+CHUNK = 24
+#: White space that is cut from the ends of lines: Unicode's.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 _LOW = -(1 << 63)
 
 
 def normal(line: Column) -> Column:
-    """Lower case, without white space at the ends."""
-    return F.lower(F.trim(line))
+    """Lower case, without white space of any kind at the ends."""
+    return F.lower(F.btrim(line, F.lit(SPACES)))
+
+
+def row_key() -> list[Column]:
+    """gid (doc_id, null as the lowest) and mark (a hash of the text): rows that share an id, or have none, are told apart by their texts."""
+    return [F.coalesce(F.col("doc_id"), F.lit(_LOW)).alias("gid"), F.xxhash64("text").alias("mark")]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """gid (doc_id, null as the lowest), line_no, norm and its keys k1, k2 (96 bits, by which lines count as equal), of each line with a
-    letter or digit."""
-    gid = F.coalesce(F.col("doc_id"), F.lit(_LOW)).alias("gid")
-    rows = docs.select(gid, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("gid", "line_no", normal(F.col("line")).alias("norm"))
+    """gid and mark of a row, line_no, norm and its keys k1, k2 (96 bits, by which lines count as equal), of each line with a letter or digit."""
+    rows = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("gid", "mark", "line_no", normal(F.col("line")).alias("norm"))
     return rows.where(F.col("norm").rlike(r"[\p{L}\p{N}]")).withColumns({"k1": F.xxhash64("norm"), "k2": F.hash("norm")})
 
 
 def place() -> Column:
-    """(gid, line_no) as one ordered number."""
-    return F.col("gid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+    """(gid, 31 bits of mark, line_no) as one ordered number."""
+    of = lambda c, bits: F.col(c).cast(f"decimal({bits},0)")
+    mark = F.shiftrightunsigned("mark", 33).cast("decimal(10,0)")
+    return of("gid", 19) * F.lit(1 << 62).cast("decimal(19,0)") + mark * F.lit(1 << 31).cast("decimal(10,0)") + of("line_no", 10)
 
 
 def simhashes(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -57,9 +66,10 @@ def simhashes(lines: DataFrame, by: list[str]) -> DataFrame:
     it may be dealt already, so that its features stay in its task."""
     few = f"if(char_length(norm) < {GRAM}, array(norm), array_distinct(regexp_extract_all(norm, '(?s)(?=(.{{{GRAM}}}))', 1)))"
     rows = lines.selectExpr(*by, "norm", "array_distinct(split(norm, ' ')) as words")
-    rows = rows.selectExpr(*by, f"explode_outer(if(size(words) >= {FEW}, words, {few})) as w").select(*by, F.xxhash64("w").alias("h"))
+    rows = rows.selectExpr(*by, f"explode_outer(if(size(words) >= {FEW}, words, {few})) as w")
+    rows = rows.select(*by, F.xxhash64("w").alias("h"), F.pmod(F.xxhash64(F.left("w", F.lit(2))), F.lit(PARTS)).cast("int").alias("part"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(FIELDS))).alias(f"s{i}") for i in range(SUMS)]
-    parts = rows.groupBy(*by, F.expr(f"cast(pmod(h, {PARTS}) as int)").alias("part")).agg(F.count("*").cast("int").alias("n"), *sums)
+    parts = rows.groupBy(*by, "part").agg(F.count("*").cast("int").alias("n"), *sums)
     # a field and 16383 less half the features reach its highest bit where the field is more than half
     most = lambda i: f"shiftleft(shiftrightunsigned(s{i} + greatest(16383 - n div 2, 0) * {FIELDS}L, 14) & {FIELDS}L, {i})"
     parts = parts.selectExpr(*by, "part", "n", f"{' | '.join(most(i) for i in range(SUMS))} as sim")
@@ -100,23 +110,30 @@ def short_blocks(lines: DataFrame, short: int = SHORT) -> DataFrame:
     return rows.select("id", F.xxhash64("s").alias("block"))
 
 
+def _let(value: str, name: str, then: str) -> str:
+    """SQL: then, a condition, with name for value, which is computed once."""
+    return f"exists(array({value}), {name} -> {then})"
+
+
 def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The rows whose lines a and b have an edit similarity of at least SIMILARITY percent of the longer one. Words that both begin or end
-    with don't change the distance and are left out; most linked lines differ little, so narrow bands of the distance table are tried first."""
+    with don't change the distance and are left out; most linked lines differ little, so a narrow band of the distance table is tried first. Of long
+    lines the distances of CHUNK words each are summed then: the whole distance is no more, and only where that doesn't settle it is it computed."""
     most = f"cast(floor(greatest(char_length({a}), char_length({b})) * {100 - SIMILARITY} / 100) as int)"
     rows = pairs.select("*", F.expr(most).alias("most_edits")).where(f"abs(char_length({a}) - char_length({b})) <= most_edits")
-    rows = rows.selectExpr("*", f"split({a}, ' ') as left_words", f"split({b}, ' ') as right_words")
-    same = lambda x, y: f"array_position(zip_with({x}, {y}, (u, v) -> u <=> v), false) - 1"
-    rest = lambda x, n: f"slice({x}, cast({n} + 1 as int), cast(greatest(size({x}) - {n}, 0) as int))"
+    rest = lambda x, n: f"slice({x}, {n} + 1, greatest(size({x}) - {n}, 0))"
+    closed = lambda x: f"array_join({x}, ' ') || if(size({x}) > 0, ' ', '')"
+    near = lambda k: f"levenshtein(r.u, r.v, least({k}, most_edits)) >= 0"
+    longer = "greatest(char_length(r.u), char_length(r.v))"
+    part = lambda x: closed(f"slice({x}, i * {CHUNK} + 1, {CHUNK})")
+    chunks = f"aggregate(sequence(0, greatest(size(w.u), size(w.v)) div {CHUNK}), 0, (sum, i) -> sum + levenshtein({part('w.u')}, {part('w.v')}))"
+    alike = f"case when {longer} <= most_edits then true when {near(24)} then true when most_edits <= 24 then false when most_edits <= 192 then {near('most_edits')} when {chunks} <= most_edits then true else {near('most_edits')} end"
+    alike = _let(f"struct({closed('w.u')} as u, {closed('w.v')} as v)", "r", alike)
     for _ in range(2):  # from the front, then from the back
-        rows = rows.withColumn("same_words", F.expr(f"if(left_words = right_words, size(left_words), {same('left_words', 'right_words')})"))
-        rows = rows.withColumns({c: F.reverse(F.expr(rest(c, "same_words"))) for c in ("left_words", "right_words")})
-    closed = lambda c: F.concat(F.array_join(c, " "), F.when(F.size(c) > 0, " ").otherwise(""))
-    rows = rows.withColumns({"left_rest": closed("left_words"), "right_rest": closed("right_words")})
-    longer = "greatest(char_length(left_rest), char_length(right_rest))"
-    near = lambda k: f"levenshtein(left_rest, right_rest, least({k}, most_edits)) >= 0"
-    alike = f"case when {longer} <= most_edits then true when {near(24)} then true when most_edits <= 24 then false when {near(192)} then true when most_edits <= 192 then false else {near('most_edits')} end"
-    return rows.where(alike).select(*pairs.columns)
+        cut = f"struct(reverse({rest('w.u', 'n')}) as u, reverse({rest('w.v', 'n')}) as v)"
+        same = "if(w.u = w.v, size(w.u), cast(array_position(zip_with(w.u, w.v, (u, v) -> u <=> v), false) - 1 as int))"
+        alike = _let(same, "n", _let(cut, "w", alike))
+    return rows.where(_let(f"struct(split({a}, ' ') as u, split({b}, ' ') as v)", "w", alike)).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -148,17 +165,17 @@ def line_groups(lines: DataFrame, by: list[str] | None = None, some: Callable[[D
     some = some or (lambda ids: sized_join(lines.select("id", "norm"), ids, "id", "left_semi", 16))
     sims = written(simhashes(lines, by or ["id"]))
     dealt = blocks(sims)
-    if not (short := written(short_blocks(lines))).isEmpty():
-        dealt = dealt.unionByName(short)
+    dealt = written(dealt.unionByName(short_blocks(lines)))
     crowded = written(dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
     met = written(sized_join(dealt, crowded, "block", "inner", 24, 24))
     member = written(met.select("id").distinct())
     named = written(some(member).withColumn("size", F.char_length("norm")))
     there = sized_join(sims.select("id", F.array(*[f"s{p}" for p in range(PARTS)]).alias("sims")), member, "id", "left_semi", 16, 24).join(named.select("id", "size"), "id")
     shared = written(met.join(there, "id"))
-    discard(sims, short, crowded, met, member)
+    discard(sims, dealt, crowded, met, member)
     labels, known = None, shared.where(f"n > {CROWD}").withColumn("component", F.col("id"))
     apart = " + ".join(f"bit_count(x.sims[{p}] ^ y.sims[{p}])" for p in range(PARTS))
+    same = " + ".join(f"if(x.sims[{p}] = y.sims[{p}], 1, 0)" for p in range(PARTS))
     close = f"abs(x.size - y.size) * 100 <= greatest(x.size, y.size) * {100 - SIMILARITY} and (greatest(x.size, y.size) <= {SHORT} or {apart} <= {DISTANCE})"
     for r in range(ROUNDS + 1):
         pivot = F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("order"), "id", "sims", "size", "component")).alias("y")
@@ -184,29 +201,30 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, with only the first line of each group of linked or equal lines left in text, by
     (doc_id, line), and n_removed, the number of lines removed.
 
-    Lines without a letter or digit stay. Null texts stay null, null ids come first; rows that share a doc_id
-    count as one document. A document may end up empty; its row stays. A column n_removed of docs gives way; all others are
+    Lines without a letter or digit stay. Null texts stay null, null ids come first; rows that share a doc_id, or have none, go by a hash
+    of their texts, and of rows alike in both each keeps what one keeps. A document may end up empty; its row stays. A column n_removed of docs gives way; all others are
     passed through, whatever their names."""
     rows = line_rows(docs)
     placed = rows.select("k1", "k2", place().alias("place"), "norm")
-    lines = written(placed.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    lines = placed.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    lines = written(lines.select("*", F.monotonically_increasing_id().alias("id"), F.xxhash64("place").alias("spot")))
     # texts meet their line's number at its first place; all others of a line said often meet nothing, each in some other task
-    key = ["k1", "k2", "place"]
-    first = lambda some: sized_join(placed, some, key, "inner", 56).select("id", "norm")
+    placed, key = placed.select("k1", "k2", F.xxhash64("place").alias("spot"), "norm"), ["k1", "k2", "spot"]
+    first = lambda some: sized_join(placed, some, key, "inner", 56).select("id", "norm").dropDuplicates(["id"])
     numbers = lines.select(*key, "id")
     groups = line_groups(placed.join(numbers.hint("shuffle_merge"), key), [*key, "id"], lambda ids: first(written(numbers.join(ids, "id"))))
     member = written(lines.select("id", "place").join(groups.withColumnRenamed("node", "id"), "id"))
     member = member.join(member.groupBy("component").agg(F.min("place").alias("kept")), "component").select("id", "kept")
     known = sized_join(lines.select("id", "k1", "k2", "place", "n"), written(member), "id", "left", 40)
     gone = written(known.where("n > 1 or place <> kept").select("k1", "k2", F.coalesce("kept", "place").alias("kept")))
-    hits = sized_join(rows.select("gid", "line_no", "k1", "k2"), gone, ["k1", "k2"], "inner", 40, 24)
-    cut = written(hits.where(place() != F.col("kept")).groupBy("gid").agg(F.collect_set("line_no").alias("cut")))
+    hits = sized_join(rows.select("gid", "mark", "line_no", "k1", "k2"), gone, ["k1", "k2"], "inner", 40, 24)
+    cut = written(hits.where(place() != F.col("kept")).groupBy("gid", "mark").agg(F.collect_set("line_no").alias("cut")))
     discard(lines, groups, gone)
     names = [c for c in docs.columns if c != "n_removed"]
-    left = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LOW)).alias("gid"), F.struct(*names).alias("row"))
+    left = docs.select(*row_key(), F.struct(*names).alias("row"))
     size = cut.agg(F.coalesce(F.sum(F.size("cut")), F.lit(0)).alias("n")).first()["n"]
-    fits = size * 4 < 24_000_000 and small(cut, 48, 24)
-    out = left.join(F.broadcast(cut) if fits else cut.hint("shuffle_merge"), "gid", "left").withColumn("parts", F.split("row.text", "\n"))
+    fits = size * 4 < 24_000_000 and small(cut, 56, 24)
+    out = left.join(F.broadcast(cut) if fits else cut.hint("shuffle_merge"), ["gid", "mark"], "left").withColumn("parts", F.split("row.text", "\n"))
     kept = F.expr(r"array_join(transform(array_except(sequence(0, size(parts) - 1), cut), i -> parts[i]), '\n')")
     text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(kept)
     return out.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).alias("n_removed"))

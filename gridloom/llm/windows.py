@@ -214,18 +214,22 @@ def window_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     pieces of that length), ids (16 bits each, or 32 where the vocabulary needs them), task. Null and empty texts are the end id alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(capacity + 1, np.int64)
+        seen = [0] * (capacity + 1)
         known = encoder(path)
         kind = id_kind(known.tokenizer.get_vocab_size())
+        width, end = np.dtype(kind).itemsize, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, len(batch), 256):
-                part, out = batch.iloc[lo : lo + 256], []
-                for key, raw in zip(part["doc_id"], known.encode(part["text"].tolist())):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(kind)
-                    for at in range(0, len(ids), capacity):
-                        own = ids[at : at + capacity]
-                        out.append((key, len(ids), at, len(own), seen[len(own)], own.tobytes()))
-                        seen[len(own)] += 1
+                part, out, first = batch.iloc[lo : lo + 256], [], 0
+                found = known.encode(part["text"].tolist())
+                ids = memoryview(np.frombuffer(end.join([*found, b""]), "<u4").astype(kind).tobytes())
+                for key, raw in zip(part["doc_id"], found):
+                    n = len(raw) // 4 + 1
+                    for at in range(0, n, capacity):
+                        size = min(capacity, n - at)
+                        out.append((key, n, at, size, seen[size], bytes(ids[(first + at) * width : (first + at + size) * width])))
+                        seen[size] += 1
+                    first += n
                 yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "start", "length", "own", "ids"])
 
     made = mapped(texts(docs), run, "doc_tokens long, start long, length long, own long, ids binary")
@@ -256,11 +260,13 @@ def in_windows(found: DataFrame, kind: str, capacity: int = CAPACITY) -> DataFra
         for batch in batches:
             row, length, number = np.arange(len(batch)), batch["length"].to_numpy(), batch["number"].to_numpy()
             start = np.zeros(len(batch), np.int64)
-            raw, out = batch["ids"].tolist(), []
+            ids = memoryview(np.frombuffer(b"".join(batch["ids"].tolist()), kind).astype("<u4").tobytes())
+            first, out = np.cumsum(length) - length, []
             while len(row):  # a round for each cut of the piece that is cut most often
                 at = np.searchsorted(keys, (length[row] * (capacity + 1) + start[row]) * wide + number[row], side="right") - 1
                 size = slots[at, 4]
-                crc = [zlib.crc32(np.frombuffer(raw[i], kind)[a : a + n].astype("<u4").tobytes()) for i, a, n in zip(row.tolist(), start[row].tolist(), size.tolist())]
+                begin = 4 * (first[row] + start[row])
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * size).tolist())]
                 own = batch.iloc[row]
                 out.append(pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "start": own["start"].to_numpy() + start[row], "length": size, "ids_crc32": crc, "doc_tokens": own["doc_tokens"].to_numpy(), "sequence_id": slots[at, 5] + number[row] - slots[at, 2], "offset": slots[at, 6]}))
                 start[row] += size

@@ -186,8 +186,8 @@ def brute_blocks(text):
         words = list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2))) if len(text) > 2 else [text]
     parts = [[] for _ in range(7)]
     for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), 42)
-        parts[(h - (h >> 63 << 64)) % 7].append(h)
+        first = xxhash.xxh64_intdigest(w[:2].encode(), 42)
+        parts[(first - (first >> 63 << 64)) % 7].append(xxhash.xxh64_intdigest(w.encode(), 42))
     sims = [[2 * sum(h >> (i + 15 * f) & 1 for h in p) > len(p) for i in range(10) for f in range(4)] for p in parts]
     sizes, keys = [len(p) for p in parts], set()
     for k in (1, 2, 3):
