@@ -84,9 +84,9 @@ def canonical_sha(spark, d):
     return e.select("event_id", text.canonical_sha(user=F.col("user_id"), part=part, kind=F.col("event_type")).alias("sha"))
 
 
-@query("select doc_id, trim(regexp_replace(lower(replace(strip_accents(nfc_normalize(substr(text, 1, 300))), 'ß', 'ss')), '\\s+', ' ', 'g')) as plain from documents")
+@query("select doc_id, trim(regexp_replace(lower(replace(strip_accents(nfc_normalize(text)), 'ß', 'ss')), '\\s+', ' ', 'g')) as plain from documents")
 def read_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", unicode.read_text(F.substring("text", 1, 300)).alias("plain"))
+    return table(spark, d, "documents").select("doc_id", unicode.read_text(F.col("text")).alias("plain"))
 
 
 @query("select c_custkey, lower(' ' || c_name || '@Example.COM ').trim() as email from customer")
