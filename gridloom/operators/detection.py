@@ -4,11 +4,14 @@ Greedy rules run in rounds of Spark joins: what is best for both sides is settle
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import box_iou
-from ..sources.tables import kept
-from .graph import beaten
+from ..sources.tables import dropped, kept
+from .graph import ROUNDS, beaten, in_order, named
 from .keyed import running
 from .spatial import SUPPRESS_IOU
 
@@ -18,37 +21,66 @@ SIDES = ("x1", "y1", "x2", "y2")
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], iou: float) -> DataFrame:
-    """keys, l and r (their rows as structs) and iou of boxes of the same keys that overlap as much. Boxes are dealt to cells of the largest
-    box's side, so that large groups aren't compared pair by pair."""
-    size = F.greatest(F.max(F.col("x2") - F.col("x1")), F.max(F.col("y2") - F.col("y1"))).alias("cell")
-    cell = left.select("x1", "y1", "x2", "y2").unionByName(right.select("x1", "y1", "x2", "y2")).agg(size).first()["cell"]
-    cell = float(cell or 1) or 1.0
-    at = lambda c: F.floor(F.col(c) / cell)
-
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct(*df.columns).alias(name)
-        near = F.explode(F.sequence(at("x1"), at("x2"))).alias("cx")
-        rows = df.select(*keys, row, near, F.sequence(at("y1"), at("y2")).alias("cy"))
-        return rows.withColumn("cy", F.explode("cy"))
-
-    met = dealt(left, "l").join(dealt(right, "r"), [*keys, "cx", "cy"])
-    once = (F.floor(F.greatest("l.x1", "r.x1") / cell) == F.col("cx")) & (F.floor(F.greatest("l.y1", "r.y1") / cell) == F.col("cy"))
+    """keys, l and r (their rows as structs) and iou of boxes of the same keys that share an area and overlap as much. Each box has the level of
+    its own longer side, a power of two, and covers at most four cells of that level; the smaller of two also goes to the cells of the larger one's
+    level, so that a box as large as a page doesn't make one cell of all others. Boxes with a null or an empty area overlap nothing."""
+    size = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    solid = lambda df: df.where("x1 < x2 and y1 < y2").withColumn("_level", F.ceil(F.log2(size)).cast("int"))
+    left, right = solid(left), solid(right)
+    levels = [r[0] for r in left.select("_level").unionByName(right.select("_level")).distinct().collect()]  # powers of two of doubles, some hundred at most
+    every = F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "_at"))
+
+    def dealt(df: DataFrame, name: str, own: bool | None) -> DataFrame:
+        """The cells of a box's own level, of the coarser ones, or (None) of all."""
+        row = F.struct(*[c for c in df.columns if c != "_level"]).alias(name)
+        deep = {True: F.array("_level"), False: F.filter(every, lambda n: n > F.col("_level")), None: F.filter(every, lambda n: n >= F.col("_level"))}[own]
+        rows = df.select(*keys, row, *SIDES, F.explode(deep).alias("_at"))
+        rows = rows.select(*keys, name, "_at", F.explode(F.sequence(at("x1"), at("x2"))).alias("_cx"), F.sequence(at("y1"), at("y2")).alias("_cy"))
+        return rows.withColumn("_cy", F.explode("_cy"))
+
+    cell = [*keys, "_at", "_cx", "_cy"]
+    met = dealt(left, "l", True).join(dealt(right, "r", None), cell).unionByName(dealt(left, "l", False).join(dealt(right, "r", True), cell))
+    corner = lambda c: F.floor(F.greatest(f"l.{c}", f"r.{c}") / F.pow(F.lit(2.0), "_at"))
     found = box_iou({s: F.col(f"l.{s}") for s in SIDES}, {s: F.col(f"r.{s}") for s in SIDES})
-    return met.where(once).withColumn("iou", found).where(F.col("iou") >= iou).select(*keys, "l", "r", "iou")
+    met = met.where((corner("x1") == F.col("_cx")) & (corner("y1") == F.col("_cy"))).withColumn("iou", found)
+    return met.where((F.col("iou") >= iou) & (F.col("iou") > 0)).select(*keys, "l", "r", "iou")
+
+
+def _first_free() -> Callable:
+    """Pairs (a, b) by rank and falling worth: each a takes its first free b. Gives the pair's number."""
+    taken, served = set(), set()
+
+    def step(a: int, b: int, pair: int) -> int | None:
+        if a in served or b in taken:
+            return None
+        served.add(a)
+        taken.add(b)
+        return pair
+
+    return step
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b, rank, worth) that a greedy pass takes: a by rising rank, each the free b of most worth, the smaller b of
-    two. rank and b are unique. In each round every a that no earlier one competes with for its best b takes it."""
-    open_, taken = kept(pairs.select("a", "b", "rank", "worth")), None
-    while True:
-        best = open_.groupBy("a", "rank").agg(F.max_by(F.col("b"), F.struct("worth", -F.col("b"))).alias("b"))
+    two. rank and b are unique. In each of the first rounds every a that no earlier one competes with for its best b takes it; then components are
+    settled, large ones by more rounds. A round writes what is taken and deletes the pairs before it."""
+    rows = kept(pairs.select("a", "b", "rank", "worth").withColumn("pair", F.monotonically_increasing_id()))
+    open_, ids = named(rows.select("a", F.col("b").alias("which"), "b", "rank", "worth", "pair"), ("a", "b"))
+    taken, rounds = [], 0
+    while not open_.isEmpty():
+        if rounds == ROUNDS:
+            done, open_ = in_order(open_, ("a", "b"), ["rank", F.desc("worth"), "which"], ["a", "b", "pair"], _first_free, "pair")
+            taken.append(done)
+        rounds = (rounds + 1) % (4 * ROUNDS)
         first = open_.groupBy("b").agg(F.min("rank").alias("first"))  # the earliest that may want b
-        won = kept(best.join(first, "b").where("rank = first").select("a", "b"))
-        if won.isEmpty():
-            return won if taken is None else taken
-        taken = won if taken is None else kept(taken.unionByName(won))
-        open_ = kept(open_.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"))
+        best = open_.groupBy("a", "rank").agg(F.min(F.struct((-F.col("worth")).alias("worth"), "which", "b", "pair")).alias("best"))
+        won = kept(best.select("a", "rank", "best.b", "best.pair").join(first, "b").where("rank = first").select("a", "b", "pair"))
+        taken.append(won.select("pair"))
+        rest = kept(open_.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"))
+        dropped(open_)
+        open_ = rest
+    return rows.join(reduce(DataFrame.unionByName, taken), "pair", "left_semi").select("a", "b") if taken else rows.select("a", "b")
 
 
 def precision_at(hits: DataFrame, keys: list[str], bucket: Column, order: list[Column], hit: str, positives: str) -> DataFrame:
@@ -90,7 +122,8 @@ def suppressed(boxes: DataFrame, keys: list[str], iou: float = SUPPRESS_IOU) ->
     boxes = kept(boxes)
     pairs = overlaps(boxes, boxes, keys, iou).where("l.id <> r.id")
     place = lambda c: F.struct(F.col(f"{c}.score"), -F.col(f"{c}.x1"), -F.col(f"{c}.y1"), -F.col(f"{c}.id"))
-    worse = pairs.where(place("l") > place("r")).select(F.col("l.id").alias("better"), F.col("r.id").alias("worse"))
+    first = F.struct((-F.col("l.score")).alias("s"), F.col("l.x1").alias("x"), F.col("l.y1").alias("y"), F.col("l.id").alias("id"))
+    worse = pairs.where(place("l") > place("r")).select(F.col("l.id").alias("better"), F.col("r.id").alias("worse"), first.alias("rank"))
     return boxes.join(beaten(worse), "id", "left_anti")
 
 
