@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.tables import kept
 
@@ -22,6 +22,21 @@ def pairs_within(points: DataFrame, distance: float) -> DataFrame:
     return met.select(F.least("id", "gid").alias("a"), F.greatest("id", "gid").alias("b"), d2.alias("d2"))
 
 
+def crossed_cells(rows: DataFrame, ends: tuple[str, str, str, str], cell: float, pad: Column | float = 0.0) -> DataFrame:
+    """rows with cx, cy: one row for each cell of a grid that comes within pad of the segment in the columns ends (x1, y1, x2, y2), column by column, so
+    that a long one costs cells by its length. A segment with a null has none. Cells on a border count for both sides."""
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ends)
+    edge = (F.lit(pad) if isinstance(pad, float) else pad) + 1e-6 * cell
+    at = lambda v: F.floor(v / cell)
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    rows = rows.where(x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()).withColumn("cx", F.explode(F.sequence(at(low - edge), at(high + edge))))
+    slope = (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
+    y_at = lambda x: y1 + (F.least(F.greatest(x, low), high) - x1) * slope
+    begin, end = y_at(F.col("cx") * cell - edge), y_at((F.col("cx") + 1) * cell + edge)
+    bottom, top = F.coalesce(F.least(begin, end), F.least(y1, y2)), F.coalesce(F.greatest(begin, end), F.greatest(y1, y2))
+    return rows.withColumn("cy", F.explode(F.sequence(at(bottom - edge), at(top + edge))))
+
+
 #: Boxes of one label that overlap as much are one.
 SUPPRESS_IOU = 0.5
 
