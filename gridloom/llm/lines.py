@@ -204,11 +204,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     of their texts, and of rows alike in both each keeps what one keeps. A document may end up empty; its row stays. A column n_removed of docs gives way; all others are
     passed through, whatever their names."""
     rows = line_rows(docs)
-    placed = rows.select("k1", "k2", place().alias("place"), "norm")
-    lines = placed.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    keyed = written(rows.drop("norm"))  # what all but one of the passes over the lines need
+    lines = keyed.select("k1", "k2", place().alias("place")).groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("n"))
     lines = written(lines.select("*", F.monotonically_increasing_id().alias("id"), F.xxhash64("place").alias("spot")))
     # texts meet their line's number at its first place; all others of a line said often meet nothing, each in some other task
-    placed, key = placed.select("k1", "k2", F.xxhash64("place").alias("spot"), "norm"), ["k1", "k2", "spot"]
+    placed, key = rows.select("k1", "k2", F.xxhash64(place()).alias("spot"), "norm"), ["k1", "k2", "spot"]
     first = lambda some: sized_join(placed, some, key, "inner", 56).select("id", "norm").dropDuplicates(["id"])
     numbers = lines.select(*key, "id")
     groups = line_groups(placed.join(numbers.hint("shuffle_merge"), key), [*key, "id"], lambda ids: first(written(numbers.join(ids, "id"))))
@@ -216,9 +216,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     member = member.join(member.groupBy("component").agg(F.min("place").alias("kept")), "component").select("id", "kept")
     known = sized_join(lines.select("id", "k1", "k2", "place", "n"), written(member), "id", "left", 40)
     gone = written(known.where("n > 1 or place <> kept").select("k1", "k2", F.coalesce("kept", "place").alias("kept")))
-    hits = sized_join(rows.select("gid", "mark", "line_no", "k1", "k2"), gone, ["k1", "k2"], "inner", 40, 24)
+    hits = sized_join(keyed, gone, ["k1", "k2"], "inner", 40, 24)
     cut = written(hits.where(place() != F.col("kept")).groupBy("gid", "mark").agg(F.collect_set("line_no").alias("cut")))
-    discard(lines, groups, gone)
+    discard(lines, groups, gone, keyed)
     names = [c for c in docs.columns if c != "n_removed"]
     left = docs.select(*row_key(), F.struct(*names).alias("row"))
     size = cut.agg(F.coalesce(F.sum(F.size("cut")), F.lit(0)).alias("n")).first()["n"]
