@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .keyed import numbered, running
@@ -72,3 +74,27 @@ def share(inside: Column, either: Column) -> Column:
 def error_rate(distance: Column, length: Column) -> Column:
     """Edits over characters, 1 character at least."""
     return F.sum(distance) / F.greatest(F.sum(length), F.lit(1))
+
+
+#: Directions are told apart by tenths of a degree and come round after a right angle; a family reaches as many tenths to both sides; fixed values.
+AXIS_BINS, AXIS_HALF = 900, 40
+
+
+def axis_shares(bins: DataFrame, keys: list[str], direction: str, weight: str) -> DataFrame:
+    """keys, share: the largest part of the weight that two families of directions hold, each of AXIS_HALF bins to both sides of its middle; 1 where
+    there is no weight. bins has a row for each direction from 0 to AXIS_BINS - 1 at most (null: no direction). Two families that touch or overlap are one arc, of
+    which no bin counts twice; of two apart, the best partner of each is a maximum over the ring."""
+    wide = 2 * AXIS_HALF + 1
+    kinds = ", ".join(f"`{k}` {bins.schema[k].dataType.simpleString()}" for k in keys)
+
+    def share(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ring = np.bincount(rows["_b"], rows["_w"], AXIS_BINS)
+        upto = np.r_[0.0, np.cumsum(np.tile(ring, 3))]
+        arcs = lambda n: upto[n : n + AXIS_BINS] - upto[:AXIS_BINS]
+        one = arcs(wide)
+        apart = np.lib.stride_tricks.sliding_window_view(np.tile(one, 2), AXIS_BINS - 2 * wide + 1)[wide : wide + AXIS_BINS].max(axis=1)
+        best = max(float(arcs(2 * wide - 1).max()), float((one + apart).max()))  # a longer arc holds all shorter ones
+        return pd.DataFrame([(*key, best / ring.sum() if ring.sum() > 0 else 1.0)])
+
+    rows = bins.where(F.col(direction).isNotNull()).groupBy(*keys, F.col(direction).cast("int").alias("_b")).agg(F.sum(F.coalesce(F.col(weight), F.lit(0.0))).cast("double").alias("_w"))
+    return rows.groupBy(*keys).applyInPandas(share, f"{kinds}, share double")  # AXIS_BINS rows a group at most

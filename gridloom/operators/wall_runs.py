@@ -125,8 +125,9 @@ def merged_runs(walls: DataFrame, openings: DataFrame, keys: list[str]) -> tuple
     off, low, high = F.greatest(*[_beside("l.", *p) for p in ends]), F.least(*[_along("l.", *p) for p in ends]), F.greatest(*[_along("l.", *p) for p in ends])
     shape = both.groupBy(*keys, *run, "lead", "spot", "l").agg(F.max(off).alias("off"), (F.max("thickness") / 2).alias("limit"), F.min(low).alias("low"), F.max(high).alias("high"), F.min("confidence").alias("confidence"), F.sum("size").alias("total"))
     weights = both.groupBy(*run, "measured").agg(F.sum("size").alias("w"))
+    # lengths are sums of roots: half of them counts as half whatever their order
     upto = weights.withColumn("upto", F.sum("w").over(Window.partitionBy(*run).orderBy("measured")))  # a row for each thickness that was measured
-    median = upto.join(shape.select(*run, "total"), run).where("upto >= total / 2").groupBy(*run).agg(F.min("measured").alias("median"))
+    median = upto.join(shape.select(*run, "total"), run).where("upto >= total / 2 * (1 - 1e-9)").groupBy(*run).agg(F.min("measured").alias("median"))
     ux, uy, _ = _unit("l.")
     tip = lambda c, u, t: js_round(F.col(f"l.{c}1") + u * F.col(t)).cast("double")
     made = shape.where("off <= limit").join(median, run, "left").withColumns({"x1": tip("x", ux, "low"), "y1": tip("y", uy, "low"), "x2": tip("x", ux, "high"), "y2": tip("y", uy, "high")})

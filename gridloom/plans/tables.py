@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, values
-from ..operators import keyed, mutations
+from ..operators import keyed, mutations, stats
 from ..sources.tables import table
 from .relational import CUTOFF, NTZ, cents
 
@@ -164,16 +164,17 @@ def outer_boxes(spark, d):
 _EDGE = "select label, sqrt(power(embedding[1]::double, 2) + power(embedding[2]::double, 2)) as w, (degrees(atan2(embedding[2]::double, embedding[1]::double)) + 360) % 90 as a from embeddings"
 
 
-@query(f"with e as (select label, cast(floor(a * 10) as bigint) as b, w from ({_EDGE})), h as (select label, b, sum(w) as w from e group by all), t as (select label, sum(w) as w from h group by label), c as (select x.label, x.b, sum(y.w) as near from (select distinct label, b from h) x join h y on x.label = y.label and least((x.b - y.b + 900) % 900, (y.b - x.b + 900) % 900) <= 40 group by all) select c.label, cast(floor(max(near) / t.w * 1000 + 1e-6) as bigint) as share from c join t on t.label = c.label group by c.label, t.w")
+@query(f"""with e as (select label, cast(floor(a * 10) as bigint) as b, w from ({_EDGE})), h as (select label, b, sum(w) as w from e group by all), t as (select label, sum(w) as w from h group by label),
+ g as (select t.label, r.range as b, coalesce(h.w, 0) as w from t cross join range(1800) r left join h on h.label = t.label and h.b = r.range % 900), p as (select label, b, sum(w) over (partition by label order by b) as upto from g),
+ a as (select x.label, x.b - 80 as first, x.upto - coalesce(y.upto, 0) as near from p x left join p y on y.label = x.label and y.b = x.b - 81 where x.b between 80 and 979),
+ o as (select x.label, x.b - 80 - s.range as first, s.range as gap, x.upto - coalesce(y.upto, 0) as near from p x cross join range(81) s left join p y on y.label = x.label and y.b = x.b - 81 - s.range where x.b between 80 + s.range and 979 + s.range),
+ best as (select label, max(near) as near from o group by label union all select x.label, max(x.near + y.near) from a x join a y on x.label = y.label and (y.first - x.first + 900) % 900 between 81 and 819 group by x.label)
+ select best.label, cast(floor(max(near) / any_value(t.w) * 1000 + 1e-6) as bigint) as share from best join t using (label) group by best.label""")
 def axis_share(spark, d):
-    """The largest share of length within 4 degrees of a direction or its right angle: lengths summed in tenths of a degree first."""
+    """The largest share of length within 4 degrees of one of two directions or their right angles: lengths summed in tenths of a degree first."""
     e = table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xy")])
     e = e.select("label", F.hypot("x", "y").alias("w"), F.floor((F.degrees(F.atan2("y", "x")) + 360) % 90 * 10).alias("b"))
-    bins = e.groupBy("label", "b").agg(F.sum("w").alias("w"))
-    near = bins.select("label", "w", F.explode(F.transform(F.sequence(F.col("b") - 40, F.col("b") + 40), lambda b: F.pmod(b, F.lit(900)))).alias("b"))
-    sums = near.groupBy("label", "b").agg(F.sum("w").alias("near")).join(bins.select("label", "b"), ["label", "b"], "left_semi")
-    best, all_ = sums.groupBy("label").agg(F.max("near").alias("near")), bins.groupBy("label").agg(F.sum("w").alias("w"))
-    return best.join(all_, "label").select("label", F.floor(F.col("near") / F.col("w") * 1000 + 1e-6).alias("share"))
+    return stats.axis_shares(e.groupBy("label", "b").agg(F.sum("w").alias("w")), ["label"], "b", "w").select("label", F.floor(F.col("share") * 1000 + 1e-6).alias("share"))
 
 
 @query("with e as (select *, case event_type when 'click' then 0 else 1 end as k from events), s as (select event_type, count(*) as n, cast(round(sum(cast(round(value * 100) as bigint))) as bigint) as total from events group by event_type), r as (select event_type, n, total, dense_rank() over (order by event_type) as place from s) select case when place <= 3 then event_type else 'other' end as series, cast(sum(n) as bigint) as n, cast(sum(total) as bigint) as total, cast(sum(b10) as bigint) as b10, cast(sum(b100) as bigint) as b100, cast(sum(n) as bigint) as b_inf from r join (select event_type, count(*) filter (where value <= 10) as b10, count(*) filter (where value <= 100) as b100 from events group by event_type) b using (event_type) group by all")

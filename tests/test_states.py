@@ -71,3 +71,22 @@ def test_progress_stream(spark, tmp_path):
     assert last == {1: [(1, False), (3, False), (4, False)], 2: [(5, False), (4, True)]}
     batch = events.monotone_progress(spark.createDataFrame([b for p in beats for b in p], schema), "job").collect()
     assert {r["job"]: (r["epoch"], r["final"]) for r in batch} == {1: (4, False), 2: (4, True)}
+
+
+def test_axis_shares(spark):
+    """Pairs of direction families by their definition: every pair of middles, each bin once."""
+    import numpy as np
+
+    from gridloom.operators import stats
+
+    rng = np.random.default_rng(9)
+    rings = {"spread": rng.random(900), "two": np.zeros(900), "round": np.zeros(900), "near": np.zeros(900), "none": np.zeros(900)}
+    rings["two"][[10, 50, 455, 700]] = (3, 2, 4, 1)
+    rings["round"][[895, 5, 60, 100]] = (1, 2, 3, 1)
+    rings["near"][[100, 181, 182, 261, 262]] = (1, 1, 1, 1, 1)
+    rows = [(k, b, float(w)) for k, ring in rings.items() for b, w in enumerate(ring) if w or (k == "none" and b < 2)] + [("two", None, 5.0)]
+    got = {r["k"]: r["share"] for r in stats.axis_shares(spark.createDataFrame(rows, "k string, b long, w double"), ["k"], "b", "w").collect()}
+    for k, ring in rings.items():
+        inside = np.array([[min((i - b) % 900, (b - i) % 900) <= 40 for b in range(900)] for i in range(900)])
+        best = max(float(((inside[i] | inside) * ring).sum(axis=1).max()) for i in range(900))
+        assert abs(got[k] - (best / ring.sum() if ring.sum() else 1.0)) < 1e-9, k

@@ -82,7 +82,7 @@ def plain(rows, openings):
                 total, upto = sum(w.size for w in part), 0.0
                 for median, size in sorted((w.measured, w.size) for w in part):
                     upto += size
-                    if upto >= total / 2:
+                    if upto >= total / 2 * (1 - 1e-9):
                         break
                 new = []
                 for w in part:
