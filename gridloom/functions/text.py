@@ -28,19 +28,43 @@ def instant(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+#: Millimetres of units; significant digits that a length has at most; the largest length in mm; letters that look like digits; fixed values.
+UNITS = {"mm": 1, "cm": 10, "dm": 100, "m": 1000}
+MOST_DIGITS, MOST_MM = 15, 1_000_000
+LOOKALIKES = ("OoQDIlLi|SsBZzG", "000011111558226")
+#: Whole numbers, plain or in groups of three, and numbers with a decimal comma or point; a point before three last digits groups.
+_WHOLE = r"^([0-9]+|[1-9][0-9]{0,2}\.[0-9]{3}|[0-9]{1,3}(\.[0-9]{3}){2,}|[0-9]{1,3}(,[0-9]{3}){2,})$"
+_PARTS = r"^(?![1-9][0-9]{0,2}\.[0-9]{3}$)(?:([0-9]*|[0-9]{1,3}(?:\.[0-9]{3})+),|([0-9]*|[0-9]{1,3}(?:,[0-9]{3})+)\.)([0-9]+)$"
+
+
 def length_mm(text: Column) -> Column:
-    """Millimetres of a number with an optional unit (mm, cm, m): a comma or point before the last digits is decimal unless it
-    groups thousands; null where the text is no length."""
-    t = F.lower(F.regexp_replace(text, r"\s", ""))
-    number, unit = F.regexp_extract(t, r"^([0-9][0-9.,]*)(mm|cm|m)?$", 1), F.regexp_extract(t, r"^([0-9][0-9.,]*)(mm|cm|m)?$", 2)
-    grouped = number.rlike(r"^[1-9][0-9]{0,2}\.[0-9]{3}$")
-    plain = (
-        F.when(grouped, F.regexp_replace(number, r"\.", ""))
-        .when(number.rlike(r"^[0-9]+([.,][0-9]+)?$"), F.regexp_replace(number, ",", "."))
-        .when(number.rlike(r"^[1-9][0-9]{0,2}(,[0-9]{3})+\.[0-9]+$"), F.regexp_replace(number, ",", ""))
-        .when(number.rlike(r"^[1-9][0-9]{0,2}(\.[0-9]{3})+,[0-9]+$"), F.regexp_replace(F.regexp_replace(number, r"\.", ""), ",", "."))
-    )
-    return plain.cast("decimal(24,6)") * F.when(unit == "m", 1000).when(unit == "cm", 10).otherwise(1)
+    """Exact millimetres of a number with an optional sign and unit (mm, cm, dm, m): a comma or point before the last digits is decimal unless it
+    groups thousands; null where the text is no length, has more than MOST_DIGITS significant digits or more than 18 of a fraction."""
+    t = F.lower(F.regexp_replace(F.translate(text, "\u2212", "-"), r"(?U)\s+", ""))
+    body = F.regexp_replace(t, "^[+-]", "")
+    unit, number = F.regexp_extract(body, "[a-z]+$", 0), F.regexp_replace(body, "[a-z]+$", "")
+    factor = F.when(unit == "", 1)
+    for name, mm in UNITS.items():
+        factor = factor.when(unit == name, mm)
+    bare = lambda x: F.regexp_replace(x, "[.,]", "")
+    whole = number.rlike(_WHOLE)
+    before = F.when(whole, bare(number)).otherwise(bare(F.concat(F.regexp_extract(number, _PARTS, 1), F.regexp_extract(number, _PARTS, 2))))
+    after = F.when(whole, "").otherwise(F.regexp_extract(number, _PARTS, 3))
+    right = (whole | number.rlike(_PARTS)) & (F.char_length(F.ltrim(F.concat(before, after), F.lit("0"))) <= MOST_DIGITS) & (F.char_length(F.rtrim(after, F.lit("0"))) <= 18)
+    value = F.concat(F.when(t.startswith("-"), "-").otherwise(""), F.lpad(before, F.greatest(F.char_length(before), F.lit(1)), "0"), F.lit("."), F.substring(F.rpad(after, 18, "0"), 1, 18))
+    return (F.when(right, value).try_cast("decimal(38,18)") * factor).cast("decimal(38,18)")
+
+
+def read_length(text: Column) -> Column:
+    """What a dimension's text says, as struct<value_mm, suspicious>: whole millimetres from 1 to MOST_MM, or null; suspicious where letters that look like
+    digits, read as those, would make it a length. Letters never count as digits in the value."""
+    def known(t: Column) -> Column:
+        mm = length_mm(t)
+        return F.when((mm == F.floor(mm)) & (mm >= 1) & (mm <= MOST_MM), mm.cast("long"))
+
+    other = F.translate(text, *LOOKALIKES)
+    value = known(text)
+    return F.struct(value.alias("value_mm"), F.coalesce(value.isNull() & (other != text) & known(other).isNotNull(), F.lit(False)).alias("suspicious"))
 
 
 def parsed_instant(text: Column) -> Column:
