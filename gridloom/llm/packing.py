@@ -26,6 +26,20 @@ LAST_LATIN = "\u024f"
 ID = struct.Struct("<I").pack
 
 
+class _Known(dict):
+    """Ids of words; one that isn't there counts as a miss, is noted and has none."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.missing: set[str] = set()
+        self.misses = 0
+
+    def __missing__(self, word: str) -> bytes:
+        self.missing.add(word)
+        self.misses += 1
+        return b""
+
+
 class WordEncoder:
     """Ids by the tokenizers library, which a white space always splits, so each part between spaces is encoded once.
 
@@ -42,7 +56,7 @@ class WordEncoder:
         self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self._check()
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Known()
 
     def _check(self) -> None:
         """That this vocabulary splits and normalises as said above; ValueError where it doesn't."""
@@ -54,14 +68,23 @@ class WordEncoder:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {w: x for w, x in self.cache.items() if len(w) < 8}  # short words are the frequent ones
+            self.cache = _Known((w, x) for w, x in self.cache.items() if len(w) < 8)  # short words are the frequent ones
             if len(self.cache) > CACHE_WORDS // 2:
                 self.cache.clear()
         whole = {i for i, t in enumerate(batch) if self.added.search(t)}
         parts = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(batch)]
-        self._learn(set().union(*parts) - self.cache.keys())
-        ids = self.cache.__getitem__
-        return [b"".join(map(ID, self.tokenizer.encode(batch[i], add_special_tokens=False).ids)) if i in whole else b"".join(map(ids, words)) for i, words in enumerate(parts)]
+        cache, out, later = self.cache, [], []
+        for i, words in enumerate(parts):
+            before = cache.misses
+            out.append(b"".join(map(ID, self.tokenizer.encode(batch[i], add_special_tokens=False).ids)) if i in whole else b"".join(map(cache.__getitem__, words)))
+            if cache.misses > before:
+                later.append(i)
+        if later:
+            new, cache.missing = cache.missing, set()
+            self._learn(new)
+            for i in later:
+                out[i] = b"".join(map(cache.__getitem__, parts[i]))
+        return out
 
     def _learn(self, words: set[str]) -> None:
         """Adds words to the cache."""
