@@ -117,16 +117,17 @@ def _let(value: str, name: str, then: str) -> str:
 
 def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The rows whose lines a and b have an edit similarity of at least SIMILARITY percent of the longer one. Words that both begin or end
-    with don't change the distance and are left out. The distances of FEW words each are summed, of long lines of CHUNK words each as well: the whole
-    distance is no more, and only where that doesn't settle it is it computed."""
+    with don't change the distance and are left out. The distances of words one by one, where both have as many, then of FEW words each, and of long lines of
+    CHUNK words each are summed: the whole distance is no more, and only where that doesn't settle it is it computed."""
     most = f"cast(floor(greatest(char_length({a}), char_length({b})) * {100 - SIMILARITY} / 100) as int)"
     rows = pairs.select("*", F.expr(most).alias("most_edits")).where(f"abs(char_length({a}) - char_length({b})) <= most_edits")
     rest = lambda x, n: f"slice({x}, {n} + 1, greatest(size({x}) - {n}, 0))"
     closed = lambda x: f"array_join({x}, ' ') || if(size({x}) > 0, ' ', '')"
     longer = "greatest(char_length(r.u), char_length(r.v))"
+    by_word = "aggregate(zip_with(w.u, w.v, (u, v) -> if(u = v, 0, levenshtein(u, v))), 0, (sum, n) -> sum + n)"
     part = lambda x, n: closed(f"slice({x}, i * {n} + 1, {n})")
     chunks = lambda n: f"aggregate(sequence(0, greatest(size(w.u), size(w.v)) div {n}), 0, (sum, i) -> sum + levenshtein({part('w.u', n)}, {part('w.v', n)}))"
-    alike = f"case when {longer} <= most_edits then true when {chunks(FEW)} <= most_edits then true when most_edits > 192 and {chunks(CHUNK)} <= most_edits then true else levenshtein(r.u, r.v, most_edits) >= 0 end"
+    alike = f"case when {longer} <= most_edits then true when size(w.u) = size(w.v) and {by_word} <= most_edits then true when {chunks(FEW)} <= most_edits then true when most_edits > 192 and {chunks(CHUNK)} <= most_edits then true else levenshtein(r.u, r.v, most_edits) >= 0 end"
     alike = _let(f"struct({closed('w.u')} as u, {closed('w.v')} as v)", "r", alike)
     for _ in range(2):  # from the front, then from the back
         cut = f"struct(reverse({rest('w.u', 'n')}) as u, reverse({rest('w.v', 'n')}) as v)"
