@@ -1,7 +1,7 @@
 """Conversation prefix trie by heavy-path decomposition, in DataFrame functions but for one digest.
 
-A node is named by the exclusive or of two 64-bit hashes of each turn with its depth, so a parent's name follows from the child's, and no text moves
-after it is hashed. The child with most members is its parent's heavy one; chains of heavy children are paths. A child that isn't
+A node is named by the exclusive or of two 64-bit hashes of each turn with its depth, so a parent's name follows from the child's, and texts move
+only to find their turn's place. The child with most members is its parent's heavy one; chains of heavy children are paths. A child that isn't
 heavy has at most half of its parent's members, so after as many rounds as their count has bits each path has met all light ones below it: sums
 run up a path at once, and the path's top is then added to its parent."""
 
@@ -48,13 +48,13 @@ def hashed_turns(conversations: DataFrame) -> DataFrame:
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         role.alias("role"),
-        # texts only settle the order of rows of one turn and role, by two hashes
+        text.alias("text"),  # it settles the order of rows of one turn and role, and goes no further
         F.xxhash64(F.lit(1), role, text).alias("u1"),
         F.xxhash64(F.lit(2), role, text).alias("u2"),
         F.size(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")).cast("long").alias("words"),
     )
     segment = F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(1 << 62)))
-    order = [F.asc_nulls_first("turn"), "role", "u1", "u2"]
+    order = [F.asc_nulls_first("turn"), "role", "text"]
     return _prefix(written(rows), ["conv_id"], segment, order, {"pos": F.lit(1).cast("long")}, F.sum, -1).select("conv_id", "pos", "u1", "u2", "words")
 
 

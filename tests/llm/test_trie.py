@@ -43,7 +43,7 @@ def brute(rows):
 
 def odd_rows():
     rng = np.random.default_rng(8)
-    rows = [(1, 0, "user", None), (1, 1, "assistant", "a b"), (1, 1, "assistant", "a b"), (2, None, None, ""), (2, 0, "user", "x"), (None, 0, "user", "nobody's"), (40, 0, "user", " \t"), (45, 5, "user", "far")]
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "a b"), (1, 1, "assistant", "a b"), (2, None, None, ""), (2, 0, "user", "x"), (None, 0, "user", "nobody's"), (40, 0, "user", " \t"), (45, 5, "user", "far"), (46, 1, "user", "b"), (46, 1, "user", "é"), (46, 1, "user", "a"), (46, 1, "assistant", "z")]
     for c in range(60, 190):  # many share their first turns
         n = int(rng.integers(0, 7)) if c % 20 else 6
         rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"w{rng.integers(0, 3)} " * int(rng.integers(1, 3))) for t in range(n)]
