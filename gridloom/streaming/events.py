@@ -44,6 +44,8 @@ def published(events: DataFrame, keys: list[str], ttl_seconds: int = 3600, delay
 
         return with_state(events.select(*keys, "ts", "event_id"), keys, ["ts", "event_id"], out, "last_ms long, first_ms long, first_id long", step, ttl_seconds * 1000, delay)
     rows = events.select(*keys, "ts", "event_id").repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+    # as text in Python, where whole numbers beside nulls would become floats
+    text = rows.select(*[F.col(k).cast("string").alias(k) for k in keys], "ts", F.col("event_id").cast("string").alias("event_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, at, first = None, None, None
@@ -55,7 +57,8 @@ def published(events: DataFrame, keys: list[str], ttl_seconds: int = 3600, delay
                 firsts.append(first)
             yield batch.assign(first_id=firsts)
 
-    return rows.mapInPandas(run, out)
+    made = text.mapInPandas(run, ", ".join([*[f"`{k}` string" for k in keys], f"ts {events.schema['ts'].dataType.simpleString()}, event_id string, first_id string"]))
+    return made.select(*[F.col(k).cast(events.schema[k].dataType).alias(k) for k in keys], "ts", *[F.col(c).cast("long").alias(c) for c in ("event_id", "first_id")])
 
 
 def window_counts(events: DataFrame, keys: list[str], width: str, limit: int, delay: str = "10 minutes") -> DataFrame:

@@ -90,3 +90,16 @@ def test_axis_shares(spark):
         inside = np.array([[min((i - b) % 900, (b - i) % 900) <= 40 for b in range(900)] for i in range(900)])
         best = max(float(((inside[i] | inside) * ring).sum(axis=1).max()) for i in range(900))
         assert abs(got[k] - (best / ring.sum() if ring.sum() else 1.0)) < 1e-9, k
+
+
+def test_published_beside_nulls(spark):
+    """Null keys are one key, and large numbers stay whole."""
+    import datetime
+
+    from gridloom.streaming import events
+
+    big, at = (1 << 60) + 1, lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=n)
+    rows = [(big, at(0), big + 4), (big, at(5), 2), (big + 2, at(6), 3), (None, at(0), 4), (None, at(7), 5), (None, at(70), 6)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, event_id long").coalesce(1)
+    got = {(r["k"], r["event_id"], r["first_id"]) for r in events.published(df, ["k"], 60).collect()}
+    assert got == {(big, big + 4, big + 4), (big, 2, big + 4), (big + 2, 3, 3), (None, 4, 4), (None, 5, 4), (None, 6, 6)}
