@@ -89,9 +89,12 @@ def read_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", unicode.read_text(F.col("text")).alias("plain"))
 
 
-@query("select c_custkey, lower(' ' || c_name || '@Example.COM ').trim() as email from customer")
+@query("select c_custkey, lower(c_name) || case c_custkey % 3 when 0 then chr(233) || 'ss' when 1 then '' else chr(7885) end || '@example.com' as email from customer")
 def email_keys(spark, d):
-    return table(spark, d, "customer").select("c_custkey", unicode.email_key(F.concat(F.lit(" "), "c_name", F.lit("@Example.COM "))).alias("email"))
+    """Addresses with accents as signs of their own, capitals, a letter that folds to two, and white space of several kinds around."""
+    n = F.col("c_custkey") % 3
+    mark = F.when(n == 0, "E\u0301ß").when(n == 1, "").otherwise("o\u0323")
+    return table(spark, d, "customer").select("c_custkey", unicode.email_key(F.concat(F.lit(" \u3000"), "c_name", mark, F.lit("@Example.COM\t "))).alias("email"))
 
 
 @query("select event_id, case event_id % 5 when 0 then '0007' when 1 then '202E' when 2 then '000A' end as code, case event_id % 5 when 0 then '0007' when 1 then '202E' end as code_with_lines from events")
