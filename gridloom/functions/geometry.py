@@ -79,7 +79,7 @@ def foot_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2:
 #: Sums of doubled areas beyond this are not exact in a double; fixed value.
 EXACT = (1 << 53) - 1
 #: Points closer than this many pixels are one, and how far beside a wall its sides are probed, in mm; fixed values.
-MERGE_PX, PROBE_MM = 3.0, 50
+MERGE_PX, PROBE_MM = 3.0, 150
 
 
 def exact_area(outline: Column) -> Column:
