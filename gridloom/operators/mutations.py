@@ -40,3 +40,20 @@ def locked(failures: DataFrame, keys: list[str], most: int, within: str) -> Data
 def sweep(df: DataFrame, at: str, older: Column, newer: Column, order: list[Column], n: int) -> DataFrame:
     """The first n rows in order whose time is in (older, newer]."""
     return df.where((F.col(at) > older) & (F.col(at) <= newer)).orderBy(*order).limit(n)
+
+
+#: What a job that has used up its attempts is closed with; fixed value.
+EXHAUSTED = "RETRY_EXHAUSTED"
+
+
+def requeued(df: DataFrame, key: str, now: Column, after_s: int, most: int, n: int) -> DataFrame:
+    """df (key, status, attempts, requested_at, created_at, error) after a sweep: of the pending and running jobs that were never sent, or longer ago than
+    after_s, doubled with each attempt after the first, the n oldest are sent again (one attempt more, requested now), or failed where they have had most.
+    Null attempts are none; from 31 on they wait as long as 31. Jobs as old go by key; a job without a created_at comes first."""
+    tries = F.coalesce("attempts", F.lit(0))
+    wait = F.make_dt_interval(secs=(after_s * F.pow(F.lit(2), F.least(F.greatest(tries - 1, F.lit(0)), F.lit(30)))).cast("decimal(18,6)"))
+    due = F.col("status").isin("pending", "running") & (F.col("requested_at").isNull() | (F.col("requested_at") < now - wait))
+    taken = df.where(due).orderBy("created_at", key).limit(n).select(key, F.lit(True).alias("_taken"))
+    sent, failed = F.col("_taken") & (tries < most), F.col("_taken") & (tries >= most)
+    new = {"status": F.when(failed, "failed").otherwise(F.col("status")), "attempts": F.when(sent, tries + 1).otherwise(F.col("attempts")), "requested_at": F.when(sent, now).otherwise(F.col("requested_at")), "error": F.when(failed, EXHAUSTED).otherwise(F.col("error"))}
+    return df.join(taken, key, "left").withColumns(new).drop("_taken")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, values
-from ..operators import keyed, mutations, stats
+from ..operators import keyed, mutations, samples, stats
 from ..sources.tables import table
 from .relational import CUTOFF, NTZ, cents
 
@@ -279,3 +279,38 @@ def override_filter(spark, d):
     given = o.select("o_custkey", F.create_map(F.lit("provisional"), F.col("p"), F.lit("any_large"), F.col("f"), F.lit("unknown_rule"), F.lit(True)).alias("rules"))
     known = given.select("o_custkey", F.map_filter("rules", lambda k, v: k.isin("provisional", "any_large")).alias("rules"))
     return known.where("rules['any_large'] is not null").select("o_custkey", F.col("rules")["provisional"].alias("provisional"), F.col("rules")["any_large"].alias("any_large"))
+
+
+@query(f"""with o as (select o_orderkey, case o_orderstatus when 'P' then 'pending' when 'O' then 'running' else 'completed' end as status, o_orderkey % 5 as attempts, case when o_orderkey % 7 > 0 then o_orderdate end as requested_at, o_orderdate as created_at from orders),
+ due as (select o_orderkey from o where status in ('pending', 'running') and (requested_at is null or requested_at < timestamp '{CUTOFF}' - to_seconds(cast(5184000 * power(2, greatest(attempts - 1, 0)) as bigint))) order by created_at, o_orderkey limit 200)
+ select o_orderkey, case when d.o_orderkey is not null and attempts >= 3 then 'failed' else status end as status, cast(case when d.o_orderkey is not null and attempts < 3 then attempts + 1 else attempts end as bigint) as attempts,
+  cast(case when d.o_orderkey is not null and attempts < 3 then timestamp '{CUTOFF}' else requested_at end as timestamp) as requested_at, case when d.o_orderkey is not null and attempts >= 3 then 'RETRY_EXHAUSTED' end as error from o left join due d using (o_orderkey)""")
+def evaluation_requeue(spark, d):
+    """Jobs after a sweep that sends the 200 oldest overdue ones again or gives them up."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "running").otherwise("completed").alias("status"), (k % 5).cast("long").alias("attempts"), F.when(k % 7 > 0, F.col("o_orderdate")).alias("requested_at"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("string").alias("error"))
+    return mutations.requeued(o, "o_orderkey", NTZ(CUTOFF), 5184000, 3, 200).drop("created_at")
+
+
+_SAMPLES = """with s as (select 'd' || d.doc_id as sample, ('0x' || substr(sha256(source), 1, 16))::ubigint % 100 as b, d.text, d.lang, l.quality from documents d left join labels l on l.doc_id = d.doc_id where source <> ''),
+ f as (select case when b < 80 then 'train' when b < 90 then 'validation' else 'test' end as split, sample, unnest([{'name': 'image.png', 'data': text}, {'name': 'objects.json', 'data': '{"quality":' || quality || '}'}, {'name': 'meta.json', 'data': '{"lang":"' || lang || '"}'}]) as x from s),
+ files as (select split, sample, split || '/' || sample || '/' || x.name as path, sha256(x.data) as sha256, octet_length(encode(x.data)) as bytes from f where x.data is not null)"""
+
+
+def _samples(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    said = lambda name, v: F.concat(F.lit(f'{{"{name}":'), v, F.lit("}"))
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("sample"), F.col("source").alias("group"), F.col("text").alias("image_png"), F.lit(None).cast("binary").alias("walls_png"), said("quality", F.col("quality")).alias("objects_json"), said("lang", F.concat(F.lit('"'), "lang", F.lit('"'))).alias("meta_json"))
+    return samples.files(named)
+
+
+@query(f"{_SAMPLES} select path, sha256, bytes from files")
+def sample_files(spark, d):
+    """The manifest of documents as samples: their text, their label where they have one, and what they are."""
+    return _samples(spark, d).select("path", "sha256", "bytes")
+
+
+@query(f"{_SAMPLES} select t.split, count(distinct sample) as n_samples, count(path) as n_files, cast(coalesce(sum(bytes), 0) as bigint) as bytes from (values ('train'), ('validation'), ('test')) t(split) left join files using (split) group by t.split")
+def sample_counts(spark, d):
+    """Samples, files and bytes of each split."""
+    return samples.counts(_samples(spark, d))
