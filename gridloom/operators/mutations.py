@@ -32,9 +32,12 @@ def soft_deleted(df: DataFrame, deleted_at: str, removed: Column, restored: Colu
 
 
 def locked(failures: DataFrame, keys: list[str], most: int, within: str) -> DataFrame:
-    """Failures (keys, ts, event_id) with the number of the key's failures in the time before, itself included, and is_locked beyond most."""
-    w = Window.partitionBy(*keys).orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-int(within), 0)
-    return failures.withColumn("recent", F.count("*").over(w)).withColumn("is_locked", F.col("recent") > most)
+    """Failures (keys, ts, event_id) with the number of the key's failures in the time before, itself and those of its very moment included, and is_locked beyond
+    most. The time before begins at a whole second; what comes later in a failure's own second doesn't count."""
+    by, second = Window.partitionBy(*keys), F.col("ts").cast("timestamp").cast("long")
+    upto = by.orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    old = by.orderBy(second).rangeBetween(Window.unboundedPreceding, -int(within) - 1)
+    return failures.withColumn("recent", F.count("*").over(upto) - F.count("*").over(old)).withColumn("is_locked", F.col("recent") > most)
 
 
 def sweep(df: DataFrame, at: str, older: Column, newer: Column, order: list[Column], n: int) -> DataFrame:

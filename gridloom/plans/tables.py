@@ -234,7 +234,7 @@ def delete_expired(spark, d):
 
 @query("select e.event_id, count(*) as recent, count(*) > 2 as is_locked from events e join events b on b.user_id = e.user_id and b.event_type = 'click' and b.ts <= e.ts and epoch(date_trunc('second', b.ts)) >= epoch(date_trunc('second', e.ts)) - 864000 where e.event_type = 'click' group by e.event_id")
 def login_locks(spark, d):
-    e = table(spark, d, "events").where("event_type = 'click'").select("event_id", "user_id", "ts")
+    e = table(spark, d, "events").where("event_type = 'click' and user_id is not null and ts is not null").select("event_id", "user_id", "ts")
     return mutations.locked(e, ["user_id"], 2, "864000").select("event_id", "recent", "is_locked")
 
 
