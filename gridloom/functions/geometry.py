@@ -107,18 +107,29 @@ def arc_sweep(x1: Column, y1: Column, x2: Column, y2: Column, sagitta: Column) -
     return 4 * F.atan(2 * F.least(F.abs(sagitta), length / 2) / length)
 
 
-def arc_points(x1: Column, y1: Column, x2: Column, y2: Column, sagitta: Column, step_deg: float = 5.0) -> Column:
-    """Points at equal angles on the arc with both ends, an even number of steps; the two ends of a straight wall."""
+def arc_shape(x1: Column, y1: Column, x2: Column, y2: Column, sagitta: Column, step_deg: float | Column = 5.0) -> Column:
+    """cx, cy, radius, begin, turn (the signed sweep) and count (an even number of equal steps) of an arc; for on_arc()."""
     length, sign = chord(x1, y1, x2, y2), F.signum(sagitta)
     depth = F.least(F.abs(sagitta), length / 2)
     radius = length * length / (8 * depth) + depth / 2
     cx, cy = (x1 + x2) / 2 - (y2 - y1) / length * (radius - depth) * sign, (y1 + y2) / 2 + (x2 - x1) / length * (radius - depth) * sign
     begin, sweep = F.atan2(y1 - cy, x1 - cx), arc_sweep(x1, y1, x2, y2, sagitta)
     count = 2 * F.greatest(F.lit(1), F.ceil(F.degrees(sweep) / (2 * step_deg))).cast("int")
-    angle = lambda k: begin + sign * sweep * k / count
+    return F.struct(cx.alias("cx"), cy.alias("cy"), radius.alias("radius"), begin.alias("begin"), (sign * sweep).alias("turn"), count.alias("count"))
+
+
+def on_arc(arc: Column, k: Column) -> Column:
+    """The point after k of the steps of an arc_shape()."""
+    angle = arc["begin"] + arc["turn"] * k / arc["count"]
+    return F.struct((arc["cx"] + arc["radius"] * F.cos(angle)).alias("x"), (arc["cy"] + arc["radius"] * F.sin(angle)).alias("y"))
+
+
+def arc_points(x1: Column, y1: Column, x2: Column, y2: Column, sagitta: Column, step_deg: float = 5.0) -> Column:
+    """Points at equal angles on the arc with both ends, an even number of steps; the two ends of a straight wall."""
     end = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    inner = F.transform(F.sequence(F.lit(1), count - 1), lambda k: F.struct((cx + radius * F.cos(angle(k))).alias("x"), (cy + radius * F.sin(angle(k))).alias("y")))
     straight = (sagitta == 0) | ((x1 == x2) & (y1 == y2))
+    # the shape as an array of one, so that it is reckoned once and not again for every point
+    inner = F.flatten(F.transform(F.array(arc_shape(x1, y1, x2, y2, sagitta, step_deg)), lambda a: F.transform(F.sequence(F.lit(1), a["count"] - 1), lambda k: on_arc(a, k))))
     return F.when(straight, F.array(end(x1, y1), end(x2, y2))).otherwise(F.concat(F.array(end(x1, y1)), inner, F.array(end(x2, y2))))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.geometry import arc_points, chord, js_round, sagitta_through
+from ..functions.geometry import arc_shape, chord, js_round, on_arc, sagitta_through
 from ..sources.tables import kept
 
 #: Degrees of a chord at least, and how many thicknesses it is long at least; fixed values.
@@ -19,13 +19,17 @@ def exploded(walls: DataFrame, keys: list[str]) -> DataFrame:
     length, depth = chord(*[F.col(c) for c in ENDS]), F.abs("sagitta")
     radius = length * length / (8 * depth) + depth / 2
     step = F.greatest(F.lit(STEP_DEG), F.degrees(LEAST_CHORD * F.col("thickness") / radius))
-    points = F.when((F.col("sagitta") != 0) & (length > 0), arc_points(*[F.col(c).cast("double") for c in ENDS], F.col("sagitta"), step))
-    at = lambda i, c: F.greatest(F.lit(0.0), F.element_at("points", i)[c])
-    piece = lambda i: F.struct(i.alias("number"), *[at(i + 1 + j, c).alias(f"{c}{j + 1}") for j in (0, 1) for c in "xy"])
-    rows = rows.withColumn("points", points)
-    whole = F.array(F.struct(F.lit(0).alias("number"), *[F.col(c).cast("double").alias(c) for c in ENDS]))
-    made = F.when(F.size("points") > 2, F.transform(F.sequence(F.lit(0), F.size("points") - 2), piece)).otherwise(whole)
-    return rows.withColumn("made", made).select(*keys, F.col("id").alias("arc"), F.size("made").alias("count"), F.inline("made")).select(*keys, "arc", "number", "count", *ENDS)
+    ends = [F.col(c).cast("double") for c in ENDS]
+    # reckoned once a wall; then each chord is a row of its own, so nothing is reckoned again for every point
+    curved = (F.col("sagitta") != 0) & (length > 0)
+    rows = rows.select(*keys, "id", *ENDS, F.explode(F.array(F.when(curved, arc_shape(*ends, F.col("sagitta"), step)))).alias("arc"))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("arc.count") - 1, F.lit(0)))))
+    n = F.col("number")
+    first, last = F.struct(ends[0].alias("x"), ends[1].alias("y")), F.struct(ends[2].alias("x"), ends[3].alias("y"))
+    point = lambda k: F.when(k == 0, first).when(k == F.col("arc.count"), last).otherwise(on_arc(F.col("arc"), k))
+    put = rows.withColumns({"p": point(n), "q": point(n + 1)})
+    tips = zip(ENDS, (F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y")), ends)
+    return put.select(*keys, F.col("id").alias("arc"), "number", F.coalesce("arc.count", F.lit(1)).alias("count"), *[F.when(F.col("arc").isNotNull(), F.greatest(F.lit(0.0), made)).otherwise(own).alias(c) for c, made, own in tips])
 
 
 def joined(pieces: DataFrame, openings: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
