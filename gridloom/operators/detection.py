@@ -20,13 +20,44 @@ MATCH_IOU, POINTS = 0.5, 101
 SIDES = ("x1", "y1", "x2", "y2")
 
 
+def _solid(boxes: DataFrame) -> DataFrame:
+    """Boxes with an area, and the level of their longer side: the next power of two."""
+    size = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return boxes.where("x1 < x2 and y1 < y2").withColumn("_level", F.ceil(F.log2(size)).cast("int"))
+
+
+def centred(small: DataFrame, big: DataFrame, keys: list[str], names: tuple[str, str] = ("l", "r")) -> DataFrame:
+    """keys and both rows as structs of boxes of the same keys where the middle of one of small lies in one of big, and on its border by rounding. A box that shares half of
+    its area or more with another has its middle there, so these are all pairs of which the smaller one does. Boxes of big cover cells of a quarter of their level (see
+    overlaps), and a middle goes to one cell of each level that a box sharing half of each side may have."""
+    small, big = _solid(small), _solid(big)
+    levels = [r[0] for r in big.select("_level").distinct().collect()]  # powers of two of doubles, some hundred at most
+    every = F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")
+    cell = lambda n: F.pow(F.lit(2.0), n - 2)
+    row = lambda df, name: F.struct(*[c for c in df.columns if c != "_level"]).alias(name)
+    middle = lambda c: (F.col(f"{c}1") + F.col(f"{c}2")) / 2
+    points = small.select(*keys, row(small, names[0]), middle("x").alias("_mx"), middle("y").alias("_my"), F.explode(F.filter(every, lambda n: n >= F.col("_level") - 1)).alias("_at"))
+    points = points.withColumns({f"_c{c}": F.floor(F.col(f"_m{c}") / cell(F.col("_at"))) for c in "xy"})
+    pad = 1e-6 * cell(F.col("_level"))
+    edge = [(F.col(c) + (pad if c.endswith("2") else -pad)).alias(f"_{c}") for c in SIDES]
+    covers = big.select(*keys, row(big, names[1]), F.col("_level").alias("_at"), *edge)
+    at = lambda c: F.floor(F.col(c) / cell(F.col("_at")))
+    covers = covers.withColumn("_cx", F.explode(F.sequence(at("_x1"), at("_x2")))).withColumn("_cy", F.explode(F.sequence(at("_y1"), at("_y2"))))
+    met = points.join(covers, [*keys, "_at", "_cx", "_cy"]).where("_mx >= _x1 and _mx <= _x2 and _my >= _y1 and _my <= _y2")
+    return met.select(*keys, *names)
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], iou: float) -> DataFrame:
     """keys, l and r (their rows as structs) and iou of boxes of the same keys that share an area and overlap as much. Each box has the level of
     its own longer side, a power of two, and covers at most four cells of that level; the smaller of two also goes to the cells of the larger one's
-    level, so that a box as large as a page doesn't make one cell of all others. Boxes with a null or an empty area overlap nothing."""
-    size = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    solid = lambda df: df.where("x1 < x2 and y1 < y2").withColumn("_level", F.ceil(F.log2(size)).cast("int"))
-    left, right = solid(left), solid(right)
+    level, so that a box as large as a page doesn't make one cell of all others. From an iou of a half on the smaller one's middle is in the other, and only such pairs
+    are looked at (see centred). Boxes with a null or an empty area overlap nothing."""
+    found = box_iou({s: F.col(f"l.{s}") for s in SIDES}, {s: F.col(f"r.{s}") for s in SIDES})
+    if iou >= 0.5:
+        area = lambda x: (F.col(f"{x}.x2") - F.col(f"{x}.x1")) * (F.col(f"{x}.y2") - F.col(f"{x}.y1"))
+        met = centred(left, right, keys).where(area("l") <= area("r")).unionByName(centred(right, left, keys, ("r", "l")).where(area("r") < area("l")))
+        return met.withColumn("iou", found).where(F.col("iou") >= iou).select(*keys, "l", "r", "iou")
+    left, right = _solid(left), _solid(right)
     levels = [r[0] for r in left.select("_level").unionByName(right.select("_level")).distinct().collect()]  # powers of two of doubles, some hundred at most
     every = F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "_at"))
@@ -42,7 +73,6 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], iou: float) ->
     cell = [*keys, "_at", "_cx", "_cy"]
     met = dealt(left, "l", True).join(dealt(right, "r", None), cell).unionByName(dealt(left, "l", False).join(dealt(right, "r", True), cell))
     corner = lambda c: F.floor(F.greatest(f"l.{c}", f"r.{c}") / F.pow(F.lit(2.0), "_at"))
-    found = box_iou({s: F.col(f"l.{s}") for s in SIDES}, {s: F.col(f"r.{s}") for s in SIDES})
     met = met.where((corner("x1") == F.col("_cx")) & (corner("y1") == F.col("_cy"))).withColumn("iou", found)
     return met.where((F.col("iou") >= iou) & (F.col("iou") > 0)).select(*keys, "l", "r", "iou")
 
