@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import box_iou
 from ..sources.tables import dropped, kept
@@ -129,12 +129,13 @@ def interpolated_ap(curve: DataFrame, keys: list[str]) -> DataFrame:
     Of each recall only the largest precision matters, and a curve has as many recalls as positives; one row for each of the hundred
     points meets the corners around it."""
     corners = curve.groupBy(*keys, "recall").agg(F.max("precision").alias("high"), F.min_by("precision", "rank").alias("first"), F.max_by("precision", "rank").alias("last"))
-    later = Window.partitionBy(*keys).orderBy("recall").rowsBetween(1, Window.unboundedFollowing)
-    corners = corners.withColumn("after", F.coalesce(F.max("high").over(later), F.lit(0.0)))
+    at = F.floor(F.col("recall") * 1000)
+    corners = running(corners, keys, at, [F.asc("recall")], F.col("high"), "max", "after", reverse=True).withColumn("after", F.coalesce("after", F.lit(0.0)))
     # the envelope where this recall begins and where it ends
     corners = corners.select(*keys, "recall", F.greatest("high", "after").alias("y"), F.greatest("last", "after").alias("out"))
-    before = Window.partitionBy(*keys).orderBy("recall")
-    corners = corners.withColumn("x0", F.coalesce(F.lag("recall").over(before), F.lit(0.0))).withColumn("y0", F.coalesce(F.lag("out").over(before), F.lit(1.0)))
+    # the one before has the largest recall of all before
+    corners = running(corners, keys, at, [F.asc("recall")], F.struct("recall", "out"), "max", "before")
+    corners = corners.withColumn("x0", F.coalesce("before.recall", F.lit(0.0))).withColumn("y0", F.coalesce("before.out", F.lit(1.0)))
     spans = corners.select(*keys, "x0", "y0", F.col("recall").alias("x1"), F.col("y").alias("y1"))
     end = corners.groupBy(*keys).agg(F.max("recall").alias("x0")).select(*keys, "x0", F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(0.0).alias("y1"))
     spans = spans.unionByName(end)

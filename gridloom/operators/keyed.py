@@ -32,12 +32,15 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     bucket must not fall along order; a key's rows are dealt by bucket, and only one row a bucket meets in one place."""
     add, both = (F.sum, lambda a, b: a + b) if how == "sum" else (F.max, F.greatest)
     rows = df.withColumns({"_bucket": bucket, "_value": value})
-    span = (1, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, -1)
+    span = (Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_bucket").agg(add("_value").alias("_total"))
-    outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*span)
+    outer = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if reverse else "_bucket").rowsBetween(*span)
     totals = totals.withColumn("_outer", add("_total").over(outer)).drop("_total")
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*span)
-    rows = rows.withColumn("_inner", add("_value").over(inner)).join(totals, [*keys, "_bucket"])
+    inner = Window.partitionBy(*keys, "_bucket")
+    if reverse:  # from the end: a frame up to a partition's end is reckoned again for every row, with the square of their number
+        rows = rows.withColumn("_place", F.row_number().over(inner.orderBy(*order)))
+        order = [F.desc("_place")]
+    rows = rows.withColumn("_inner", add("_value").over(inner.orderBy(*order).rowsBetween(*span))).drop("_place").join(totals, [*keys, "_bucket"])
     whole = F.when(F.col("_inner").isNull(), F.col("_outer")).when(F.col("_outer").isNull(), F.col("_inner")).otherwise(both(F.col("_inner"), F.col("_outer")))
     return rows.withColumn(name, whole).drop("_bucket", "_value", "_inner", "_outer")
 
