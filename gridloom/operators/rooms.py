@@ -81,12 +81,20 @@ def inner_ring(lines: Column) -> Column:
 def half_thicknesses(edges: DataFrame, walls: DataFrame, keys: list[str]) -> DataFrame:
     """keys, room, edge, half: for edges (keys, room, edge, x1, y1, x2, y2) half the thickness of the wall (keys, id, x1, y1, x2, y2, thickness) of the same
     keys that is parallel, has its middle within its thickness of the edge's line, and runs longest beside it; the smaller id of two as long. Edges
-    without such a wall are left out. Walls go to the cells that any edge they stand on must cross."""
+    without such a wall are left out. Walls go to the cells that any edge they stand on must cross. Edges of one place are one, and so are walls of
+    one place and thickness, by their smallest id; level and upright ones are kept apart."""
+    ends = ["x1", "y1", "x2", "y2"]
+    places = edges.select(*keys, *ends).distinct()
+    walls = walls.groupBy(*keys, *ends, "thickness").agg(F.min("id").alias("id"))
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    places = places.withColumn("flat", dy <= dx)
+    # beyond 45 degrees by more than the sine's angle a wall is beside no edge of that kind
+    walls = walls.withColumn("flat", F.explode(F.filter(F.array(F.when(dy <= dx * 1.25, True), F.when(dx <= dy * 1.25, False)), lambda v: v.isNotNull())))
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     reach = F.col("thickness") + length * (PARALLEL_SIN / 2)
-    near = crossed_cells(walls, ("x1", "y1", "x2", "y2"), CELL_MM, reach).select(*keys, "cx", "cy", F.struct("id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "thickness")]).alias("w"))
-    own = crossed_cells(edges, ("x1", "y1", "x2", "y2"), CELL_MM)
-    met = own.join(near, [*keys, "cx", "cy"])
+    near = crossed_cells(walls, ("x1", "y1", "x2", "y2"), CELL_MM, reach).select(*keys, "flat", "cx", "cy", F.struct("id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "thickness")]).alias("w"))
+    own = crossed_cells(places, ("x1", "y1", "x2", "y2"), CELL_MM)
+    met = own.join(near, [*keys, "flat", "cx", "cy"])
     size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     ux, uy = (F.col("x2") - F.col("x1")) / size, (F.col("y2") - F.col("y1")) / size
     wx, wy = F.col("w.x2") - F.col("w.x1"), F.col("w.y2") - F.col("w.y1")
@@ -96,7 +104,8 @@ def half_thicknesses(edges: DataFrame, walls: DataFrame, keys: list[str]) -> Dat
     overlap = F.least(F.greatest(along(1), along(2)), size) - F.greatest(F.least(along(1), along(2)), F.lit(0.0))
     found = met.where((size > 0) & beside & (mid <= F.col("w.thickness"))).withColumn("overlap", overlap).where("overlap > 0")
     best = F.min(F.struct((-F.col("overlap")).alias("o"), F.col("w.id").alias("id"), (F.col("w.thickness") / 2).alias("half"))).alias("best")
-    return found.groupBy(*keys, "room", "edge").agg(best).select(*keys, "room", "edge", "best.half")
+    halves = found.groupBy(*keys, *ends).agg(best).select(*keys, *ends, "best.half")
+    return edges.join(halves, [*keys, *ends]).select(*keys, "room", "edge", "half")
 
 
 def clear_areas(rooms: DataFrame, walls: DataFrame, keys: list[str]) -> DataFrame:
