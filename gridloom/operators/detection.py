@@ -13,7 +13,7 @@ from ..functions.geometry import box_iou
 from ..sources.tables import dropped, kept
 from .graph import ROUNDS, beaten, in_order, named
 from .keyed import running
-from .spatial import SUPPRESS_IOU
+from .spatial import SUPPRESS_IOU, parts_of
 
 #: A match needs this overlap; recall is read at so many points; fixed values.
 MATCH_IOU, POINTS = 0.5, 101
@@ -43,7 +43,9 @@ def centred(small: DataFrame, big: DataFrame, keys: list[str], names: tuple[str,
     covers = big.select(*keys, row(big, names[1]), F.col("_level").alias("_at"), *edge)
     at = lambda c: F.floor(F.col(c) / cell(F.col("_at")))
     covers = covers.withColumn("_cx", F.explode(F.sequence(at("_x1"), at("_x2")))).withColumn("_cy", F.explode(F.sequence(at("_y1"), at("_y2"))))
-    met = points.join(covers, [*keys, "_at", "_cx", "_cy"]).where("_mx >= _x1 and _mx <= _x2 and _my >= _y1 and _my <= _y2")
+    # few bytes make many pairs, so the cells are dealt whatever their size
+    cells = [*keys, "_at", "_cx", "_cy"]
+    met = points.repartition(parts_of(points), *cells).join(covers, cells).where("_mx >= _x1 and _mx <= _x2 and _my >= _y1 and _my <= _y2")
     return met.select(*keys, *names)
 
 
