@@ -6,9 +6,10 @@ a document of any size is spread, and hot keys are counted before they move."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import js_round
 
@@ -16,85 +17,95 @@ from ..functions.geometry import js_round
 DUPLICATE, MISSING_REFERENCE, LEVEL, OUTLINE = "duplicateId", "missingReference", "levelMembership", "roomOutline"
 CRITICAL, WARNING = "critical", "warning"
 DELETED = "__deleted__"
+#: The lists of a layer by their number; fixed values.
+LISTS = ("walls", "openings", "rooms", "furniture")
 #: Entities of less confidence than this, by a machine and not reviewed, are doubtful; fixed value.
 DOUBTFUL = 0.7
 
 
+def _inlined(layers: DataFrame, key: str, rows: list[Column]) -> DataFrame:
+    """key and the structs of all these arrays: one pass over a layer, however many lists are read."""
+    return layers.select(key, F.inline(F.flatten(F.filter(F.array(*rows), lambda x: x.isNotNull()))))
+
+
+def _gathered(layers: DataFrame, key: str, parts: list[tuple[str, Callable[[Column, Column], Column]]]) -> DataFrame:
+    """key and the structs, all of one kind, that each function gives for the entities (and their places) of its list."""
+    return _inlined(layers, key, [F.transform(name, row) for name, row in parts])
+
+
 def entities(layers: DataFrame, key: str) -> DataFrame:
     """key, list, place, id, level of all entities; openings have no level."""
-    parts = []
-    for i, (name, level) in enumerate((("walls", True), ("openings", False), ("rooms", True), ("furniture", True))):
-        rows = layers.select(key, F.posexplode(name).alias("place", "e"))
-        parts.append(rows.select(key, F.lit(i).alias("list"), "place", F.col("e.id").alias("id"), (F.col("e.level") if level else F.lit(None).cast("string")).alias("level")))
-    return reduce(DataFrame.unionByName, parts)
+    none = F.lit(None).cast("string")
+    row = lambda n, level: lambda e, i: F.struct(F.lit(n).alias("list"), i.alias("place"), e["id"].alias("id"), (e["level"] if level else none).alias("level"))
+    return _gathered(layers, key, [(name, row(n, name != "openings")) for n, name in enumerate(LISTS)])
 
 
 def integrity(layers: DataFrame, key: str, level: str | None = None) -> DataFrame:
     """key, rule, severity, entity_id, ref_id: ids that occur twice, references to nothing, openings that their (first) wall does not list, entities of
     another level (than the given one, or that of the first wall, room or furniture), and outlines that repeat their first point."""
-    all_ = entities(layers, key)
-    issue = lambda df, rule, severity, entity, ref: df.select(key, F.lit(rule).alias("rule"), severity.alias("severity"), entity.alias("entity_id"), ref.alias("ref_id"))
-    none = F.lit(None).cast("string")
-    twice = all_.groupBy(key, "id").count().where("count > 1")
-    out = [issue(twice, DUPLICATE, F.lit(CRITICAL), F.col("id"), none)]
-
-    each = lambda name, owner, ref, to, severity: layers.select(key, F.explode(name).alias("e")).select(key, owner, ref, F.lit(to).alias("list"), F.lit(severity).alias("severity"))
-    own = F.col("e.id").alias("entity_id")
-    refs = [
-        each("walls", own, F.explode("e.openings").alias("ref_id"), 1, CRITICAL),
-        each("openings", own, F.col("e.wall").alias("ref_id"), 0, CRITICAL),
-        each("rooms", own, F.explode("e.walls").alias("ref_id"), 0, WARNING),
-        each("furniture", own, F.col("e.room").alias("ref_id"), 2, WARNING).where("ref_id is not null"),
-    ]
-    known = all_.select(key, F.col("id").alias("ref_id"), "list").distinct()
-    lost = reduce(DataFrame.unionByName, refs).join(known, [key, "ref_id", "list"], "left_anti")
-    out.append(issue(lost, MISSING_REFERENCE, F.col("severity"), F.col("entity_id"), F.col("ref_id")))
-
-    walls = layers.select(key, F.posexplode("walls").alias("place", "e")).select(key, "place", F.col("e.id").alias("wall"), F.col("e.openings").alias("listed"))
-    first = walls.groupBy(key, "wall").agg(F.min_by("listed", "place").alias("listed"))
-    hosted = layers.select(key, F.explode("openings").alias("e")).select(key, F.col("e.wall").alias("wall"), F.col("e.id").alias("ref_id"))
-    unlisted = hosted.join(first, [key, "wall"]).where(~F.array_contains("listed", F.col("ref_id")))
-    out.append(issue(unlisted, MISSING_REFERENCE, F.lit(WARNING), F.col("wall"), F.col("ref_id")))
-
-    members = all_.where("list <> 1")
+    # entities, and references under the id that they lead to: both of a layer are where its row is, so one pass without joins judges them
+    text, none = F.lit(None).cast("string"), F.lit(None)
+    row = lambda n, place, id_, entity=text, severity=text, listed=none.cast("array<string>"), lvl=text, closed=F.lit(False): F.struct(F.lit(n).alias("list"), place.alias("place"), id_.alias("id"), entity.alias("entity_id"), severity.alias("severity"), listed.alias("listed"), lvl.alias("level"), closed.alias("closed"))
+    shut = lambda e: F.coalesce((F.size(e["outline"]) > 0) & (F.get(e["outline"], F.lit(0)) == F.try_element_at(e["outline"], F.lit(-1))), F.lit(False))
+    own = [lambda e, i: row(0, i, e["id"], listed=e["openings"], lvl=e["level"]), lambda e, i: row(1, i, e["id"]), lambda e, i: row(2, i, e["id"], lvl=e["level"], closed=shut(e)), lambda e, i: row(3, i, e["id"], lvl=e["level"])]
+    lead = lambda to, e, ref, severity: row(to, none.cast("int"), ref, e["id"], F.lit(severity))
+    each = lambda name, refs, to, severity: F.flatten(F.filter(F.transform(name, lambda e: F.transform(e[refs], lambda r: lead(to, e, r, severity))), lambda x: x.isNotNull()))
+    rows = [F.transform(name, f) for name, f in zip(LISTS, own)]
+    rows += [each("walls", "openings", 1, CRITICAL), F.transform("openings", lambda e: lead(0, e, e["wall"], CRITICAL)), each("rooms", "walls", 0, WARNING)]
+    rows.append(F.transform(F.filter("furniture", lambda e: e["room"].isNotNull()), lambda e: lead(2, e, e["room"], WARNING)))
+    entity, member = F.col("place").isNotNull(), F.col("place").isNotNull() & (F.col("list") != 1)
+    bit, at, of = F.call_function("shiftleft", F.lit(1), F.col("list")), F.struct("list", "place"), Window.partitionBy(key, "id")
+    found = _inlined(layers, key, rows)
     if level is None:
-        members = members.join(members.groupBy(key).agg(F.min_by("level", F.struct("list", "place")).alias("expected")), key)
+        found = found.withColumn("expected", F.when(F.col(key).isNotNull(), F.min_by("level", F.when(member, at)).over(Window.partitionBy(key))))
     else:
-        members = members.withColumn("expected", F.lit(level))
-    out.append(issue(members.where("level <> expected"), LEVEL, F.lit(CRITICAL), F.col("id"), F.col("level")))
-
-    rooms = layers.select(key, F.explode("rooms").alias("e")).where("size(e.outline) > 0 and e.outline[0] = element_at(e.outline, -1)")
-    out.append(issue(rooms, OUTLINE, F.lit(WARNING), F.col("e.id"), none))
-    return reduce(DataFrame.unionByName, out)
+        found = found.withColumn("expected", F.lit(level))
+    found = found.withColumns({"n": F.count(F.when(entity, 1)).over(of), "begin": F.min(F.when(entity, at)).over(of), "there": F.bit_or(F.when(entity, bit)).over(of), "first": F.min_by("listed", F.when(entity & (F.col("list") == 0), F.col("place"))).over(of)})
+    known = F.coalesce(F.col("there").bitwiseAND(bit) != 0, F.lit(False)) & F.col("id").isNotNull() & F.col(key).isNotNull()
+    hosted = ~entity & known & (F.col("list") == 0) & (F.col("severity") == CRITICAL)  # openings
+    issue = lambda when, rule, severity, entity_id, ref: F.when(when, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), entity_id.alias("entity_id"), ref.alias("ref_id")))
+    id_, other = F.col("id"), F.col("entity_id")
+    issues = F.array(
+        issue(entity & (F.col("n") > 1) & (F.col("begin") == at), DUPLICATE, F.lit(CRITICAL), id_, text),
+        issue(~entity & ~known, MISSING_REFERENCE, F.col("severity"), other, id_),
+        issue(hosted & ~F.array_contains("first", other), MISSING_REFERENCE, F.lit(WARNING), id_, other),
+        issue(member & (F.col("level") != F.col("expected")), LEVEL, F.lit(CRITICAL), id_, F.col("level")),
+        issue(entity & F.col("closed"), OUTLINE, F.lit(WARNING), id_, text),
+    )
+    return found.select(key, F.inline(F.filter(issues, lambda x: x.isNotNull())))
+
+
+def _fields(layers: DataFrame, key: str) -> DataFrame:
+    """key, type, id, owner, and f, the tracked fields with their values, of each entity (see snapshot)."""
+    def fields(e: Column, names: dict[str, str]) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("field"), e[c].cast("string").alias("value")) for n, c in names.items()])
+
+    def row(type_: Column, names: dict[str, str], tail: str = "") -> Callable[[Column, Column], Column]:
+        kind = lambda e: type_ if type_ is not None else e["kind"]
+        return lambda e, i: F.struct(kind(e).alias("type"), (F.concat(e["id"], F.lit(tail)) if tail else e["id"]).alias("id"), i.alias("place"), e["id"].alias("owner"), fields(e, names).alias("f"))
+
+    same = lambda *names: {n: n for n in names}
+    parts = [("walls", row(F.lit("wall"), same("thickness"))), ("openings", row(None, same("width", "wall"))), ("rooms", row(F.lit("room"), same("name", "usage"))), ("furniture", row(F.lit("furniture"), same("kind", "room")))]
+    parts += [("walls", row(F.lit("vertex"), {"x": f"x{n}", "y": f"y{n}"}, f"#{end}")) for end, n in (("start", 1), ("end", 2))]
+    return _gathered(layers, key, parts).groupBy(key, "type", "id").agg(F.max_by(F.struct("owner", "f"), "place").alias("last")).select(key, "type", "id", "last.owner", "last.f")
 
 
 def snapshot(layers: DataFrame, key: str) -> DataFrame:
     """key, type, id, owner, field, value (text): the tracked fields of walls, openings, rooms and furniture; a wall's ends are vertices of their own,
     owned by it, and an opening's type is its kind. Of equal ids the last counts."""
-    def fields(e: str, names: list[str]) -> Column:
-        return F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"{e}.{n}").cast("string").alias("value")) for n in names])
-
-    def rows(name: str, type_: Column, names: list[str], id_: Column = F.col("e.id")) -> DataFrame:
-        found = layers.select(key, F.posexplode(name).alias("place", "e"))
-        return found.select(key, "place", type_.alias("type"), id_.alias("id"), F.col("e.id").alias("owner"), fields("e", names).alias("f"))
-
-    parts = [rows("walls", F.lit("wall"), ["thickness"]), rows("openings", F.col("e.kind"), ["width", "wall"]), rows("rooms", F.lit("room"), ["name", "usage"]), rows("furniture", F.lit("furniture"), ["kind", "room"])]
-    for end, n in (("start", 1), ("end", 2)):
-        found = layers.select(key, F.posexplode("walls").alias("place", "e"))
-        at = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"e.{c}{n}").cast("string").alias("value")) for c in "xy"])
-        parts.append(found.select(key, "place", F.lit("vertex").alias("type"), F.concat("e.id", F.lit(f"#{end}")).alias("id"), F.col("e.id").alias("owner"), at.alias("f")))
-    last = reduce(DataFrame.unionByName, parts).groupBy(key, "type", "id").agg(F.max_by("owner", "place").alias("owner"), F.max_by("f", "place").alias("f"))
-    return last.select(key, "type", "id", "owner", F.inline("f"))
+    return _fields(layers, key).select(key, "type", "id", "owner", F.inline("f"))
 
 
 def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key, type, id, owner, field, value of two layers of the same keys: every field whose value differs (null: taken away), every set field of a new
     entity, and one row with field __deleted__ for each that is gone."""
-    a, b = (snapshot(x, key).groupBy(key, "type", "id", "owner").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("f")) for x in (old, new))
+    a, b = _fields(old, key), _fields(new, key)
     both = a.withColumnRenamed("f", "was").drop("owner").join(b, [key, "type", "id"], "full")
     gone = F.array(F.struct(F.lit(DELETED).alias("field"), F.lit(None).cast("string").alias("value")))
-    pairs = F.transform(F.map_entries("f"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))
-    other = F.filter(pairs, lambda e: ~e["value"].eqNullSafe(F.try_element_at(F.col("was"), e["field"])))
+    # entities of one type have the same fields in one order, but for an opening whose kind is the name of another type
+    at = lambda e, i: F.get(F.col("was"), i)
+    before = lambda e, i: F.when(at(e, i)["field"] == e["field"], at(e, i)["value"]).otherwise(F.get(F.filter("was", lambda w: w["field"] == e["field"]), F.lit(0))["value"])
+    other = F.filter("f", lambda e, i: ~e["value"].eqNullSafe(before(e, i)))
     owner = F.coalesce("owner", F.substring_index("id", "#", 1))
     return both.select(key, "type", "id", owner.alias("owner"), F.inline(F.when(F.col("f").isNull(), gone).otherwise(other)))
 
