@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text, unicode, values
+from ..operators.spatial import parts_of
 from ..sources.tables import table
 from .relational import NTZ, cents
 
@@ -150,6 +151,12 @@ def box_measures(spark, d):
     return _boxes(spark, d).select("p_partkey", whole(geometry.box_iou(own, fixed), 1000000).alias("iou"), whole(geometry.box_iom(own, fixed), 1000000).alias("iom"), whole(geometry.box_gap(own, fixed), 1000).alias("gap"), turned["x1"].alias("wx1"), turned["y1"].alias("wy1"))
 
 
+def _dealt(spark, d):
+    """Keys and sizes of parts dealt to all tasks: a few bytes of a row make much work, and a small file would be one task's."""
+    p = table(spark, d, "part").select("p_partkey", "p_size")
+    return p.repartition(parts_of(p))
+
+
 _TRI = "select p_partkey, p_size as a, p_partkey % 37 as b, p_partkey % 11 + 1 as c from part"
 
 
@@ -158,7 +165,7 @@ def outlines(spark, d):
     """Rectangles of 2a by c at (b, b): area, centre of area, bounds and whether the point (15, 15) is inside."""
     a, b, c = F.col("p_size").cast("long"), F.col("p_partkey") % 37, F.col("p_partkey") % 11 + 1
     at = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
-    p = table(spark, d, "part").select("p_partkey", F.array(at(b, b), at(b + 2 * a, b), at(b + 2 * a, b + c), at(b, b + c)).alias("outline"))
+    p = _dealt(spark, d).select("p_partkey", F.array(at(b, b), at(b + 2 * a, b), at(b + 2 * a, b + c), at(b, b + c)).alias("outline"))
     o, x = F.col("outline"), lambda c, n: F.round(c * n).cast("long")
     inside = geometry.contains(o, F.lit(15.0), F.lit(15.0)) & (geometry.bounds(o)["x1"] != 15) & (geometry.bounds(o)["y2"] != 15) & (geometry.bounds(o)["y1"] != 15)
     return p.select("p_partkey", geometry.exact_area(o).cast("long").alias("doubled"), x(F.abs(geometry.doubled_area(o)).cast("double") / 2, 1e-4).alias("area_e4"), x(geometry.centroid(o)["x"], 1000).alias("cx"), x(geometry.centroid(o)["y"], 1000).alias("cy"), geometry.bounds(o)["x1"].alias("x_min"), geometry.bounds(o)["x2"].alias("x_max"), inside.alias("has_15"))
@@ -170,7 +177,7 @@ def arcs(spark, d):
     """Arcs over a chord on the x axis: sweep, number of points, the point in the middle, and the sagitta through it."""
     s, l = F.col("p_size") * 1.0, 100.0 + F.col("p_partkey") % 200
     o = F.lit(0.0)
-    p = table(spark, d, "part").select("p_partkey", "p_size", l.alias("l"), geometry.arc_points(o, o, l, o, s).alias("points"))
+    p = _dealt(spark, d).select("p_partkey", "p_size", l.alias("l"), geometry.arc_points(o, o, l, o, s).alias("points"))
     mid = F.col("points")[F.expr("size(points) div 2")]
     whole = lambda c: F.round(c * 1000).cast("long")
     return p.select("p_partkey", whole(F.degrees(geometry.arc_sweep(o, o, F.col("l"), o, s))).alias("sweep"), F.size("points").cast("long").alias("n_points"), whole(mid["x"]).alias("apex_x"), whole(mid["y"]).alias("apex_y"), whole(geometry.sagitta_through(o, o, mid["x"], mid["y"], F.col("l"), o)).alias("back"))
