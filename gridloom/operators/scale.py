@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import js_round
+from ..sources.tables import kept
 from .keyed import running
-from .stats import outliers
+from .stats import middle, outliers, with_keyed
 
 #: Rules of the scale: samples needed, least confidence, samples for full weight, their share of it, spread that leaves no
 #: confidence; and of two samples alone, least millimetres and relative difference. Fixed values.
@@ -48,9 +49,11 @@ def inferred(samples: DataFrame, keys: list[str], pixels: str, millimetres: str)
     all_of = samples.select(*keys, mm.alias("_mm"), ratio.alias("_ratio"))
     two = (F.count("_ratio") == 2) & (F.min("_of") != F.max("_of")) & (F.min("_of") >= PAIR_MM) & (F.max("_ratio") - F.min("_ratio") <= PAIR_OFF * F.min("_ratio"))
     groups = all_of.withColumn("_of", F.when(F.col("_ratio").isNotNull(), F.col("_mm"))).groupBy(*keys).agg(F.coalesce(two, F.lit(False)).alias("_pair"))
-    held = outliers(all_of.where("_ratio is not null"), keys, "_ratio", lambda r: F.coalesce(F.floor(F.log2(r) * 16), F.lit(-(1 << 20)))).where("not is_outlier").select(*keys, "_ratio")  # 0 has no logarithm
-    middle = held.groupBy(*keys).agg(F.median("_ratio").alias("suggested"), F.count("*").alias("n_samples"))
-    spread = held.join(middle, keys).groupBy(*keys, "suggested", "n_samples").agg(F.median(F.abs(F.col("_ratio") - F.col("suggested"))).alias("_spread"))
+    bucket = lambda r: F.coalesce(F.floor(F.log2(r) * 16), F.lit(-(1 << 20)))  # noqa: E731, 0 has no logarithm
+    held = outliers(all_of.where("_ratio is not null"), keys, "_ratio", bucket).where("not is_outlier").select(*keys, "_ratio")
+    suggested = kept(middle(held, keys, "_ratio", bucket, "suggested").join(held.groupBy(*keys).agg(F.count("*").alias("n_samples")), keys))
+    off = with_keyed(held, suggested, keys).withColumn("_off", F.abs(F.col("_ratio") - F.col("suggested")))
+    spread = suggested.join(middle(off, keys, "_off", bucket, "_spread"), keys)
     fit = F.greatest(F.lit(0.0), 1 - F.col("_spread") / F.col("suggested") / NO_CONFIDENCE)
     weight = 1 - COUNT_SHARE + COUNT_SHARE * F.least(F.lit(1.0), F.col("n_samples") / FULL_SAMPLES)
     out = groups.join(spread, keys, "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))

@@ -8,30 +8,46 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.tables import kept
 from .keyed import numbered, running
 
 #: Fixed values of the outlier rule: MAD and mean deviation of a normal distribution, and the threshold.
 MAD_TO_SPREAD, MEAN_TO_SPREAD, FAR = 0.6745, 1.2533, 3
 
 
+#: Rows of a table with one row a key that is broadcast; a larger one is built into hash tables, so that what it is joined to isn't sorted.
+FEW_KEYS = 200_000
+
+
+def with_keyed(df: DataFrame, by_key: DataFrame, on: list[str]) -> DataFrame:
+    """df joined with a written table that has one row, or two, for each of its keys; the rows of df stream by, whatever their number."""
+    return df.join(F.broadcast(by_key) if by_key.limit(FEW_KEYS + 1).count() <= FEW_KEYS else by_key.hint("shuffle_hash"), on)
+
+
 def middle(df: DataFrame, keys: list[str], value: str, bucket: Callable[[Column], Column] | None, name: str) -> DataFrame:
-    """keys and the exact median of value, nulls left out. bucket(value) must not fall along value; rows of a key are dealt by it, so that no task
-    holds or sorts a whole key. Without bucket, a key's different values meet in one task."""
+    """keys and the exact median of value, nulls left out. bucket(value) must not fall along value: rows are only counted by it, and those of the
+    bucket that holds a key's median, or of the two, are put in order. Without bucket, a key's different values meet in one task."""
     if bucket is None:
         return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(name))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranked = numbered(rows, keys, bucket(F.col("_v")), [F.asc("_v")], "_before").join(n, keys)
-    return ranked.where("_before in ((_n - 1) div 2, _n div 2)").groupBy(*keys).agg(F.avg("_v").alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_b", bucket(F.col("_v")))
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(whole)})
+    held = kept(counts.where("_upto > (_n - 1) div 2 and _upto - _c <= _n div 2").select(*keys, "_b", (F.col("_upto") - F.col("_c")).alias("_before"), "_n"))
+    found = with_keyed(rows, held, [*keys, "_b"]).groupBy(*keys, "_b", "_before", "_n", "_v").agg(F.count("*").alias("_c"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_upto", F.col("_before") + F.sum("_c").over(inner))
+    return found.where("_upto > (_n - 1) div 2 and _upto - _c <= _n div 2").groupBy(*keys).agg(F.avg("_v").alias(name))
 
 
 def outliers(df: DataFrame, keys: list[str], value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """df with median, spread and is_outlier: more than FAR spreads from its group's median. The spread is the MAD / 0.6745, or
     where that is 0 the mean deviation x 1.2533; where that is 0 too, nothing is an outlier. bucket: see middle()."""
-    off = df.join(middle(df, keys, value, bucket, "median"), keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
+    off = with_keyed(df, kept(middle(df, keys, value, bucket, "median")), keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
     spread = middle(off, keys, "_off", bucket, "mad").join(off.groupBy(*keys).agg(F.avg("_off").alias("mean")), keys)
-    spread = spread.select(*keys, F.when(F.col("mad") > 0, F.col("mad") / MAD_TO_SPREAD).otherwise(F.col("mean") * MEAN_TO_SPREAD).alias("spread"))
-    return off.join(spread, keys).withColumn("is_outlier", (F.col("spread") > 0) & (F.col("_off") > F.col("spread") * FAR)).drop("_off")
+    spread = kept(spread.select(*keys, F.when(F.col("mad") > 0, F.col("mad") / MAD_TO_SPREAD).otherwise(F.col("mean") * MEAN_TO_SPREAD).alias("spread")))
+    return with_keyed(off, spread, keys).withColumn("is_outlier", (F.col("spread") > 0) & (F.col("_off") > F.col("spread") * FAR)).drop("_off")
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
