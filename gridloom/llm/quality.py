@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import documents, mapped, texts
@@ -15,6 +16,8 @@ STRIDE = 4  # a filter sees two strides
 DIM, FILTERS = 8, 24
 #: Training sees the whole texts of at most so many labelled documents, and of at most so many bytes together.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 24_000_000
+#: Texts of a batch that are Python's at once in accepted().
+TEXTS = 256
 #: Chunks that are worked on at once.
 ROWS = 512
 #: Passes over the sample, and steps at least, so that a small sample is learned as well.
@@ -154,12 +157,13 @@ def quality_scores(docs: DataFrame, model: ByteConvNet | float) -> DataFrame:
 def accepted(docs: DataFrame, model: ByteConvNet | float) -> DataFrame:
     """The rows of docs that the model accepts, all their columns unchanged."""
 
-    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            batch = batch.tolist()
-            yield pd.Series(model.scores(batch) >= 0.5 if isinstance(model, ByteConvNet) else np.full(len(batch), model >= 0.5))
+            few = (batch.slice(k, TEXTS).to_pylist() for k in range(0, len(batch), TEXTS))  # a batch has no further copy
+            found = [model.scores(x) >= 0.5 if isinstance(model, ByteConvNet) else np.full(len(x), model >= 0.5) for x in few]
+            yield pa.array(np.concatenate(found) if found else [], pa.bool_())
 
-    return docs.where(F.pandas_udf(good, "boolean")(F.coalesce("text", F.lit(""))))
+    return docs.where(F.arrow_udf(good, "boolean")(F.coalesce("text", F.lit(""))))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
