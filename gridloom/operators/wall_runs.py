@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.geometry import js_round, usual_thickness
 from ..sources.tables import dropped, kept
 from .graph import components
-from .spatial import crossed_cells
+from .spatial import crossed_cells, parts_of
 
 #: Gap in mm that touches, largest angle between walls of a line in degrees, largest ratio of thicknesses in a run, length in mm up to which a wall doesn't count for it; fixed values.
 TOUCH_MM, ALIGN_DEG, TIER_RATIO, SLIVER_MM = 10, 2.0, 1.5, 600
-CELL_MM = 2000.0
+CELL_MM, TURN_DEG = 1000.0, 10.0
+#: Names that a task holds while it unites links.
+HELD = 1_000_000
 ENDS = ("x1", "y1", "x2", "y2")
 
 
@@ -37,28 +39,130 @@ def _along(of: str, x: Column, y: Column) -> Column:
     return (x - F.col(f"{of}x1")) * ux + (y - F.col(f"{of}y1")) * uy
 
 
-def touching(walls: DataFrame, keys: list[str]) -> DataFrame:
-    """a, b of walls (keys, node, kind, x1, y1, x2, y2, thickness) of the same keys and kind with nearly one direction, where both ends of b are
-    within half of the thicker one of a's line, both overlap or touch along it, and an end of a is near b. Ends of walls meet the
-    cells that other walls pass."""
-    reach = walls.groupBy(*keys).agg((TOUCH_MM + F.max("thickness") / 2).alias("reach"))
-    rows = kept(walls.join(reach, keys))
-    wall = F.struct("node", "kind", *ENDS, "thickness")
-    passed = crossed_cells(rows, ENDS, CELL_MM, 2 * F.col("reach") + 1).select(*keys, "kind", "cx", "cy", wall.alias("b"))
+#: What is asked of two walls is the same for all walls with these.
+PLACE = ("kind", *ENDS, "thickness")
+
+
+def touching(walls: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """a, b, the names of a wall and one of others (keys, name, kind, x1, y1, x2, y2, thickness, reach) of the same keys and kind with nearly one direction, where both ends
+    of b are within half of the thicker one of a's line, both overlap or touch along it, and an end of a is near b; of different names. Ends of walls meet the
+    cells that other walls pass, by turns of direction."""
+    parts = parts_of(walls)
+    wall = F.struct("name", *ENDS, "thickness", *[u.alias(c) for u, c in zip(_unit(), ("ux", "uy"))]).alias("wall")  # roots are taken once a wall, not once a pair
+    walls, others = (df.select(*keys, "kind", *ENDS, "reach", wall) for df in (walls, others))
     cell = lambda c: F.floor(F.col(c) / CELL_MM)
+    at = [*keys, "kind", "turn", "cx", "cy"]
+    angle = F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))) + TURN_DEG / 2  # level and upright ones in the middle of a turn
+    turn = lambda more: F.pmod(F.floor((angle + more) / TURN_DEG), F.lit(round(180 / TURN_DEG)))
+    turns = F.explode(F.array_distinct(F.array(turn(-ALIGN_DEG * 1.01), turn(ALIGN_DEG * 1.01)))).alias("turn")
+    passed = crossed_cells(others.repartition(parts).withColumn("turn", turn(0.0)), ENDS, CELL_MM, 1.5 * F.col("reach") + 1).select(*at, F.col("wall").alias("b"))
     tip = F.inline(F.array(*[F.struct(F.col(f"x{i}").alias("tx"), F.col(f"y{i}").alias("ty")) for i in (1, 2)]))
-    tips = rows.select(*keys, "kind", "reach", wall.alias("a"), tip).withColumns({"cx": cell("tx"), "cy": cell("ty")})
-    met = tips.join(passed, [*keys, "kind", "cx", "cy"]).where("a.node <> b.node")
+    tips = walls.select("*", turns).select(*keys, "kind", "turn", "reach", F.col("wall").alias("a"), tip).withColumns({"cx": cell("tx"), "cy": cell("ty")})
+    met = tips.repartition(parts, *at).join(passed, at).where("a.name <> b.name")
     low = lambda c: F.least(f"b.{c}1", f"b.{c}2") - F.col("reach")
     high = lambda c: F.greatest(f"b.{c}1", f"b.{c}2") + F.col("reach")
     near = (F.col("tx") >= low("x")) & (F.col("tx") <= high("x")) & (F.col("ty") >= low("y")) & (F.col("ty") <= high("y"))
-    (ux, uy, _), (vx, vy, _) = _unit("a."), _unit("b.")
+    (ux, uy), (vx, vy) = ([F.col(f"{w}.{c}") for c in ("ux", "uy")] for w in "ab")
     limit = F.greatest("a.thickness", "b.thickness") / 2
-    point = lambda w, i: (F.col(f"{w}.x{i}"), F.col(f"{w}.y{i}"))
-    straight = (F.abs(ux * vy - uy * vx) <= math.sin(math.radians(ALIGN_DEG))) & (_beside("a.", *point("b", 1)) <= limit) & (_beside("a.", *point("b", 2)) <= limit)
-    at = {w: [_along("a.", *point(w, i)) for i in (1, 2)] for w in "ab"}
-    gap = F.greatest(F.least(*at["a"]), F.least(*at["b"])) - F.least(F.greatest(*at["a"]), F.greatest(*at["b"]))
-    return met.where(near & straight & (gap <= TOUCH_MM)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    off = {(w, i): (F.col(f"{w}.x{i}") - F.col("a.x1"), F.col(f"{w}.y{i}") - F.col("a.y1")) for w in "ab" for i in (1, 2)}
+    beside = lambda i: F.abs(off["b", i][0] * uy - off["b", i][1] * ux)
+    straight = (F.abs(ux * vy - uy * vx) <= math.sin(math.radians(ALIGN_DEG))) & (beside(1) <= limit) & (beside(2) <= limit)
+    along = {w: [off[w, i][0] * ux + off[w, i][1] * uy for i in (1, 2)] for w in "ab"}
+    gap = F.greatest(F.least(*along["a"]), F.least(*along["b"])) - F.least(F.greatest(*along["a"]), F.greatest(*along["b"]))
+    return met.where(near & straight & (gap <= TOUCH_MM)).select(*at, F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b"))
+
+
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links a, b of a task as links of each name to one of its group; HELD names are held at once."""
+    into: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := into.setdefault(x, x)) != x:
+            into[x] = x = into[y]
+        return x
+
+    def links() -> pd.DataFrame:
+        return pd.DataFrame([(r, x) for x in into if (r := root(x)) != x], columns=["a", "b"], dtype="int64")
+
+    for batch in batches:
+        for x, y in zip(batch["a"].tolist(), batch["b"].tolist()):
+            x, y = root(x), root(y)
+            into[max(x, y)] = min(x, y)
+        if len(into) > HELD:
+            yield links()
+            into.clear()
+    yield links()
+
+
+def _grouped(names: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
+    """id and component of names (id) by links (by, a, b), which are united where they lie near each other first, so that few rounds are left."""
+    tile = [F.floor(F.col(c) / 16) for c in ("cx", "cy")]
+    dealt = links.groupBy(*by, "a", "b").agg(F.min("cx").alias("cx"), F.min("cy").alias("cy")).repartition(parts_of(links), *by, *tile)
+    united = kept(dealt.select("a", "b").mapInPandas(_united, "a long, b long"))
+    found = kept(components(names, united))
+    dropped(united)
+    return found
+
+
+def _stretches(rows: DataFrame, by: list[str], number: str) -> DataFrame:
+    """rows (by, s, e) with the number of the stretch that each is in: a stretch ends where the next one of the same by begins more than TOUCH_MM on."""
+    along = Window.partitionBy(*by).orderBy("s", "name")
+    before = F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(F.col("s") - before <= TOUCH_MM, 0).otherwise(1))
+    return rows.withColumn(number, F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+
+
+def _level_links(flat: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of level and upright walls (keys, PLACE, name): name and stretch, the least name of those on exactly one line without a gap, and the links a, b of stretches.
+
+    Two of them touch where their lines are at most half of the thicker one apart and the gap along is small. What touches a wall of a stretch is what touches the
+    stretch, so pairs are made of the stretches of each line and thickness with those of other lines, and not of walls."""
+    upright = F.col("x1") == F.col("x2")
+    own = F.when(upright, F.col("x1")).otherwise(F.col("y1"))
+    begin, end = (F.when(upright, f("y1", "y2")).otherwise(f("x1", "x2")) for f in (F.least, F.greatest))
+    line = [*keys, "kind", "upright", "at"]
+    rows = flat.select(*keys, "kind", "name", "thickness", upright.alias("upright"), own.alias("at"), begin.alias("s"), end.alias("e"))
+    rows = _stretches(rows, line, "i").withColumn("stretch", F.min("name").over(Window.partitionBy(*line, "i")))
+    rows = kept(rows)
+    whole = rows.groupBy(*line, "stretch").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    bands = _stretches(rows, [*line, "stretch", "thickness"], "j").groupBy(*line, "stretch", "thickness", "j").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    cell = lambda c: F.floor(c / CELL_MM)
+    span = lambda low, high: F.explode(F.sequence(cell(low), cell(high)))
+    half = F.col("thickness") / 2
+    band = F.struct("stretch", "at", "s", "e", half.alias("half")).alias("a")
+    a = bands.select(*keys, "kind", "upright", band, span(F.col("at") - half - 1, F.col("at") + half + 1).alias("cx"), "s", "e").select(*keys, "kind", "upright", "a", "cx", span(F.col("s") - TOUCH_MM - 1, F.col("e") + TOUCH_MM + 1).alias("cy"))
+    b = whole.select(*keys, "kind", "upright", F.struct("stretch", "at", "s", "e").alias("b"), cell(F.col("at")).alias("cx"), span(F.col("s"), F.col("e")).alias("cy"))
+    gap = F.greatest("a.s", "b.s") - F.least("a.e", "b.e")
+    met = a.join(b, [*keys, "kind", "upright", "cx", "cy"]).where((F.col("a.stretch") != F.col("b.stretch")) & (F.abs(F.col("a.at") - F.col("b.at")) <= F.col("a.half")) & (gap <= TOUCH_MM))
+    return rows.select("name", "stretch"), met.select(*keys, "kind", "cx", "cy", F.least("a.stretch", "b.stretch").alias("a"), F.greatest("a.stretch", "b.stretch").alias("b"))
+
+
+def lines(walls: DataFrame, keys: list[str]) -> DataFrame:
+    """node and line, the least node, of walls (keys, node, PLACE) that touch others, over others too. Walls of one place and thickness touch, so they are one first; level and
+    upright ones are linked by stretches of their lines, and only what leans meets others wall by wall."""
+    known = " and ".join([*[f"`{k}` is not null" for k in keys], "kind is not null", *[f"abs({c}) < double('infinity')" for c in (*ENDS, "thickness")]])
+    reach = walls.groupBy(*keys).agg((TOUCH_MM + F.max("thickness") / 2).alias("reach"))
+    thick = F.col("thickness") >= 0
+    flat = ((F.col("x1") == F.col("x2")) | (F.col("y1") == F.col("y2"))) & thick
+    put = {f"{c}{i}": F.when(flat, f(f"{c}1", f"{c}2")).otherwise(F.col(f"{c}{i}")) for c in "xy" for i, f in ((1, F.least), (2, F.greatest))}
+    # a wall of less than no thickness touches none like itself
+    rows = kept(walls.where(known).select(*keys, "node", *PLACE).withColumns(put | {"own": F.when(thick, -1).otherwise(F.col("node"))}))
+    place = [*keys, *PLACE, "own"]
+    once = kept(rows.groupBy(*place).agg(F.min("node").alias("name"), F.count("*").alias("n")).withColumn("leans", ~flat))
+    stretch, links = _level_links(once.where("not leans"), keys)
+    of = _grouped(stretch.select(F.col("stretch").alias("id")).distinct(), links, [*keys, "kind"]).withColumnRenamed("id", "stretch")
+    first = stretch.join(of, "stretch").select("name", F.col("component").alias("one"))
+    named = kept(once.join(first, "name", "left").withColumn("one", F.coalesce("one", "name")))
+    asked = named.join(reach, keys).drop("name").withColumnRenamed("one", "name")
+    askew = asked.where("leans")
+    pairs = touching(askew, asked, keys).unionByName(touching(asked.where("not leans"), askew, keys))
+    last = _grouped(named.select(F.col("one").alias("id")).distinct(), pairs, [*keys, "kind"]).withColumnsRenamed({"id": "one", "component": "line"})
+    found = kept(named.join(last, "one"))
+    many = found.groupBy("line").agg(F.sum("n").alias("n")).where("n > 1").select("line")
+    out = rows.join(found.join(many, "line", "left_semi").select(*place, "line"), place).select("node", "line")
+    out = kept(out)
+    dropped(rows, once, stretch, of, named, last, found)
+    return out
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,11 +187,9 @@ def runs(walls: DataFrame, keys: list[str]) -> DataFrame:
     Lines are components of touching walls; along each, by the nearer end on the line of its first wall, runs are cut by thickness. The rule of
     the cut looks at the run so far, so a task reads a line's walls one after the other, without holding them."""
     whole = kept(walls)
-    pairs = kept(touching(whole, keys))
-    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    lines = kept(components(nodes, pairs).select(F.col("id").alias("node"), F.col("component").alias("line")))  # named by its first wall
+    of = lines(whole, keys)  # named by their first wall
     first = whole.select(F.col("node").alias("line"), F.struct(*ENDS).alias("f"))
-    rows = whole.join(lines, "node").join(first, "line")
+    rows = whole.join(of, "node").join(first, "line")
     at = F.least(*[_along("f.", F.col(f"x{i}"), F.col(f"y{i}")) for i in (1, 2)])
     rows = rows.select("line", "node", at.alias("at"), usual_thickness(F.col("measured")).cast("double").alias("tier"), (_unit()[2] > SLIVER_MM).alias("long"))
     parts = int(walls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -95,7 +197,7 @@ def runs(walls: DataFrame, keys: list[str]) -> DataFrame:
     found = kept(dealt.select("line", "node", "tier", "long").mapInPandas(_runs, "line long, node long, run long"))
     several = found.groupBy("line", "run").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     out = kept(found.join(several, ["line", "run"]))
-    dropped(pairs, lines, found)
+    dropped(of, found)
     return out
 
 
