@@ -19,6 +19,8 @@ CRITICAL, WARNING = "critical", "warning"
 DELETED = "__deleted__"
 #: The lists of a layer by their number; fixed values.
 LISTS = ("walls", "openings", "rooms", "furniture")
+#: Pairs of walls of a layer that are looked up within its row.
+NEAR = 40_000
 #: Entities of less confidence than this, by a machine and not reviewed, are doubtful; fixed value.
 DOUBTFUL = 0.7
 
@@ -75,8 +77,8 @@ def integrity(layers: DataFrame, key: str, level: str | None = None) -> DataFram
     return found.select(key, F.inline(F.filter(issues, lambda x: x.isNotNull())))
 
 
-def _fields(layers: DataFrame, key: str) -> DataFrame:
-    """key, type, id, owner, and f, the tracked fields with their values, of each entity (see snapshot)."""
+def _field_parts() -> list[tuple[str, Callable[[Column, Column], Column]]]:
+    """Of each list what gives type, id, place, owner and f, the tracked fields with their values, of an entity (see snapshot)."""
     def fields(e: Column, names: dict[str, str]) -> Column:
         return F.array(*[F.struct(F.lit(n).alias("field"), e[c].cast("string").alias("value")) for n, c in names.items()])
 
@@ -86,8 +88,20 @@ def _fields(layers: DataFrame, key: str) -> DataFrame:
 
     same = lambda *names: {n: n for n in names}
     parts = [("walls", row(F.lit("wall"), same("thickness"))), ("openings", row(None, same("width", "wall"))), ("rooms", row(F.lit("room"), same("name", "usage"))), ("furniture", row(F.lit("furniture"), same("kind", "room")))]
-    parts += [("walls", row(F.lit("vertex"), {"x": f"x{n}", "y": f"y{n}"}, f"#{end}")) for end, n in (("start", 1), ("end", 2))]
-    return _gathered(layers, key, parts).groupBy(key, "type", "id").agg(F.max_by(F.struct("owner", "f"), "place").alias("last")).select(key, "type", "id", "last.owner", "last.f")
+    return parts + [("walls", row(F.lit("vertex"), {"x": f"x{n}", "y": f"y{n}"}, f"#{end}")) for end, n in (("start", 1), ("end", 2))]
+
+
+def _fields(layers: DataFrame, key: str) -> DataFrame:
+    """key, type, id, owner and f of each entity: of equal ids the last."""
+    return _gathered(layers, key, _field_parts()).groupBy(key, "type", "id").agg(F.max_by(F.struct("owner", "f"), "place").alias("last")).select(key, "type", "id", "last.owner", "last.f")
+
+
+def _others() -> Column:
+    """The fields f whose value is not that of was."""
+    # entities of one type have the same fields in one order, but for an opening whose kind is the name of another type
+    at = lambda e, i: F.get(F.col("was"), i)
+    before = lambda e, i: F.when(at(e, i)["field"] == e["field"], at(e, i)["value"]).otherwise(F.get(F.filter("was", lambda w: w["field"] == e["field"]), F.lit(0))["value"])
+    return F.filter("f", lambda e, i: ~e["value"].eqNullSafe(before(e, i)))
 
 
 def snapshot(layers: DataFrame, key: str) -> DataFrame:
@@ -102,22 +116,60 @@ def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     a, b = _fields(old, key), _fields(new, key)
     both = a.withColumnRenamed("f", "was").drop("owner").join(b, [key, "type", "id"], "full")
     gone = F.array(F.struct(F.lit(DELETED).alias("field"), F.lit(None).cast("string").alias("value")))
-    # entities of one type have the same fields in one order, but for an opening whose kind is the name of another type
-    at = lambda e, i: F.get(F.col("was"), i)
-    before = lambda e, i: F.when(at(e, i)["field"] == e["field"], at(e, i)["value"]).otherwise(F.get(F.filter("was", lambda w: w["field"] == e["field"]), F.lit(0))["value"])
-    other = F.filter("f", lambda e, i: ~e["value"].eqNullSafe(before(e, i)))
     owner = F.coalesce("owner", F.substring_index("id", "#", 1))
-    return both.select(key, "type", "id", owner.alias("owner"), F.inline(F.when(F.col("f").isNull(), gone).otherwise(other)))
+    return both.select(key, "type", "id", owner.alias("owner"), F.inline(F.when(F.col("f").isNull(), gone).otherwise(_others())))
 
 
 def edited(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """key, id, edited of the walls of new: new ones, those edited or made by a person before, and those with a changed field or end."""
-    was = old.select(key, F.explode("walls").alias("e")).groupBy(key, F.col("e.id").alias("id")).agg(F.bool_or(F.col("e.edited") | (F.col("e.source") == "human")).alias("kept"))
-    changed = changes(old, new, key).where(f"type in ('wall', 'vertex') and field <> '{DELETED}'").select(key, F.col("owner").alias("id")).distinct().withColumn("changed", F.lit(True))
-    now = new.select(key, F.explode("walls").alias("e")).select(key, F.col("e.id").alias("id"), F.col("e.edited").alias("own"))
-    rows = now.join(was, [key, "id"], "left").join(changed, [key, "id"], "left")
-    mark = F.coalesce("own", F.lit(False)) | F.col("kept").isNull() | F.coalesce("kept", F.lit(False)) | F.coalesce("changed", F.lit(False))
-    return rows.select(key, "id", mark.alias("edited"))
+    """key, id, edited of the walls of new: new ones, those edited or made by a person before, and those with a changed field or end. A key has one layer in each."""
+    side = lambda df, name: df.select(key, F.struct(*LISTS).alias(name))
+    return edited_of(side(old, "old").join(side(new, "new"), key, "full"), key)
+
+
+def edited_of(both: DataFrame, key: str) -> DataFrame:
+    """edited() of rows (key, old, new) that hold both versions of a layer as structs of LISTS.
+
+    Walls of one id are looked up within the row, so nothing moves; layers of more than NEAR pairs of walls, and those with openings whose kind is the name of a type that
+    walls have, or without a key, go entity by entity."""
+    odd = lambda v: F.exists(f"{v}.openings", lambda e: e["kind"].isin("wall", "vertex"))
+    walls = {v: F.coalesce(f"{v}.walls", F.array().cast(both.schema[v].dataType["walls"].dataType)) for v in ("old", "new")}
+    pairs = (F.size(walls["old"]) + F.size(walls["new"])).cast("long") * F.size(walls["new"])
+    plain = F.coalesce((pairs <= NEAR) & F.col(key).isNotNull(), F.lit(False)) & ~F.coalesce(odd("old"), F.lit(False)) & ~F.coalesce(odd("new"), F.lit(False))
+    place = lambda e: F.struct(*[e[c].cast("string").alias(c) for c in ("thickness", "x1", "y1", "x2", "y2")])
+    by_hand = lambda e: e["edited"] | (e["source"] == "human")
+    known = lambda x: F.coalesce(x, F.lit(False))
+
+    def judged(w: Column) -> Column:
+        was, now = (F.filter(walls[v], lambda e: e["id"] == w["id"]) for v in ("old", "new"))
+        kept_before = F.aggregate(was, F.lit(None).cast("boolean"), lambda x, e: F.when(by_hand(e).isNull(), x).otherwise(known(x) | by_hand(e)))
+        changed = ~place(F.element_at(was, -1)).eqNullSafe(place(F.element_at(now, -1)))
+        mark = known(w["edited"]) | w["id"].isNull() | kept_before.isNull() | known(kept_before) | known(changed)
+        return F.struct(w["id"].alias("id"), mark.alias("edited"))
+
+    here = both.where(plain).select(key, F.inline(F.transform(walls["new"], judged)))
+    return here.unionByName(_edited_by_entity(both.where(~plain), key))
+
+
+def _edited_by_entity(both: DataFrame, key: str) -> DataFrame:
+    """edited_of() with a row for each entity, grouped where its layer is."""
+    flags = ("boolean", "boolean")
+    parts = []
+    for now, v in enumerate(("old", "new")):
+        rows = [F.transform(f"{v}.{name}", f) for name, f in _field_parts()]
+        wide = lambda e: F.struct(F.lit(now).alias("now"), F.lit(False).alias("flag"), e["type"].alias("type"), e["id"].alias("id"), e["place"].alias("place"), e["owner"].alias("owner"), e["f"].alias("f"), *[F.lit(None).cast(t).alias(c) for c, t in zip(("own", "kept"), flags)])
+        parts += [F.transform(r, wide) for r in rows]
+        fields = F.lit(None).cast("array<struct<field:string,value:string>>")
+        hand = (lambda e: (F.lit(None).cast("boolean"), e["edited"] | (e["source"] == "human"))) if not now else (lambda e: (F.coalesce(e["edited"], F.lit(False)), F.lit(None).cast("boolean")))
+        parts.append(F.transform(f"{v}.walls", lambda e, i: F.struct(F.lit(now).alias("now"), F.lit(True).alias("flag"), F.lit("wall").alias("type"), e["id"].alias("id"), i.alias("place"), e["id"].alias("owner"), fields.alias("f"), *[x.alias(c) for c, x in zip(("own", "kept"), hand(e))])))
+    rows = _inlined(both, key, parts)
+    # what has no key, type or id is never the same as before
+    rows = rows.withColumn("bare", F.when(F.col(key).isNull() | F.col("id").isNull() | F.col("type").isNull(), F.col("now")))
+    last = lambda c, now: F.max_by(c, F.when(F.col("now") == now, F.col("place")))
+    each = rows.where("flag or type in ('wall', 'vertex')").groupBy(key, "bare", "flag", "type", "id").agg(last("f", 0).alias("was"), last("f", 1).alias("f"), F.coalesce(last("owner", 1), F.max("owner")).alias("owner"), F.collect_list("own").alias("own"), F.bool_or("kept").alias("kept"))
+    changed = F.col("f").isNotNull() & (F.size(_others()) > 0)
+    found = each.groupBy(key, "bare", "owner").agg(F.flatten(F.collect_list("own")).alias("own"), F.bool_or("kept").alias("kept"), F.bool_or(changed).alias("changed"))
+    mark = F.col("own") | F.col("kept").isNull() | F.coalesce("kept", F.lit(False)) | F.coalesce("changed", F.lit(False))
+    return found.select(key, "kept", "changed", F.col("owner").alias("id"), F.explode("own").alias("own")).select(key, "id", mark.alias("edited"))
 
 
 def rescaled(layers: DataFrame, factor: Column, reviewed_too: bool = False) -> DataFrame:
