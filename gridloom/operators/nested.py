@@ -6,9 +6,10 @@ a document of any size is spread, and hot keys are counted before they move."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import js_round
@@ -191,16 +192,39 @@ def report(layers: DataFrame, issues: DataFrame, key: str) -> DataFrame:
     return layers.select(key, unsure.cast("long").alias("n_doubtful")).join(n, key, "left").select(key, F.coalesce("n_critical", F.lit(0)).alias("n_critical"), "n_doubtful")
 
 
-def kept_closure(rows: DataFrame, refs: DataFrame, key: str, seed: Column) -> DataFrame:
-    """key, id of what stays in a merge: the seeds among rows (key, id), and all that is reached from them over refs (key, id, ref_id) to ids that exist.
-    Rounds of joins until nothing is added, each written."""
-    from ..sources.tables import kept
-
-    there = rows.select(key, "id").distinct()
-    links = kept(refs.select(key, "id", "ref_id").join(there.withColumnRenamed("id", "ref_id"), [key, "ref_id"], "left_semi").distinct())
-    found = fresh = kept(rows.where(seed).select(key, "id").distinct())
-    while not fresh.isEmpty():
-        reached = fresh.join(links, [key, "id"]).select(key, F.col("ref_id").alias("id")).distinct()
-        fresh = kept(reached.join(found, [key, "id"], "left_anti"))
-        found = kept(found.unionByName(fresh))
-    return found
+def _reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key and id of what the seeds of each layer lead to over its links."""
+    for batch in batches:
+        keys, found = [], []
+        for key, ids, seeds, start, end in zip(*(batch[c] for c in ("key", "ids", "seeds", "start", "end"))):
+            there, links = set(ids), {}
+            if key is not None:
+                for a, b in zip(start, end):
+                    if b is not None and b in there:
+                        links.setdefault(a, []).append(b)
+            seen, open_ = set(seeds), [x for x in seeds if x is not None]
+            while open_:
+                for x in links.get(open_.pop(), ()):
+                    if x not in seen:
+                        seen.add(x)
+                        open_.append(x)
+            keys += [key] * len(seen)
+            found += seen
+        yield pd.DataFrame({"key": pd.array(keys, "object"), "id": pd.array(found, "object")})
+
+
+def kept_closure(layers: DataFrame, key: str, seed: Callable[[Column], Column]) -> DataFrame:
+    """key, id of what stays in a merge: the walls for which seed is true, and all that is reached from them over openings, their walls, the walls of rooms and the rooms of
+    furniture, to ids that exist. A layer is one row, and what it links stays in it, so nothing moves or is written; layers without seeds go first."""
+    lead = lambda e, ref: F.struct(e["id"].alias("a"), ref.alias("b"))
+    each = lambda name, refs: F.flatten(F.transform(name, lambda e: F.transform(F.coalesce(e[refs], F.array().cast("array<string>")), lambda r: lead(e, r))))
+    one = lambda name, ref: F.transform(name, lambda e: lead(e, e[ref]))
+    merged = lambda *lists: F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
+    links = merged(each("walls", "openings"), one("openings", "wall"), each("rooms", "walls"), one("furniture", "room"))
+    ids = merged(*[F.transform(name, lambda e: e["id"]) for name in LISTS])
+    seeds = F.transform(F.filter("walls", lambda e: F.coalesce(seed(e), F.lit(False))), lambda e: e["id"])
+    rows = layers.where(F.exists("walls", lambda e: F.coalesce(seed(e), F.lit(False))))
+    # keys pass as text, as pandas would make floats of whole numbers beside a null
+    rows = rows.select(F.col(key).cast("string").alias("key"), ids.alias("ids"), seeds.alias("seeds"), links.alias("l")).select("key", "ids", "seeds", F.col("l.a").alias("start"), F.col("l.b").alias("end"))
+    found = rows.mapInPandas(_reached, "key string, id string")
+    return found.select(F.col("key").cast(layers.schema[key].dataType).alias(key), "id")
